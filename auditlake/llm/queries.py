@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import components, survivors
+from auditlake.llm import components, mixing, near_duplicates, packing, reading, survivors, tokens
 from auditlake.session import Scratch, filled, table, trimmed
 
 QUERIES: dict = {}
@@ -18,6 +18,50 @@ def query(f):
     return f
 
 
+# 1: near-duplicates --------------------------------------------------------------------------------------------
+
+
+def _near_findings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    f = table(spark, d, "findings").where(filled("description") & F.col("finding_id").isNotNull())
+    f = f.withColumn("cwe", F.when(filled("cwe_id"), F.upper(trimmed("cwe_id"))))
+    return near_duplicates.near_duplicates(f, "finding_id", ["description", "vulnerable_component"], 0.7, ["cwe"])
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of findings that write down one defect in slightly different words."""
+    pairs, members = _near_findings(spark, d)
+    copies = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("sig").alias("sig_a"), F.col("sig").alias("sig_b"))
+    links = pairs.select("sig_a", "sig_b").unionByName(copies)
+    a = members.select(F.col("sig").alias("sig_a"), F.col("finding_id").alias("a"), F.col("cwe").alias("cwe_a"))
+    b = members.select(F.col("sig").alias("sig_b"), F.col("finding_id").alias("b"), F.col("cwe").alias("cwe_b"))
+    agree = F.col("cwe_a").isNull() | F.col("cwe_b").isNull() | (F.col("cwe_a") == F.col("cwe_b"))
+    once = (F.col("a") < F.col("b")) | ((F.col("sig_a") != F.col("sig_b")) & (F.col("a") != F.col("b")))
+    return links.join(a, "sig_a").join(b, "sig_b").where(agree & once).select(F.least("a", "b").alias("finding_a"), F.greatest("a", "b").alias("finding_b")).distinct()
+
+
+SQL["p1_found"] = f"""
+WITH f AS (
+  SELECT DISTINCT ON (finding_id) finding_id AS id, nullif(upper(trim(coalesce(cwe_id, ''), {_WS})), '') AS cwe,
+    list_distinct(regexp_extract_all(lower(description || ' ' || coalesce(vulnerable_component, '')), '[a-z0-9]+')) AS words
+  FROM findings WHERE length(trim(coalesce(description, ''), {_WS})) > 0),
+w AS (SELECT id, unnest(words) AS word FROM f),
+c AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM w a JOIN w b ON a.word = b.word AND a.id < b.id GROUP BY ALL)
+SELECT a AS finding_a, b AS finding_b FROM c JOIN f x ON x.id = a JOIN f y ON y.id = b
+WHERE n * 10 >= 7 * (len(x.words) + len(y.words) - n) AND (x.cwe IS NULL OR y.cwe IS NULL OR x.cwe = y.cwe)
+"""
+
+
+@query
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every finding with words: its class of equal word sets, named by its smallest finding, and how many other
+    classes are alike to it. The form for collections with large groups of copies, which are never paired."""
+    pairs, members = _near_findings(spark, d)
+    names = members.groupBy("sig").agg(F.min("finding_id").alias("class_id"))
+    ends = pairs.select(F.col("sig_a").alias("sig")).unionByName(pairs.select(F.col("sig_b").alias("sig"))).groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    return members.select("sig", "finding_id").distinct().join(names, "sig").join(ends, "sig", "left").select("finding_id", "class_id", F.coalesce("n", F.lit(0)).alias("links"))
+
+
 # 2: best representative ----------------------------------------------------------------------------------------
 
 #: Statuses from low to high; the last two stand equal, others and null stand with the first.
@@ -116,3 +160,98 @@ m AS (SELECT DISTINCT proposal_id AS p, v FROM (SELECT proposal_id, lower(trim(u
 reach(a, b) AS (SELECT v, v FROM m UNION SELECT r.a, m2.v FROM reach r JOIN m m1 ON m1.v = r.b JOIN m m2 ON m2.p = m1.p)
 SELECT a AS vuln_id, min(b) AS group_id FROM reach GROUP BY a HAVING count(*) > 1
 """
+
+
+# 6 and 7: packing and mixing -----------------------------------------------------------------------------------
+
+
+def token_table(spark: SparkSession, d: str, scratch: Scratch, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
+    """(doc_id, source, tokens) of every document, counted once and kept."""
+    docs = table(spark, d, "documents").withColumn("source", mixing.normal_source("source"))
+    return scratch.keep(tokens.with_token_counts(docs, ["doc_id", "source"], "text", vocabulary))
+
+
+def source_totals(counted: DataFrame, named: list[str]) -> tuple[dict, int]:
+    """Tokens of each named source and, under None, of all others; and the number of documents."""
+    one = F.when(F.col("source").isin(named), F.col("source"))
+    rows = counted.groupBy(one.alias("source")).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
+    return {r.source: r.t or 0 for r in rows}, sum(r.n for r in rows)
+
+
+def _windows(spark: SparkSession, d: str, scratch: Scratch):
+    limits = packing.read_limits(table(spark, d, "pack_limits"))
+    counted = token_table(spark, d, scratch)
+    targets = mixing.read_targets(table(spark, d, "mix_targets"))
+    totals, n = source_totals(counted, [t.source for t in targets])
+    all_queues = packing.queues(targets, totals)
+    size = packing.WINDOW_CONTAINERS * max((c for _, c in limits), default=1)
+    return counted, limits, all_queues, size, packing.with_windows(counted, all_queues, size, n)
+
+
+@query
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's pieces in containers of each capacity. A document without tokens is in none: its slot is null."""
+    scratch = Scratch(spark)
+    counted, limits, _, _, windowed = _windows(spark, d, scratch)
+    packed = packing.pack(windowed, limits)
+    names = F.array(*[F.lit(n) for n, _ in limits]) if limits else F.array().cast("array<string>")
+    none = counted.where("tokens = 0").select(F.explode(names).alias("limit_name"), F.lit(None).cast("bigint").alias("window"), F.lit(None).cast("int").alias("slot"), "doc_id", F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("first_token"), F.lit(0).cast("bigint").alias("tokens"))
+    return packed.unionByName(none)
+
+
+@query
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    packed = p6_packed(spark, d).where("slot IS NOT NULL").groupBy("limit_name", "window", "slot").agg(F.sum("tokens").alias("tokens"))
+    limits = table(spark, d, "pack_limits")
+    per = packed.groupBy("limit_name").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"))
+    return per.join(limits, "limit_name").select("limit_name", "capacity_tokens", "containers", "tokens", "fullest", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("filled"))
+
+
+@query
+def p6_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of each queue in each window, and its share of a round."""
+    _, _, all_queues, _, windowed = _windows(spark, d, Scratch(spark))
+    share = F.lit(None).cast("double")
+    for n, (p, _) in all_queues.items():
+        share = F.when(F.col("source") == n, F.lit(float(p))).otherwise(share)
+    return windowed.groupBy("window", "source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")).withColumn("share", share)
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, float]]:
+    scratch = Scratch(spark)
+    counted = token_table(spark, d, scratch)
+    targets = mixing.read_targets(table(spark, d, "mix_targets"))
+    totals, n = source_totals(counted, [t.source for t in targets])
+    p = mixing.plan(targets, totals)
+    return mixing.sample(counted.where("tokens > 0"), p.copies, n, seed=7), p.shares
+
+
+@query
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """One row per copy of each document in the mixture of the largest total that reaches every target."""
+    used, _ = _mixture(spark, d)
+    return used.where("copies > 0").select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+
+
+@query
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source."""
+    used, shares = _mixture(spark, d)
+    return mixing.report(used, table(spark, d, "mix_targets"), shares)
+
+
+# 8: reading level ----------------------------------------------------------------------------------------------
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The level of every English document with running prose."""
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "level_labels"), Scratch(spark)).select("doc_id", "level")
+
+
+@query
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, mean share of unfamiliar words and mean sentence length of each level."""
+    r = reading.reading_levels(table(spark, d, "documents"), table(spark, d, "level_labels"), Scratch(spark))
+    return r.groupBy("level").agg(F.count(F.lit(1)).alias("documents"), F.avg("unfamiliar_share").alias("unfamiliar_share"), F.avg("sentence_length").alias("sentence_length"))
