@@ -27,13 +27,15 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.session import shuffle_partitions
+from auditlake.session import Scratch, shuffle_partitions
 
 WORD = re.compile(r"[a-z0-9]+")
 #: Hashed tokens are counted in 2**SKETCH_BITS numbers, whatever the corpus.
 SKETCH_BITS = 22
 #: Tokens that a larger share of the texts use are no rare ones, and don't decide a text's group.
 COMMON_SHARE = 0.001
+#: Groups are told by 40 bits: should two agree, they are one larger group.
+GROUP_MASK = (1 << 40) - 1
 
 
 def token_hashes(texts: list[str | None], cache: dict[str, int]) -> np.ndarray:
@@ -96,10 +98,12 @@ def listed_tokens(size: Column, t: float) -> Column:
 
 
 def classes(df: DataFrame, row_id: str, texts: list[str], counts: np.ndarray, n_rows: int, carry: list[str]) -> DataFrame:
-    """One row per input row with a token: its set's signature, group, size, tokens in order and matrix columns.
+    """One row per input row with a token: its set's signature, group, size, tokens in order and matrix columns, and
+    how many tokens at the start no other row has.
 
     Tokens are packed in order, 6 bytes each: the chance that two different tokens of a pair agree in all 48 bits is
-    about 1 in 10**11. Rows without any token are left out: they are alike to nothing.
+    about 1 in 10**11. Rows without any token are left out: they are alike to nothing. Of the copies that a task
+    reads only the first carries what stands for its class; the others have null there.
     """
     sketch = df.sparkSession.sparkContext.broadcast(counts)  # 4 MB, whatever the corpus
     common = int(coarse(np.array([max(16.0, COMMON_SHARE * n_rows)]))[0])
@@ -107,11 +111,19 @@ def classes(df: DataFrame, row_id: str, texts: list[str], counts: np.ndarray, n_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = sketch.value
+        seen: set[int] = set()
         for b, sets in _batches(batches, len(texts)):
-            keep, sig, group, size, first, second, tokens = [], [], [], [], [], [], []
+            keep, sig, group, size, first, second, alone, tokens = [], [], [], [], [], [], [], []
             for i, h in enumerate(sets):
                 if not len(h):
                     continue
+                keep.append(i)
+                sig.append(xxhash.xxh3_64_intdigest(h.tobytes()))
+                if sig[-1] in seen:
+                    for column, v in zip((group, size, first, second, alone, tokens), (0, 0, 0, 0, 0, None)):
+                        column.append(v)
+                    continue
+                seen.add(sig[-1])
                 weight = count[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.lexsort((h, weight))
                 rare = h[weight < common]
@@ -119,30 +131,43 @@ def classes(df: DataFrame, row_id: str, texts: list[str], counts: np.ndarray, n_
                 mixed = anchors * np.uint64(0x9E3779B97F4A7C15)  # another order than that of the sets
                 low = np.sort(mixed)[:2]
                 cols = (h >> np.uint64(20)) & np.uint64(127)
-                keep.append(i)
-                sig.append(xxhash.xxh3_64_intdigest(h.tobytes()))
-                group.append(xxhash.xxh3_64_intdigest(low.tobytes()))
+                group.append(xxhash.xxh3_64_intdigest(low.tobytes()) & GROUP_MASK)
                 size.append(len(h))
+                alone.append(int((weight <= 1).sum()))
                 first.append(np.bitwise_or.reduce(np.uint64(1) << cols[cols < 64]) if (cols < 64).any() else np.uint64(0))
                 second.append(np.bitwise_or.reduce(np.uint64(1) << (cols[cols >= 64] - np.uint64(64))) if (cols >= 64).any() else np.uint64(0))
                 tokens.append(h[order].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
             as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             at = pa.array(keep, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(k).take(at) for k in range(b.num_columns - len(texts))), as_long(sig), as_long(group), pa.array(size, pa.int32()), as_long(first), as_long(second), pa.array(tokens, pa.binary())],
-                [*names, "sig", "grp", "size", "m1", "m2", "tokens"],
+                [*(b.column(k).take(at) for k in range(b.num_columns - len(texts))), as_long(sig), as_long(group), pa.array(size, pa.int32()), as_long(first), as_long(second), pa.array(alone, pa.int32()), pa.array(tokens, pa.binary())],
+                [*names, "sig", "grp", "size", "m1", "m2", "alone", "tokens"],
             )
 
     names = [row_id, *carry]
-    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", sig bigint, grp bigint, size int, m1 bigint, m2 bigint, tokens binary"
+    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", sig bigint, grp bigint, size int, m1 bigint, m2 bigint, alone int, tokens binary"
     return df.select(*names, *[F.col(t).alias(f"__t{k}") for k, t in enumerate(texts)]).mapInArrow(run, schema)
 
 
-def _exploded(df: DataFrame, keep: list[str], tokens: str, count: Column) -> DataFrame:
-    """One row per first token: its place, and a number for its 6 bytes."""
-    place = F.explode(F.sequence(F.lit(0), (count - 1).cast("int")))
-    d = df.select(*keep, tokens, place.alias("place"))
-    return d.withColumn("token", F.xxhash64(F.expr(f"substring({tokens}, place * 6 + 1, 6)"))).drop(tokens)
+def _exploded(df: DataFrame, keep: list[Column | str], count: Column) -> DataFrame:
+    """One row per first token that another row may have: `at`, its place and above 32 bits a number for its 6 bytes.
+    Two tokens of one number only make a group a candidate that its bound then has to refuse."""
+    d = df.select("*", count.cast("int").alias("__n")).where("alone < __n")
+    d = d.select(*keep, "tokens", F.explode(F.sequence("alone", F.col("__n") - 1)).alias("place"))
+    return d.withColumn("at", _two(F.hash(F.expr("substring(tokens, place * 6 + 1, 6)")), F.col("place"))).drop("tokens", "place")
+
+
+def _two(high: Column, low: Column) -> Column:
+    """Two integers in one, the lower not negative: rows that move are as many as first tokens, so each byte counts."""
+    return F.shiftleft(high.cast("bigint"), 32).bitwiseOR(low.cast("bigint"))
+
+
+def _low(c: str) -> Column:
+    return F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _high(c: str) -> Column:
+    return F.shiftright(c, 32)
 
 
 def _missing(q1: str, q2: str, g1: str, g2: str) -> Column:
@@ -157,28 +182,31 @@ def alike_classes(sets: DataFrame, t: float) -> DataFrame:
     `sets` are the different classes, spread and kept by group.
     """
     need = lambda a, b: F.ceil((a + b) * (t / (1 + t)) - 1e-9)
-    matrix = sets.groupBy("grp").agg(F.bit_or("m1").alias("g1"), F.bit_or("m2").alias("g2"), F.min("size").alias("small"), F.max("size").alias("large"), F.count(F.lit(1)).alias("members"))
-    lists = _exploded(sets, ["grp"], "tokens", listed_tokens(F.col("size"), t)).groupBy("grp", "token").agg(F.min("place").alias("at"))
-    lists = lists.join(matrix, "grp").select(F.col("grp").alias("g"), "token", "at", "g1", "g2", "small", "large", "members")
-    queries = _exploded(sets, ["sig", "grp", "size", "m1", "m2"], "tokens", first_tokens(F.col("size"), t))
-    size, small = F.col("size"), F.col("small")
+    matrix = sets.groupBy("grp").agg(F.bit_or("m1").alias("g1"), F.bit_or("m2").alias("g2"), _two(F.min("size"), F.max("size")).alias("sizes"), (F.count(F.lit(1)) > 1).cast("int").alias("several"))
+    listed = _exploded(sets, ["grp"], listed_tokens(F.col("size"), t)).select("grp", _high("at").alias("token"), _low("at").alias("place")).groupBy("grp", "token").agg(F.min("place").alias("place"))
+    lists = listed.join(matrix, "grp").select(F.col("grp").alias("g"), _two(F.col("token"), F.col("place") * 2 + F.col("several")).alias("listed"), "g1", "g2", "sizes")
+    queries = _exploded(sets, ["grp", "size", "m1", "m2"], first_tokens(F.col("size"), t))
+    size, small, large = F.col("size"), _high("sizes"), _low("sizes")
+    least = need(size, F.greatest(small, F.ceil(size * t - 1e-9)))  # what a partner in the group must share at least
     may = (
         (small <= size)
-        & (F.col("large") >= F.ceil(size * t - 1e-9))
-        & (F.least(size - F.col("place"), F.col("large") - F.col("at")) >= need(size, F.greatest(small, F.ceil(size * t - 1e-9))))
-        & (size - _missing("m1", "m2", "g1", "g2") >= need(size, F.greatest(small, F.ceil(size * t - 1e-9))))
-        & ((F.col("g") != F.col("grp")) | (F.col("members") > 1))
+        & (large >= F.ceil(size * t - 1e-9))
+        & (F.least(size - _low("at"), large - F.shiftright(_low("listed"), 1)) >= least)
+        & (size - _missing("m1", "m2", "g1", "g2") >= least)
+        & ((F.col("g") != F.col("grp")) | (_low("listed").bitwiseAND(F.lit(1)) == 1))
     )
-    open_groups = queries.join(lists, "token").where(may).select("sig", "grp", "g").distinct()
+    # within its group a set is told by a hash of its columns: should two agree, both are opened
+    met = queries.join(lists, _high("at") == _high("listed"))
+    open_groups = met.where(may).select("grp", F.hash("size", "m1", "m2").alias("short"), "g").distinct()
     q = sets.select("grp", "sig", F.col("size").alias("size_a"), F.col("m1").alias("a1"), F.col("m2").alias("a2"), F.col("tokens").alias("tokens_a"))
     s = sets.select(F.col("grp").alias("g"), F.col("sig").alias("sig_b"), F.col("size").alias("size_b"), F.col("m1").alias("b1"), F.col("m2").alias("b2"), F.col("tokens").alias("tokens_b"))
     differ = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
     smaller = (F.col("size_b") < F.col("size_a")) | ((F.col("size_b") == F.col("size_a")) & (F.col("sig_b") < F.col("sig")))
     alike = F.col("size_b") >= F.ceil(F.col("size_a") * t - 1e-9)
     close = F.col("size_a") + F.col("size_b") - differ >= 2 * need(F.col("size_a"), F.col("size_b"))
-    # the signatures agree bit by bit: no equality that the planner would spread the kept sets anew for
-    q = q.withColumnsRenamed({"grp": "grp_q", "sig": "sig_q"})
-    opened = open_groups.join(q, (F.col("grp") == F.col("grp_q")) & (F.col("sig").bitwiseXOR(F.col("sig_q")) == 0))
+    # a difference of 0 is no equality that the planner would spread the kept sets anew for
+    q = q.withColumnRenamed("grp", "grp_q").withColumn("short_q", F.hash("size_a", "a1", "a2"))
+    opened = open_groups.join(q, (F.col("grp") == F.col("grp_q")) & (F.col("short").bitwiseXOR(F.col("short_q")) == 0))
     pairs = opened.join(s, "g").where(smaller & alike & close)
     return _compare(pairs.select(F.col("sig").alias("sig_a"), "sig_b", "size_a", "size_b", "tokens_a", "tokens_b"), t)
 
@@ -203,7 +231,7 @@ def _compare(pairs: DataFrame, t: float) -> DataFrame:
     return pairs.mapInArrow(run, "sig_a bigint, sig_b bigint, size_a int, size_b int, common int")
 
 
-def near_duplicates(df: DataFrame, row_id: str, texts: list[str], t: float, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, row_id: str, texts: list[str], t: float, scratch: Scratch, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs of classes, members): the classes of equal token sets that are alike to at least t, as in
     `alike_classes`, and (sig, row id, carried columns) of every row with a token, each once.
 
@@ -214,8 +242,10 @@ def near_duplicates(df: DataFrame, row_id: str, texts: list[str], t: float, carr
     spark = df.sparkSession
     carry = carry or []
     counts = token_counts(df, texts)
-    rows = classes(df, row_id, texts, counts, df.count(), carry)
-    members = rows.select("sig", row_id, *carry).distinct()
-    spread = rows.select("sig", "grp", "size", "m1", "m2", "tokens").repartition(shuffle_partitions(spark), "grp")
+    rows = classes(df, row_id, texts, counts, df.count(), carry).persist(StorageLevel.MEMORY_AND_DISK)
+    members = scratch.keep(rows.select("sig", row_id, *carry).distinct())
+    spread = rows.where("tokens IS NOT NULL").select("sig", "grp", "size", "m1", "m2", "alone", "tokens").repartition(shuffle_partitions(spark), "grp")
     sets = spread.dropDuplicates(["grp", "sig"]).persist(StorageLevel.MEMORY_AND_DISK)
+    sets.count()
+    rows.unpersist()
     return alike_classes(sets, t), members

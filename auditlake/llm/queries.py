@@ -24,7 +24,7 @@ def query(f):
 def _near_findings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     f = table(spark, d, "findings").where(filled("description") & F.col("finding_id").isNotNull())
     f = f.withColumn("cwe", F.when(filled("cwe_id"), F.upper(trimmed("cwe_id"))))
-    return near_duplicates.near_duplicates(f, "finding_id", ["description", "vulnerable_component"], 0.7, ["cwe"])
+    return near_duplicates.near_duplicates(f, "finding_id", ["description", "vulnerable_component"], 0.7, Scratch(spark), ["cwe"])
 
 
 @query
