@@ -142,3 +142,58 @@ def file_name(name: Column | str, max_bytes: int = 240) -> Column:
     start = F.struct(F.lit("").alias("s"), F.lit(0).alias("n"))
     head = F.aggregate(chars, start, lambda a, x: F.when(a["n"] + x["n"] <= room, F.struct(F.concat(a["s"], x["c"]).alias("s"), (a["n"] + x["n"]).alias("n"))).otherwise(F.struct(a["s"].alias("s"), F.lit(2**30).alias("n"))), lambda a: a["s"])
     return F.when(F.octet_length(safe) <= max_bytes, safe).otherwise(F.concat(head, F.lit("-"), F.md5(safe), suffix))
+
+
+# Names that have to do with security.
+SECURITY_WORDS = [
+    "verify", "auth", "authenticate", "authorize", "permission", "secret", "token", "password", "passwd", "credential", "tls", "ssl",
+    "private_key", "privatekey", "api_key", "apikey", "csrf", "jwt", "session", "cookie", "role", "admin", "sudo", "root", "privilege",
+    "debug", "trust", "allow", "bypass", "skip", "disable",
+]
+SECURITY_PARTS = ["secret", "password", "passwd", "token", "credential", "privatekey", "apikey", "csrf"]
+# End of the fixed values.
+
+
+def security_regex() -> str:
+    words, parts = "|".join(SECURITY_WORDS), "|".join(SECURITY_PARTS)
+    return rf"^(?:{words})|(?:^|[_\-./])(?:{words})(?:[_\-./]|$)|(?:{parts})"
+
+
+def security_name(label: Column | str) -> Column:
+    """Whether a name begins with or holds, set off, a word of security, or anywhere one of the gravest."""
+    c = F.col(label) if isinstance(label, str) else label
+    return F.coalesce(F.trim(F.lower(trimmed(c)), F.lit("()")).rlike(security_regex()), F.lit(False))
+
+
+def cwe_list(c: Column | str) -> Column:
+    """The different entries of a list, trimmed, without null and blank ones, in order; null is the empty list."""
+    a = F.coalesce(F.col(c) if isinstance(c, str) else c, F.array().cast("array<string>"))
+    return F.array_distinct(F.filter(F.transform(a, trimmed), lambda x: x.isNotNull() & (x != "")))
+
+
+def embedding_text(kind: Column, cwe: Column, component: Column, description: Column) -> Column:
+    """What is embedded of a finding: kind, class, component and text, the latter two in lower case."""
+    comp, desc = trimmed(F.coalesce(component, F.lit(""))), trimmed(F.coalesce(description, F.lit("")))
+    body = F.lower(F.when(comp != "", F.concat(comp, F.lit(". "), desc)).otherwise(desc))
+    return trimmed(F.concat_ws(" ", or_null(F.coalesce(kind, F.lit(""))), or_null(F.coalesce(cwe, F.lit(""))), or_null(body)))
+
+
+def epoch_micros(c: Column | str) -> Column:
+    """Microseconds since 1970 of a time like 2024-01-02T03:04:05.678901234Z, nanoseconds cut off, UTC where no zone is
+    given; null for what is no time."""
+    t = trimmed(c)
+    cut = F.regexp_replace(t, r"(\.\d{6})\d+", "$1")
+    return F.unix_micros(F.try_to_timestamp(cut))
+
+
+def fits_inline(c: Column | str) -> Column:
+    """At most 20 lines of at most 90 characters and no fence; null and empty texts don't."""
+    t = F.col(c) if isinstance(c, str) else c
+    lines = F.split(trimmed(t), "\n")
+    return F.coalesce((F.length(trimmed(t)) > 0) & (F.size(lines) <= 20) & F.forall(lines, lambda x: F.length(x) <= 90) & ~F.contains(t, F.lit("```")), F.lit(False))
+
+
+def slug(c: Column | str, most: int = 60) -> Column:
+    """A name of letters, digits and dashes, in lower case, at most `most` characters."""
+    s = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))), "[^a-z0-9]+", "-"), F.lit("-"))
+    return F.rtrim(F.substring(s, 1, most), F.lit("-"))

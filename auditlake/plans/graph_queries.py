@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import paths, text
-from auditlake.operators import demands, graph, ordering, stats
+from auditlake.operators import demands, graph, groups, ordering, stats
 from auditlake.session import Scratch, table
 
 QUERIES: dict = {}
@@ -275,3 +275,60 @@ def downstream_demands(spark, d):
     merged = demands.distinct_demands(demands.route_downstream(r), upstream=False)
     n = ordering.with_row_numbers(merged, ["target_node"], ["source", "description"], Scratch(spark))
     return n.select("target_node", "source", "description", "merged", F.concat(F.lit("D"), F.col("rn") - 1).alias("demand_id"), F.floor((F.col("rn") - 1) / 15).alias("slice"))
+
+
+@query(f"""
+WITH n AS (SELECT id, community, coalesce(source_file, '') AS file, coalesce(length(trim(source_file, {_WS})) > 0 AND ends_with(source_file, coalesce(label, '')), false) AS own FROM nodes WHERE community IS NOT NULL)
+SELECT id, community FROM n WHERE NOT own OR NOT EXISTS (SELECT 1 FROM n m WHERE m.community = n.community AND m.file = n.file AND NOT m.own)
+""")
+def explored_nodes(spark, d):
+    """Nodes of each community without files' own nodes that others of the file stand for."""
+    return groups.without_skeletons(_nodes(spark, d)).select("id", "community")
+
+
+@query(f"""
+WITH {_L}, p AS (SELECT link_id, source_file AS file, try_cast(regexp_replace(trim(source_location, {_WS}), '^[lL]', '') AS INTEGER) AS line FROM l),
+n AS (SELECT source_file AS file, try_cast(regexp_replace(trim(source_location, {_WS}), '^[lL]', '') AS INTEGER) AS line, min(id) AS node FROM nodes WHERE source_file IS NOT NULL GROUP BY ALL)
+SELECT p.link_id, p.file, p.line, n.node FROM p ASOF LEFT JOIN (SELECT * FROM n WHERE line IS NOT NULL) n ON p.file = n.file AND p.line >= n.line
+""")
+def link_places(spark, d):
+    """The node whose code each link lies in, by file and line."""
+    p = _links(spark, d).select("link_id", F.col("source_file").alias("file"), text.line_number("source_location").alias("line"))
+    n = _nodes(spark, d).select(F.col("source_file").alias("file"), text.line_number("source_location").alias("line"), F.col("id").alias("node"))
+    return groups.enclosing_nodes(p, n)
+
+
+@query(f"""
+WITH {_L} SELECT a.source_file AS file, b.source_file AS imported, count(*) AS links FROM (SELECT source, target FROM l WHERE relation = 'imports') i
+JOIN nodes a ON a.id = i.source JOIN nodes b ON b.id = i.target WHERE a.source_file <> '' AND b.source_file <> '' AND a.source_file <> b.source_file GROUP BY ALL
+""")
+def file_imports(spark, d):
+    """Which files import which."""
+    n = _nodes(spark, d).where("source_file <> ''")
+    i = _links(spark, d).where("relation = 'imports'").select("source", "target")
+    e = i.join(n.select(F.col("id").alias("source"), F.col("source_file").alias("file")), "source").join(n.select(F.col("id").alias("target"), F.col("source_file").alias("imported")), "target")
+    return e.where("file <> imported").groupBy("file", "imported").agg(F.count(F.lit(1)).alias("links"))
+
+
+_SECURITY = text.security_regex()
+
+
+@query(f"SELECT id, coalesce(regexp_matches(trim(lower(trim(label, {_WS})), '()'), '{_SECURITY}'), false) AS security FROM nodes")
+def security_names(spark, d):
+    """Nodes whose name has to do with security."""
+    return _nodes(spark, d).select("id", text.security_name("label").alias("security"))
+
+
+@query(f"""
+WITH {_L}, i AS (SELECT target AS node, source AS other, relation, 'in' AS direction, coalesce(source_location, '') AS loc, link_id FROM l UNION ALL SELECT source, target, relation, 'out', coalesce(source_location, ''), link_id FROM l WHERE source <> target),
+r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY loc, link_id, direction) AS rn FROM i)
+SELECT node, string_agg(direction || ' ' || relation || ' ' || other, chr(10) ORDER BY rn) AS context FROM r WHERE rn <= 10 GROUP BY node
+""")
+def node_contexts(spark, d):
+    """The first ten connections of every node as text, in order of their place as written."""
+    l = _links(spark, d).withColumn("loc", F.coalesce("source_location", F.lit("")))  # noqa: E741
+    side = lambda a, b, s: l.select(F.col(a).alias("node"), F.col(b).alias("other"), "relation", F.lit(s).alias("direction"), "loc", "link_id", "source", "target")
+    i = side("target", "source", "in").unionByName(side("source", "target", "out").where("source <> target"))
+    top = i.withColumn("rn", F.row_number().over(Window.partitionBy("node").orderBy("loc", "link_id", "direction"))).where("rn <= 10")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rn", F.concat_ws(" ", "direction", "relation", "other").alias("t")))), lambda x: x["t"])
+    return top.groupBy("node").agg(F.array_join(lines, "\n").alias("context"))

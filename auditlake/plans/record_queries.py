@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import cvss, paths, text
-from auditlake.operators import linkage, merge, ordering, search, stats
+from auditlake.operators import code, groups, histories, linkage, merge, ordering, search, stats
 from auditlake.session import Scratch, filled, table, trimmed
 
 QUERIES: dict = {}
@@ -394,3 +394,134 @@ def event_sessions(spark, d):
     e = table(spark, d, "events")
     s = e.groupBy("user_id", F.session_window("ts", "10 minutes").alias("s")).agg(F.min("ts").alias("started"), F.count(F.lit(1)).alias("n"))
     return s.select("user_id", "started", "n")
+
+
+# Groups, histories and code ------------------------------------------------------------------------------------
+
+_ONE = lambda c: f"regexp_replace(lower(trim({c}, {_WS})), '\\s+', ' ', 'g')"
+
+
+@query(f"""
+WITH {_F}, c AS (SELECT finding_id, coalesce(cwe_id, '') AS cwe, {_ONE("coalesce(vulnerable_component, '')")} AS comp FROM f),
+k AS (SELECT finding_id, CASE WHEN comp <> '' AND (len(string_split(comp, ' ')) >= 3 OR regexp_matches(comp, '[^\\w$\\s]')) THEN cwe || chr(31) || comp END AS key FROM c)
+SELECT finding_id, md5(key) AS check_key, coalesce(key IS NOT NULL AND count(*) OVER (PARTITION BY key) BETWEEN 2 AND 6, false) AS together FROM k
+""")
+def shared_checks(spark, d):
+    """Findings that one check can settle together."""
+    return groups.shared_checks(_findings(spark, d)).select("finding_id", F.md5("check_key").alias("check_key"), "together")
+
+
+def _proposed(spark, d):
+    m = table(spark, d, "clusters").select("proposal_id", F.explode("member_vuln_ids").alias("m"))
+    return m.where(filled("m")).select("proposal_id", F.lower(trimmed("m")).alias("member")).distinct()
+
+
+@query(f"""
+WITH {_F}, m AS (SELECT DISTINCT proposal_id, lower(trim(m, {_WS})) AS v FROM (SELECT proposal_id, unnest(member_vuln_ids) AS m FROM clusters) WHERE length(trim(coalesce(m, ''), {_WS})) > 0),
+x AS (SELECT proposal_id, finding_id, upper(trim(cwe_id, {_WS})) IN ({_SYSTEMIC}) AS systemic, len(affected_nodes) AS n FROM m JOIN f ON lower(trim(vuln_id, {_WS})) = v)
+SELECT proposal_id, finding_id AS head, count(*) OVER (PARTITION BY proposal_id) AS size FROM x
+QUALIFY row_number() OVER (PARTITION BY proposal_id ORDER BY coalesce(systemic, false) DESC, coalesce(n, 0) DESC, finding_id) = 1
+""")
+def proposal_heads(spark, d):
+    """The finding that speaks for each proposal, and how many it names."""
+    f = _findings(spark, d).select(F.lower(trimmed("vuln_id")).alias("member"), "finding_id", F.upper(trimmed("cwe_id")).isin(text.SYSTEMIC_CWES).alias("systemic"), F.size("affected_nodes").alias("n"))
+    return groups.group_heads(_proposed(spark, d).join(f, "member"), "proposal_id", "finding_id", "systemic", "n")
+
+
+@query(f"""
+WITH {_F}, m AS (SELECT DISTINCT proposal_id, lower(trim(m, {_WS})) AS v FROM (SELECT proposal_id, unnest(member_vuln_ids) AS m FROM clusters) WHERE length(trim(coalesce(m, ''), {_WS})) > 0),
+g AS (SELECT DISTINCT lower(trim(vuln_id, {_WS})) AS v, upper(trim(cwe_id, {_WS})) AS group_id FROM f WHERE cwe_id IS NOT NULL),
+o AS (SELECT group_id, proposal_id, count(*) AS overlap FROM m JOIN g USING (v) GROUP BY ALL)
+SELECT group_id, proposal_id, overlap FROM o QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY overlap DESC, proposal_id) = 1
+""")
+def best_reasons(spark, d):
+    """The proposal that covers most findings of each class."""
+    g = _findings(spark, d).where("cwe_id IS NOT NULL").select(F.lower(trimmed("vuln_id")).alias("member"), F.upper(trimmed("cwe_id")).alias("group_id")).distinct()
+    return groups.best_reasons(_proposed(spark, d), g)
+
+
+@query(f"""
+WITH {_F} SELECT finding_id, md5(trim(concat_ws(' ', nullif(vulnerability_type, ''), nullif(cwe_id, ''), nullif(lower(CASE WHEN trim(coalesce(vulnerable_component, ''), {_WS}) <> ''
+  THEN trim(vulnerable_component, {_WS}) || '. ' || trim(coalesce(description, ''), {_WS}) ELSE trim(coalesce(description, ''), {_WS}) END), '')), {_WS})) AS text_key,
+  coalesce(length(trim(coalesce(description, ''), {_WS})) > 0 AND len(string_split(trim(description, {_WS}), chr(10))) <= 20 AND len(list_filter(string_split(trim(description, {_WS}), chr(10)), lambda x: length(x) > 90)) = 0
+  AND NOT contains(description, '```'), false) AS inline FROM f
+""")
+def embedding_keys(spark, d):
+    """The digest of what is embedded of each finding, and whether its text fits in a line or few."""
+    t = text.embedding_text(*[F.col(c) for c in ("vulnerability_type", "cwe_id", "vulnerable_component", "description")])
+    return _findings(spark, d).select("finding_id", F.md5(t).alias("text_key"), text.fits_inline("description").alias("inline"))
+
+
+def _turns(spark, d):
+    kind = F.when(F.col("emitted_by").isin("explorer", "reviewer"), "ai").when(F.col("emitted_by") == "validator", "tool").when(F.col("emitted_by") == "verifier", "human").otherwise("other")
+    return _updates(spark, d).select("key", "update_id", kind.alias("kind"), F.length(F.coalesce("description", F.lit(""))).alias("size"))
+
+
+_TURNS = f"""t AS (SELECT key, update_id, CASE WHEN emitted_by IN ('explorer', 'reviewer') THEN 'ai' WHEN emitted_by = 'validator' THEN 'tool' WHEN emitted_by = 'verifier' THEN 'human' ELSE 'other' END AS kind, length(coalesce(description, '')) AS size FROM u)"""
+
+
+@query(f"""
+WITH {_U}, {_TURNS}, e AS (SELECT *, CAST(floor(size / 2 * 1.15::DOUBLE) AS BIGINT) + 8 AS own, sum(size) OVER (PARTITION BY key) AS alls, count(*) OVER (PARTITION BY key) AS n FROM t),
+g AS (SELECT *, coalesce(sum(size) OVER w, 0) AS gone, count(*) OVER w AS k FROM e WINDOW w AS (PARTITION BY key ORDER BY own DESC, update_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT key, update_id, CAST(floor((alls - gone) / 2 * 1.15::DOUBLE) AS BIGINT) + 8 * (n - k) < 400 AS kept FROM g
+""")
+def fitting_updates(spark, d):
+    """Which updates of each vuln_id stay if all are to fit in 400 tokens."""
+    return histories.keep_fitting(_turns(spark, d), "key", "update_id", "size", 400).select("key", "update_id", "kept")
+
+
+@query(f"""
+WITH {_U}, {_TURNS}, a AS (SELECT *, row_number() OVER w AS n, lag(kind) OVER w AS prev, max(CASE WHEN kind <> 'tool' THEN update_id END) OVER (PARTITION BY key ORDER BY update_id ROWS UNBOUNDED PRECEDING) AS anchor FROM t WINDOW w AS (PARTITION BY key ORDER BY update_id)),
+b AS (SELECT a.*, o.kind AS anchor_kind, (a.n = 1 AND a.kind = 'human') AS head FROM a LEFT JOIN t o ON o.update_id = a.anchor),
+c AS (SELECT *, CAST(sum(CASE WHEN kind = 'tool' AND coalesce(anchor_kind, '') = 'ai' THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY update_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS unit,
+  row_number() OVER (PARTITION BY key, kind = 'ai' ORDER BY update_id DESC) AS back FROM b),
+d AS (SELECT *, update_id >= min(CASE WHEN kind = 'ai' AND back <= 2 THEN update_id END) OVER (PARTITION BY key) AS in_tail FROM c),
+e AS (SELECT *, max(CASE WHEN in_tail AND kind IN ('ai', 'tool') AND size > 450 THEN unit END) OVER (PARTITION BY key) AS big FROM d)
+SELECT key, update_id, unit, CASE WHEN head THEN 'head' WHEN in_tail AND (big IS NULL OR unit > big) THEN 'tail' ELSE 'middle' END AS part FROM e
+""")
+def history_parts(spark, d):
+    """Head, middle and tail of the updates of each vuln_id, read as a conversation."""
+    return histories.split_history(_turns(spark, d), "key", "update_id", "kind", "size", 2, 450).select("key", "update_id", "unit", "part")
+
+
+@query(f"WITH {_U} SELECT key, CAST(floor(sum(length(coalesce(description, ''))) / 2 * 1.15::DOUBLE) AS BIGINT) + 8 * count(*) AS tokens FROM u GROUP BY key")
+def token_estimates(spark, d):
+    """A cautious estimate of the tokens of each vuln_id's updates."""
+    n = F.sum(F.length(F.coalesce("description", F.lit(""))))
+    return _updates(spark, d).groupBy("key").agg(histories.token_estimate(n, F.count(F.lit(1))).alias("tokens"))
+
+
+@query(r"""
+WITH b AS (SELECT doc_id, regexp_extract_all(text, '(?s)```[^\n]*\n(.*?)(?:```|\z)', 1) AS bs FROM documents WHERE contains(text, '```'))
+SELECT doc_id, CAST(p AS INTEGER) AS block_no, md5(code) AS code FROM (SELECT doc_id, unnest(bs) AS code, generate_subscripts(bs, 1) AS p FROM b)
+""")
+def code_blocks(spark, d):
+    """Fenced blocks of documents, by digest."""
+    return code.code_blocks(table(spark, d, "documents"), ["doc_id"], "text").withColumn("code", F.md5("code"))
+
+
+@query()
+def code_features(spark, d):
+    """What Python's parser finds in those blocks."""
+    return code.python_features(code.code_blocks(table(spark, d, "documents"), ["doc_id"], "text"), ["doc_id", "block_no"], "code").select("doc_id", "block_no", "parsed", "imports", F.size("symbols").alias("symbols"), "calls", "branches", "inert")
+
+
+@query()
+def marked_up(spark, d):
+    """The visible text and links of documents in HTML."""
+    h = table(spark, d, "documents").where(F.col("text").rlike(r"<p>"))
+    return code.html_parts(h, ["doc_id"], "text").select("doc_id", F.length("text").alias("characters"), F.size("links").alias("links"), "forms")
+
+
+_LINES = "l AS (SELECT doc_id, repo, unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"""
+WITH {_LINES}, h AS (SELECT coalesce(repo, '') AS repo, row_number() OVER (ORDER BY doc_id, line_no) AS rn FROM l WHERE regexp_matches(line, '\\b(?:status=500)\\b'))
+SELECT repo, count(*) AS more FROM h WHERE rn > 20 GROUP BY repo
+""")
+def search_overflow(spark, d):
+    """Where the matches lie that a report of 20 leaves out."""
+    docs = table(spark, d, "documents").withColumn("repo", F.coalesce("repo", F.lit("")))
+    hits = search.matching_lines(docs, ["doc_id", "repo"], "text", search.pattern("status=500", whole_word=True)).select("doc_id", "line_no", "repo")
+    return ordering.with_row_numbers(hits, [], ["doc_id", "line_no"], Scratch(spark)).where("rn > 20").groupBy("repo").agg(F.count(F.lit(1)).alias("more"))
