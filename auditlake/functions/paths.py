@@ -127,3 +127,62 @@ def origin(address: Column) -> Column:
 
 def trim_slashes(address: Column) -> Column:
     return F.rtrim(address, F.lit("/"))
+
+
+# Files of a container worth keeping, what is never one, and where entry points are declared.
+ARTIFACT_PATTERNS = [
+    r"(^|/)nginx[^/]*\.conf$", r"(^|/)nginx/conf\.d/.*\.conf$", r"(^|/)httpd[^/]*\.conf$", r"(^|/)apache2/.*\.conf$",
+    r"(^|/)\.htaccess$", r"(^|/)Caddyfile$", r"(^|/)haproxy\.cfg$", r"(^|/)lighttpd\.conf$", r"(^|/)traefik\.(yml|yaml|toml)$",
+    r"(^|/)envoy\.ya?ml$", r"(^|/)supervisord[^/]*\.conf$", r"(^|/)gunicorn[^/]*\.(conf|py)$", r"(^|/)uwsgi[^/]*\.(ini|ya?ml|yml|json)$",
+    r"(^|/)php(-fpm)?[^/]*\.(ini|conf)$", r"(^|/)my\.cnf$", r"(^|/)redis\.conf$", r"(^|/)mongod\.conf$", r"(^|/)docker-entrypoint[^/]*$",
+    r"(^|/)entrypoint[^/]*\.sh$", r"(^|/)docker-entrypoint\.d/.*", r"(^|/)start\.sh$", r"(^|/)\.env($|\.)", r"(^|/)\.next/[^/]*\.json$",
+    r"(^|/)package\.json$", r"(^|/)composer\.json$", r"(^|/)Gemfile$", r"(^|/)requirements[^/]*\.txt$",
+    r"(^|/)etc/[^/]*\.(conf|ini|cfg|ya?ml|yml|toml|json)$",
+]
+ARTIFACT_EXCLUDED_DIRS = ["node_modules", "vendor", ".git"]
+BINARY_EXTENSIONS = [
+    ".so", ".o", ".a", ".bin", ".class", ".jar", ".woff", ".ttf", ".png", ".jpg", ".jpeg", ".gif", ".ico", ".webp", ".pdf", ".gz",
+    ".xz", ".zip", ".whl", ".tgz", ".tar",
+]
+NOISE_EXTENSIONS = [".map", ".rsc", ".meta", ".html", ".htm", ".css", ".svg", ".nft.json", ".trace"]
+NOISE_DIRS = ["/.next/", "/build/", "/server/", "/static/", "/cache/", "/diagnostics/", "/media/"]
+SOURCE_EXTENSIONS = [".py", ".js", ".jsx", ".ts", ".tsx", ".php", ".java", ".go", ".rb", ".rs", ".c", ".h", ".cc", ".cpp", ".hpp", ".cs", ".vue"]
+CATCH_ALL_BYTES = 256 * 1024
+ENTRY_DIRS = [
+    "ajax", "front", "api", "apiv1", "grpc", "internal", "controller", "controllers", "route", "routes", "router", "web", "handler",
+    "handlers", "worker", "workers", "tasks", "jobs", "consumer", "consumers", "listener", "listeners", "middleware",
+]
+ENTRY_NAMES = ["routes.php", "web.php", "routing.py", "urls.py", "api.php", "routes.ts", "routes.js", "app.ts", "app.js", "server.ts", "server.js"]
+# End of the fixed values.
+
+
+def artifact_regex() -> str:
+    return "(?i)" + "|".join(f"(?:{p})" for p in ARTIFACT_PATTERNS)
+
+
+def in_dirs(path: Column, dirs: list[str]) -> Column:
+    return path.rlike(rf"(?:^|/)(?:{'|'.join(map(re.escape, dirs))})/")
+
+
+def is_artifact(path: Column | str) -> Column:
+    """Whether a container's file is one of the known kinds of configuration, outside dependency trees."""
+    c = F.col(path) if isinstance(path, str) else path
+    return F.coalesce(c.rlike(artifact_regex()) & ~in_dirs(c, ARTIFACT_EXCLUDED_DIRS), F.lit(False))
+
+
+def is_other_config(path: Column, size: Column, root: str) -> Column:
+    """Whether a file may be configuration by its place alone: small, below the working folder, and no source, binary,
+    page or build output. A root or empty working folder has none."""
+    top = root.strip("/")
+    if not top:
+        return F.lit(False)
+    low = F.lower(path)
+    noise = low.rlike("(?:" + "|".join(map(re.escape, NOISE_EXTENSIONS)) + ")$") | F.concat(F.lit("/"), low).rlike("|".join(map(re.escape, NOISE_DIRS)))
+    below = F.ltrim(path, F.lit("/")).startswith(top + "/") | (F.ltrim(path, F.lit("/")) == top)
+    return F.coalesce(size.between(1, CATCH_ALL_BYTES) & below & ~noise & ~extension(path).isin(SOURCE_EXTENSIONS + BINARY_EXTENSIONS) & ~in_dirs(path, ARTIFACT_EXCLUDED_DIRS), F.lit(False))
+
+
+def is_entry_file(path: Column | str) -> Column:
+    """Whether a file may declare routes or workers, by a directory or its name."""
+    c = F.col(path) if isinstance(path, str) else path
+    return F.coalesce(F.arrays_overlap(F.split(c, "/"), F.array(*map(F.lit, ENTRY_DIRS))) | base_name(c).isin(ENTRY_NAMES), F.lit(False))

@@ -181,3 +181,91 @@ def greedy_clusters(vectors: DataFrame, group: str, order: str, vector: str, thr
 
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
     return ordered_fold(vectors.select(group, order, vector), [group], [order], step, lambda s: (), f"grp {kinds[group]}, row_id {kinds[order]}, seed {kinds[order]}")
+
+
+def with_vectors(texts: DataFrame, text: str, cache: DataFrame | None, model: str, provider, size: int) -> DataFrame:
+    """Adds `text_key` (the digest of model and text) and `vector`: the cached one, else what the provider makes of it.
+
+    The provider gets a list of texts and returns as many lists of `size` numbers, None where it fails; then, and for
+    null texts, the vector is null. Each text that the cache (text_key, vector) lacks is asked for once, however many
+    rows have it. Rows with a new vector are what to add to the cache.
+    """
+    key = F.sha2(F.concat(F.lit(f"{model}:"), F.col(text)), 256)
+    d = texts.withColumn("text_key", key)
+    distinct = d.where(F.col(text).isNotNull()).groupBy("text_key").agg(F.first(text).alias("t"))
+    if cache is not None:
+        distinct = distinct.join(cache.select("text_key"), "text_key", "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = provider(b.column(1).to_pylist())
+            ok = [v if v is not None and len(v) == size else None for v in got]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ok, pa.list_(pa.float32()))], ["text_key", "vector"])
+
+    made = distinct.select("text_key", "t").mapInArrow(run, "text_key string, vector array<float>")
+    known = made if cache is None else made.unionByName(cache.select("text_key", "vector"))
+    return d.join(known, "text_key", "left").select(*texts.columns, "text_key", "vector")
+
+
+def hashed_vectors(size: int = 64):
+    """A provider that needs no model: words and pairs of words hashed to `size` signed counts."""
+    import re
+    import zlib
+
+    def provide(texts: list[str]) -> list[list[float]]:
+        out = []
+        for t in texts:
+            v = np.zeros(size)
+            words = re.findall(r"\w+", t.lower())
+            for w in [*words, *map(" ".join, zip(words, words[1:]))]:
+                h = zlib.crc32(w.encode())
+                v[h % size] += 1 if h & 0x10000 else -1
+            out.append(v.tolist())
+        return out
+
+    return provide
+
+
+def gated_clusters(records: DataFrame, group: list[str], row_id: str) -> DataFrame:
+    """(row_id, seed): findings in order of their id join the nearest seed of their group that the two-sided gate lets
+    them, the earlier one among equals, or become a seed. Seeds take at most MOST_MERGED findings of other nodes.
+    `records` have nodes (a text), tokens, degenerate and vector; findings without a vector are seeds of nobody.
+    A group is one stream whose seeds are held, so groups are cut to a bounded size before."""
+
+    def step(state, row):
+        seeds, matrix, crossed = state or ([], None, [])
+        if row["vector"] is None:
+            return (seeds, matrix, crossed), [{"row_id": row[row_id], "seed": row[row_id]}]
+        v = _unit(np.array([row["vector"]], np.float64))
+        tokens = set(row["tokens"] or ())
+        if seeds:
+            sim = np.round(matrix[: len(seeds)] @ v[0], 12)
+            for at in np.lexsort((np.arange(len(seeds)), -sim)):
+                if sim[at] < SAME_NODES:
+                    break
+                s, c = seeds[at], float(sim[at])
+                same = s["nodes"] == row["nodes"]
+                both = len(tokens | s["tokens"])
+                jaccard = len(tokens & s["tokens"]) / both if tokens and s["tokens"] else 0.0
+                weak = s["degenerate"] or row["degenerate"]
+                if same:
+                    passes = c >= SAME_NODES
+                elif c >= CROSS_NODES:
+                    passes = weak or c >= CERTAIN_COSINE or jaccard >= CONFIDENT_JACCARD
+                else:
+                    passes = c >= WITH_ANCHOR and not weak and jaccard >= ANCHOR_JACCARD
+                if passes and (same or crossed[at] < MOST_MERGED):
+                    crossed[at] += not same
+                    return (seeds, matrix, crossed), [{"row_id": row[row_id], "seed": s["id"]}]
+        if matrix is None or len(seeds) == len(matrix):
+            bigger = np.zeros((max(16, 2 * len(seeds)), v.shape[1]))
+            if len(seeds):
+                bigger[: len(seeds)] = matrix
+            matrix = bigger
+        matrix[len(seeds)] = v[0]
+        seeds.append({"id": row[row_id], "nodes": row["nodes"], "tokens": tokens, "degenerate": row["degenerate"]})
+        crossed.append(0)
+        return (seeds, matrix, crossed), [{"row_id": row[row_id], "seed": row[row_id]}]
+
+    kind = records.schema[row_id].dataType.simpleString()
+    return ordered_fold(records.select(*group, row_id, "nodes", "tokens", "degenerate", "vector"), group, [row_id], step, lambda s: (), f"row_id {kind}, seed {kind}")

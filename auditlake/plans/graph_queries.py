@@ -332,3 +332,29 @@ def node_contexts(spark, d):
     top = i.withColumn("rn", F.row_number().over(Window.partitionBy("node").orderBy("loc", "link_id", "direction"))).where("rn <= 10")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("rn", F.concat_ws(" ", "direction", "relation", "other").alias("t")))), lambda x: x["t"])
     return top.groupBy("node").agg(F.array_join(lines, "\n").alias("context"))
+
+
+_ARTIFACT = paths.artifact_regex().replace("'", "''")
+_ENTRY = ", ".join(f"'{x}'" for x in paths.ENTRY_DIRS)
+_ENTRY_NAMES = ", ".join(f"'{x}'" for x in paths.ENTRY_NAMES)
+
+
+@query(f"""
+SELECT source_file, coalesce(list_has_any(string_split(source_file, '/'), [{_ENTRY}]) OR regexp_extract(rtrim(source_file, '/'), '[^/]*$') IN ({_ENTRY_NAMES}), false) AS entry_file,
+  coalesce(regexp_matches(source_file, '{_ARTIFACT}') AND NOT regexp_matches(source_file, '(?:^|/)(?:node_modules|vendor|\\.git)/'), false) AS artifact FROM (SELECT DISTINCT source_file FROM nodes WHERE source_file IS NOT NULL)
+""")
+def entry_files(spark, d):
+    """Files that may declare entry points, and those that are configuration."""
+    f = _nodes(spark, d).where("source_file IS NOT NULL").select("source_file").distinct()
+    return f.select("source_file", paths.is_entry_file("source_file").alias("entry_file"), paths.is_artifact("source_file").alias("artifact"))
+
+
+@query("""
+SELECT id, CASE WHEN count(*) OVER (PARTITION BY community, label) > 1 THEN label || ' #' || row_number() OVER (PARTITION BY community, label ORDER BY id) ELSE label END AS shown
+FROM nodes WHERE label <> '' AND community IS NOT NULL
+""")
+def shown_labels(spark, d):
+    """Labels of nodes, numbered where a community has one several times."""
+    n = _nodes(spark, d).where("label <> '' AND community IS NOT NULL").select("id", "label", "community")
+    r = ordering.with_row_numbers(n, ["community", "label"], ["id"], Scratch(spark), "nth", "all")
+    return r.select("id", F.when(F.col("all") > 1, F.concat_ws(" #", "label", F.col("nth").cast("string"))).otherwise(F.col("label")).alias("shown"))

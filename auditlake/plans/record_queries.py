@@ -525,3 +525,31 @@ def search_overflow(spark, d):
     docs = table(spark, d, "documents").withColumn("repo", F.coalesce("repo", F.lit("")))
     hits = search.matching_lines(docs, ["doc_id", "repo"], "text", search.pattern("status=500", whole_word=True)).select("doc_id", "line_no", "repo")
     return ordering.with_row_numbers(hits, [], ["doc_id", "line_no"], Scratch(spark)).where("rn > 20").groupBy("repo").agg(F.count(F.lit(1)).alias("more"))
+
+
+@query()
+def hypothesis_clusters(spark, d):
+    """Findings of a review group that vectors and anchors say are one, with hashed vectors in place of a model's."""
+    f = _findings(spark, d)
+    t = text.embedding_text(*[F.col(c) for c in ("vulnerability_type", "cwe_id", "vulnerable_component", "description")])
+    r = f.select("finding_id", F.array_join(linkage.sorted_nodes("affected_nodes"), "\x1f").alias("nodes"), text.component_tokens("vulnerable_component").alias("tokens"), text.degenerate_anchor("vulnerable_component").alias("degenerate"), t.alias("t"))
+    v = linkage.with_vectors(r, "t", None, "hashed", linkage.hashed_vectors(), 64)
+    c = linkage.gated_clusters(review_groups(spark, d).join(v, "finding_id"), ["cwe", "chunk"], "finding_id")
+    return c.select(F.col("row_id").alias("finding_id"), "seed")
+
+
+@query(f"""
+WITH {_U} SELECT key, arg_min(update_id, (coalesce(emitted_by, '') <> 'verifier', update_id)) AS update_id, bool_or(coalesce(emitted_by, '') = 'verifier') AS preferred FROM u GROUP BY key
+""")
+def preferred_updates(spark, d):
+    """The first update of a preferred agent for each vuln_id, else the first of all."""
+    other = F.coalesce("emitted_by", F.lit("")) != "verifier"
+    g = _updates(spark, d).groupBy("key").agg(F.min(F.struct(other.alias("o"), "update_id")).alias("f"))
+    return g.select("key", "f.update_id", (~F.col("f.o")).alias("preferred"))
+
+
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events QUALIFY place <= 60")
+def recent_events(spark, d):
+    """The last 60 events of each user."""
+    w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    return table(spark, d, "events").withColumn("place", F.row_number().over(w)).where("place <= 60").select("user_id", "event_id", "place")
