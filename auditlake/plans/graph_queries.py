@@ -140,15 +140,13 @@ def inherited_members(spark, d):
 
 @query(f"""
 WITH RECURSIVE {_L}, s AS (SELECT DISTINCT source, target FROM l WHERE relation = 'inherits' AND source <> target),
-q AS (SELECT DISTINCT source AS id FROM s WHERE ascii(right(source, 1)) % 10 = 0),
-r(start, node, hops) AS (SELECT id, id, 0 FROM q UNION SELECT start, s.target, hops + 1 FROM r JOIN s ON s.source = r.node WHERE hops < 12)
+r(start, node, hops) AS (SELECT DISTINCT source, source, 0 FROM s UNION SELECT start, s.target, hops + 1 FROM r JOIN s ON s.source = r.node WHERE hops < 12)
 SELECT start, node, min(hops) AS hops FROM r GROUP BY ALL
 """)
-def hops_from(spark, d):
-    """What a stated set of nodes reaches over inheritance, and how far away it is."""
+def inheritance_hops(spark, d):
+    """What every node reaches over inheritance, and how far away it is."""
     links = _links(spark, d).where("relation = 'inherits'")
-    starts = links.where("source <> target AND ascii(right(source, 1)) % 10 = 0").select(F.col("source").alias("id"))
-    return graph.shortest_hops(links, starts, Scratch(spark))
+    return graph.shortest_hops(links, links.where("source <> target").select(F.col("source").alias("id")), Scratch(spark))
 
 
 _LOW = "|".join(graph.LOW_SIGNAL)
@@ -246,7 +244,32 @@ def community_roles(spark, d):
     return stats.top_roles(stats.role_scores(c, near.select("community", F.col("source").alias("item"), "text"), "community", ROLES), "community", 2, "general")
 
 
-@query()
+_TARGETS = f"""
+nn AS (SELECT DISTINCT ON (note_id) note_id, node_id, upstream, downstream FROM notes WHERE node_id IS NOT NULL),
+e0 AS (SELECT note_id, node_id, 'upstream' AS direction, unnest(upstream) AS e, generate_subscripts(upstream, 1) - 1 AS pos FROM nn
+  UNION ALL SELECT note_id, node_id, 'downstream', unnest(downstream), generate_subscripts(downstream, 1) - 1 FROM nn),
+e1 AS (SELECT note_id, node_id, direction, pos, e.description AS description, trim(replace(regexp_replace(e.target, '\\(.*?\\)', '', 'g'), '`', ''), {_WS}) AS c FROM e0 WHERE length(trim(coalesce(e.target, ''), {_WS})) > 0),
+e2 AS (SELECT *, CASE WHEN contains(c, '::') THEN split_part(c, '::', 1) ELSE '' END AS m0, CASE WHEN contains(c, '::') THEN substr(c, strpos(c, '::') + 2) ELSE c END AS r0 FROM e1),
+e3 AS (SELECT *, contains(r0, '->') AS arrow, trim(rtrim(regexp_extract(r0, '(?s)^(.*)->', 1), '()'), {_WS}) AS receiver FROM e2),
+e4 AS (SELECT *, trim(CASE WHEN arrow AND m0 = '' AND (NOT starts_with(receiver, '$') OR lower(receiver) = '$this') THEN receiver ELSE m0 END, {_WS}) AS m1, CASE WHEN arrow THEN regexp_extract(r0, '(?s)^.*->(.*)$', 1) ELSE r0 END AS r1 FROM e3),
+e5 AS (SELECT *, m1 = '' AND contains(r1, '.') AND NOT starts_with(r1, '.') AS dotted FROM e4),
+asked AS (SELECT note_id, node_id, direction, pos, description, CASE WHEN dotted THEN regexp_extract(r1, '(?s)^(.*)\\.[^.]*$', 1) ELSE m1 END AS module,
+  trim(regexp_replace(CASE WHEN dotted THEN regexp_extract(r1, '(?s)^.*\\.(.*)$', 1) ELSE r1 END, '\\(.*$', ''), {_WS}) AS symbol FROM e5),
+names AS (SELECT id, {_NAME} AS name FROM nodes WHERE {_NAME} <> ''),
+only_one AS (SELECT name, min(id) AS single, count(*) AS named FROM names GROUP BY name),
+by_class AS (SELECT n.name AS class, o.name, min(o.member) AS in_class, count(*) AS classes FROM own o JOIN names n ON n.id = o.container GROUP BY ALL),
+homes AS (SELECT member AS node_id, min(container) AS home FROM own GROUP BY member),
+joined AS (SELECT a.*, lower(module) IN ('$this', 'this', 'self', 'static', 'parent', 'cls') AS pronoun, in_home.member AS in_home, in_class, classes, single, named FROM asked a
+  LEFT JOIN by_class b ON b.class = lower(module) AND b.name = lower(symbol) LEFT JOIN homes h ON h.node_id = a.node_id
+  LEFT JOIN own in_home ON in_home.container = h.home AND in_home.name = lower(symbol) LEFT JOIN only_one o ON o.name = lower(symbol)),
+staged AS (SELECT *, CASE WHEN symbol = '' THEN NULL WHEN pronoun AND in_home IS NOT NULL THEN 'home' WHEN NOT pronoun AND classes = 1 THEN 'class' WHEN module = '' AND named = 1 THEN 'name' END AS stage FROM joined)"""
+
+
+@query(f"""
+WITH {_L}, {_MEMBERS}, {_TARGETS}
+SELECT note_id, direction, CAST(pos AS INTEGER) AS pos, module, symbol, stage, CASE stage WHEN 'home' THEN in_home WHEN 'class' THEN in_class WHEN 'name' THEN single END AS resolved,
+  CASE WHEN stage IS NULL THEN CASE WHEN symbol = '' THEN 'no-symbol' WHEN coalesce(named > 1, false) OR coalesce(classes > 1, false) THEN 'ambiguous' WHEN named IS NULL THEN 'unknown' ELSE 'member-absent' END END AS miss FROM staged
+""")
 def note_targets(spark, d):
     """What the targets of notes resolve to."""
     nodes = _nodes(spark, d)

@@ -150,7 +150,21 @@ def merge_input(u: DataFrame) -> DataFrame:
     return u.select("key", F.col("updated_at").alias("seq"), F.col("update_id").alias("id"), "status", "description", "affected_nodes", none.alias("source_cve"), none.alias("patch_state"), F.lit(False).alias("force_reset"))
 
 
-@query()
+_BOTH = "list_filter(list_concat(coalesce({0}, []), coalesce({1}, [])), lambda x: x IS NOT NULL AND x <> '')"
+_UNION = lambda x, y: f"list_filter({_BOTH.format(x, y)}, lambda x, i: list_position({_BOTH.format(x, y)}, x) = i)"
+_ANSWERS = ", ".join(f"'{s}'" for s in sorted(merge.ANSWERS))
+
+
+@query(f"""
+WITH RECURSIVE {_U}, n AS (SELECT key, update_id, coalesce(nullif(lower(trim(status, {_WS})), ''), 'hypothesis') AS s, {_RANK} AS rank, description, affected_nodes, row_number() OVER (PARTITION BY key ORDER BY updated_at NULLS FIRST, update_id) AS rn FROM u),
+r AS (SELECT key, rn, s, rank, description, affected_nodes AS nodes, update_id AS seed FROM n WHERE rn = 1
+  UNION ALL SELECT key, rn, CASE WHEN take THEN new_s ELSE s END, CASE WHEN take THEN new_rank ELSE rank END,
+    CASE WHEN take THEN new_text WHEN same AND coalesce(new_text, '') <> '' AND NOT contains(coalesce(description, ''), new_text) THEN coalesce(description, '') || chr(10) || chr(10) || 'Additional context: ' || new_text ELSE description END,
+    CASE WHEN take THEN {_UNION("new_nodes", "nodes")} WHEN same THEN {_UNION("nodes", "new_nodes")} ELSE nodes END, CASE WHEN take THEN new_id ELSE seed END
+  FROM (SELECT n.key, n.rn, r.s, r.rank, r.description, r.nodes, r.seed, n.s AS new_s, n.rank AS new_rank, n.description AS new_text, n.affected_nodes AS new_nodes, n.update_id AS new_id,
+      (r.s = 'insufficient_context' AND n.s IN ({_ANSWERS})) OR n.rank > r.rank AS take, n.rank = r.rank AS same FROM r JOIN n ON n.key = r.key AND n.rn = r.rn + 1))
+SELECT key, s AS status, description, nodes AS affected_nodes, seed AS seed_id, rn AS records FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY rn DESC) = 1
+""")
 def merged_records(spark, d):
     """One record per vuln_id by the order-dependent reducer."""
     m = merge.merge_records(merge_input(_updates(spark, d)))
