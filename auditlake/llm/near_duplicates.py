@@ -242,8 +242,10 @@ def near_duplicates(df: DataFrame, row_id: str, texts: list[str], t: float, scra
     spark = df.sparkSession
     carry = carry or []
     counts = token_counts(df, texts)
-    rows = classes(df, row_id, texts, counts, df.count(), carry).persist(StorageLevel.MEMORY_AND_DISK)
-    members = scratch.keep(rows.select("sig", row_id, *carry).distinct())
+    own = [row_id, *carry]  # under names of our own until the end
+    named = df.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(own)], *texts)
+    rows = classes(named, "__0", texts, counts, df.count(), [f"__{i}" for i in range(1, len(own))]).persist(StorageLevel.MEMORY_AND_DISK)
+    members = scratch.keep(rows.select("sig", *[f"__{i}" for i in range(len(own))]).distinct()).toDF("sig", *own)
     spread = rows.where("tokens IS NOT NULL").select("sig", "grp", "size", "m1", "m2", "alone", "tokens").repartition(shuffle_partitions(spark), "grp")
     sets = spread.dropDuplicates(["grp", "sig"]).persist(StorageLevel.MEMORY_AND_DISK)
     sets.count()

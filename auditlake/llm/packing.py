@@ -16,7 +16,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,14 +115,15 @@ PACKED = "limit_name string, window bigint, slot int, doc_id bigint, piece int,
 def pack(windowed: DataFrame, limits: list[tuple[str, int]]) -> DataFrame:
     """The pieces of every document for every capacity: container (window, slot), piece number and first token.
 
-    A group is a window, which a fixed number of tokens bounds. A capacity below 1 is an error.
+    A group is a window, which a fixed number of tokens bounds. A capacity below 1 is an error; without limits there
+    are no pieces. Documents without an id, or with one that occurs twice, are packed like others.
     """
     if any(c is None or c < 1 for _, c in limits):
         raise ValueError("a capacity must be at least 1")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "before"], kind="stable")
-        ids, sizes, window = pdf["doc_id"].tolist(), pdf["tokens"].tolist(), int(pdf["window"].iloc[0])
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("doc_id", "ascending"), ("before", "ascending")])
+        ids, sizes, window = t.column("doc_id").to_pylist(), t.column("tokens").to_pylist(), t.column("window")[0].as_py()
         rows = []
         for name, capacity in limits:
             for doc, pieces in zip(ids, fill(sizes, capacity)):
@@ -130,8 +131,8 @@ def pack(windowed: DataFrame, limits: list[tuple[str, int]]) -> DataFrame:
                 for k, (slot, n) in enumerate(pieces):
                     rows.append((name, window, slot, doc, k, first, n))
                     first += n
-        out = pd.DataFrame(rows, columns=["limit_name", "window", "slot", "doc_id", "piece", "first_token", "tokens"])
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        return out
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        columns = list(zip(*rows)) or [()] * len(kinds)
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["limit_name", "window", "slot", "doc_id", "piece", "first_token", "tokens"])
 
-    return windowed.groupBy("window").applyInPandas(run, PACKED)
+    return windowed.groupBy("window").applyInArrow(run, PACKED)

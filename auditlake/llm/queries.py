@@ -131,10 +131,10 @@ def p2_merged(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def p2_sources(spark: SparkSession, d: str) -> DataFrame:
-    """The inferred sensitivity and specificity of every agent, per field."""
-    _, sources = survivors.judge_values(update_claims(spark, d), Scratch(spark))
-    return sources
+def p2_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every status and node that agents stated of a vuln_id, how many of them stated it, and how likely it is true."""
+    judged, _ = survivors.judge_values(update_claims(spark, d), Scratch(spark))
+    return judged.select(F.col("key").alias("vuln_id"), "field", "value", F.size("said").alias("agents"), F.round("truth", 9).alias("truth"))
 
 
 # 5: groups from overlapping lists ------------------------------------------------------------------------------

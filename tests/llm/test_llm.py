@@ -30,8 +30,8 @@ def test_near_duplicates(spark, t):
         rng.shuffle(words)
         data.append((i, " ".join(words).upper() if i % 5 == 0 else ", ".join(words), rng.choice([None, "", "w1 extra"]), "c", "clash"))
     data += [(200, None, None, "c", "x"), (201, " \t", "", "c", "x"), (202, "ÄÖ ...", None, "c", "x"), (203, "k " * 50_000 + "w1 w2", None, "c", "x"), (204, "w2 w1 k", None, "c", "x"), *data[:20]]
-    df = spark.createDataFrame(data, "id bigint, a string, b string, cwe string, sig string").repartition(6)
-    pairs, members = near_duplicates.near_duplicates(df, "id", ["a", "b"], t, Scratch(spark), ["cwe"])
+    df = spark.createDataFrame(data, "id bigint, a string, b string, tokens string, sig string").repartition(6)
+    pairs, members = near_duplicates.near_duplicates(df, "id", ["a", "b"], t, Scratch(spark), ["tokens"])
     sets = {i: word_set(a, b) for i, a, b, *_ in data}
     by_sig = defaultdict(set)
     for r in members.collect():
@@ -185,7 +185,7 @@ TARGETS = "source string, target_share double, max_repeat int"
 def test_mixture(spark):
     rng = random.Random(3)
     data = [(i, rng.choices(["big", "small", "other", None], [8, 1, 3, 1])[0], int(rng.lognormvariate(5, 1.2)), "x") for i in range(6000)]
-    df = spark.createDataFrame(data, "doc_id bigint, source string, tokens bigint, copies string").drop("copies")
+    df = spark.createDataFrame(data, "doc_id bigint, source string, tokens bigint, copies string")
     targets = spark.createDataFrame([(" Big ", 0.5, 1), ("small", 0.3, 3), ("absent", 0.1, 2), ("zero", 0.0, 2), (None, 0.1, 1)], TARGETS)
     t = mixing.read_targets(targets)
     have = {s: sum(d[2] for d in data if d[1] == s) for s in ("big", "small")}
@@ -227,8 +227,8 @@ def test_fill(capacity):
 def test_packing(spark, monkeypatch):
     monkeypatch.setattr(packing, "WINDOW_CONTAINERS", 20)
     rng = random.Random(6)
-    data = [(i, rng.choices(["a", "b", "c", None], [5, 2, 2, 1])[0], rng.choice([0, 1, 5, 30, 90, 250])) for i in range(3000)]
-    df = spark.createDataFrame(data, "doc_id bigint, source string, tokens bigint")
+    data = [(i if i else None, rng.choices(["a", "b", "c", None], [5, 2, 2, 1])[0], rng.choice([0, 1, 5, 30, 90, 250]) if i else 7) for i in range(3000)]
+    df = spark.createDataFrame([(*x, "clash") for x in data], "doc_id bigint, source string, tokens bigint, window string")
     targets = [mixing.Target("a", 0.2, 1), mixing.Target("b", 0.5, 1), mixing.Target("d", 0.3, 1)]
     totals = Counter()
     for _, s, n in data:
@@ -237,7 +237,7 @@ def test_packing(spark, monkeypatch):
     assert set(q) == {"a", "b", packing.OTHER} and abs(sum(p for p, _ in q.values()) - 1) < 1e-9
     windowed = packing.with_windows(df, q, 20 * 100, len(data))
     rows = windowed.collect()
-    assert sorted(r.doc_id for r in rows) == [i for i, _, n in data if n]
+    assert sorted((r.doc_id for r in rows), key=lambda i: i or 0) == [i for i, _, n in data if n]
     by = defaultdict(Counter)
     for r in rows:
         by[r.window][r.source] += r.tokens
