@@ -58,7 +58,7 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     classes are alike to it. The form for collections with large groups of copies, which are never paired."""
     pairs, members = _near_findings(spark, d)
     names = members.groupBy("sig").agg(F.min("finding_id").alias("class_id"))
-    ends = pairs.select(F.col("sig_a").alias("sig")).unionByName(pairs.select(F.col("sig_b").alias("sig"))).groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    ends = pairs.select(F.explode(F.array("sig_a", "sig_b")).alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
     return members.select("sig", "finding_id").distinct().join(names, "sig").join(ends, "sig", "left").select("finding_id", "class_id", F.coalesce("n", F.lit(0)).alias("links"))
 
 
