@@ -29,15 +29,9 @@ def _near_findings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of findings that write down one defect in slightly different words."""
+    """Pairs of findings that write down one defect in slightly different words; of more than MOST_PAIRED exact copies each is paired with the first."""
     pairs, members = _near_findings(spark, d)
-    copies = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("sig").alias("sig_a"), F.col("sig").alias("sig_b"))
-    links = pairs.select("sig_a", "sig_b").unionByName(copies)
-    a = members.select(F.col("sig").alias("sig_a"), F.col("finding_id").alias("a"), F.col("cwe").alias("cwe_a"))
-    b = members.select(F.col("sig").alias("sig_b"), F.col("finding_id").alias("b"), F.col("cwe").alias("cwe_b"))
-    agree = F.col("cwe_a").isNull() | F.col("cwe_b").isNull() | (F.col("cwe_a") == F.col("cwe_b"))
-    once = (F.col("a") < F.col("b")) | ((F.col("sig_a") != F.col("sig_b")) & (F.col("a") != F.col("b")))
-    return links.join(a, "sig_a").join(b, "sig_b").where(agree & once).select(F.least("a", "b").alias("finding_a"), F.greatest("a", "b").alias("finding_b")).distinct()
+    return near_duplicates.member_pairs(pairs, members, "finding_id", "cwe").select(F.col("a").alias("finding_a"), F.col("b").alias("finding_b"))
 
 
 SQL["p1_found"] = f"""

@@ -55,6 +55,16 @@ def test_copies_stand_for_one(spark):
     assert pairs.count() == 1 and members.groupBy("sig").count().where("count = 3000").count() == 1
 
 
+def test_member_pairs(spark):
+    members = spark.createDataFrame([(1, i, k) for i, k in ((10, "x"), (11, "x"), (12, None), (13, "y"))] + [(2, 20, "x"), (2, 21, "y"), (3, 30, None)], "sig bigint, id bigint, cwe string")
+    pairs = spark.createDataFrame([(1, 2), (3, 1)], "sig_a bigint, sig_b bigint")
+    got = lambda most: sorted((r.a, r.b) for r in near_duplicates.member_pairs(pairs, members, "id", "cwe", most).collect())
+    within = [(10, 11), (10, 12), (11, 12), (12, 13)]
+    assert got(1000) == sorted([*within, (10, 20), (11, 20), (12, 20), (12, 21), (13, 21), (10, 30), (11, 30), (12, 30), (13, 30)])
+    assert got(3) == sorted([(10, 11), (10, 12), (12, 13), (10, 20), (12, 20), (12, 21), (13, 21), (10, 30), (12, 30), (13, 30)])
+    assert near_duplicates.member_pairs(pairs.limit(0), members.limit(0), "id", "cwe").collect() == []
+
+
 # components -------------------------------------------------------------------------------------------------------
 
 
