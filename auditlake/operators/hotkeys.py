@@ -29,17 +29,15 @@ def latest_per_key(compressed: DataFrame, keys: Sequence[str], value: str, at: s
     """The k values with the latest `at` of each key that has at least `at_least` distinct values.
 
     `compressed` has one row per key and value. Equal times go to the greater value; a null time counts as the
-    earliest. The rank limit drops all but k rows per key and task before rows move, and the distinct count is
-    a sum of partial counts, so a key with a third of all rows costs no more than its k rows per task.
+    earliest. Whether a key has enough values shows among its first `at_least` ones, so one rank limit serves both:
+    it drops all but that many rows per key and task before they move, and a key with a third of all rows costs no
+    more than that.
     """
-    order = Window.partitionBy(*keys).orderBy(F.col(at).desc_nulls_last(), F.col(value).desc())
-    top = compressed.withColumn(KEY + "rank", F.row_number().over(order)).where(F.col(KEY + "rank") <= k)
-    counts = compressed.groupBy(*[F.col(c).alias(KEY + c) for c in keys]).agg(F.count(F.lit(1)).alias(KEY + "n")).where(F.col(KEY + "n") >= at_least)
-    same = [F.col(c).eqNullSafe(F.col(KEY + c)) for c in keys]
-    cond = same[0]
-    for x in same[1:]:
-        cond = cond & x
-    return top.join(counts, cond, "left_semi").drop(KEY + "rank")
+    whole = Window.partitionBy(*keys)
+    order = whole.orderBy(F.col(at).desc_nulls_last(), F.col(value).desc())
+    top = compressed.withColumn(KEY + "rank", F.row_number().over(order)).where(F.col(KEY + "rank") <= max(k, at_least))
+    enough = top.withColumn(KEY + "n", F.count(F.lit(1)).over(whole)).where((F.col(KEY + "n") >= at_least) & (F.col(KEY + "rank") <= k))
+    return enough.drop(KEY + "rank", KEY + "n")
 
 
 def weighted_profile(compressed: DataFrame, keys: Sequence[str], value: str, percentiles: Sequence[float] = (0.5,)) -> DataFrame:
