@@ -63,22 +63,38 @@ def _batches(batches: Iterator[pa.RecordBatch], texts: int) -> Iterator[tuple[pa
 def token_counts(df: DataFrame, texts: list[str]) -> np.ndarray:
     """How many rows have each hashed token: 2**SKETCH_BITS numbers of one byte, 0 to 15 exactly, then 16 per doubling.
 
-    Only the numbers leave the executors, in as many rows as there are; their number doesn't grow with the corpus.
+    A task counts its rows first and sends its numbers in parts of 1024, of each the places and counts that aren't 0;
+    the parts are added up as they come. What reaches the driver are the numbers themselves, 4 MB whatever the corpus.
     """
+    part = 1 << 10
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for _, sets in _batches(batches, len(texts)):
             if sets:
                 total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 100_000):
-            part = at[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["bucket", "n"])
+        chunks, lows, counts = [], [], []
+        for k in range(len(total) // part):
+            n = total[k * part : (k + 1) * part]
+            at = np.flatnonzero(n)
+            if len(at):
+                chunks.append(k)
+                lows.append(at.astype("<u2").tobytes())
+                counts.append(n[at].astype(np.uint8 if n.max() < 256 else "<i8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(lows, pa.binary()), pa.array(counts, pa.binary())], ["chunk", "lows", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, lows, counts in zip(*(c.to_pylist() for c in b.columns)):
+                at = np.frombuffer(lows, "<u2")
+                sums.setdefault(k, np.zeros(part, np.int64))[at] += np.frombuffer(counts, np.uint8 if len(counts) == len(at) else "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([coarse(n).tobytes() for n in sums.values()], pa.binary())], ["chunk", "counts"])
 
-    rows = df.select(*texts).mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    parts = df.select(*texts).mapInArrow(run, "chunk int, lows binary, counts binary").repartition("chunk")
     out = np.ones(1 << SKETCH_BITS, np.uint8)
-    out[rows.column("bucket").to_numpy()] = coarse(rows.column("n").to_numpy())
+    for r in parts.mapInArrow(add, "chunk int, counts binary").collect():
+        out[r.chunk * part : (r.chunk + 1) * part] = np.frombuffer(r.counts, np.uint8)
     return out
 
 
