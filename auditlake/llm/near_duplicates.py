@@ -283,13 +283,16 @@ def member_pairs(pairs: DataFrame, members: DataFrame, row_id: str, kind: str, m
     m = members.select("sig", F.col(row_id).alias("id"), F.col(kind).alias("kind"))
     sizes = m.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
     large = sizes.where(F.col("n") > most).select("sig")
-    heads = m.join(large, "sig", "left_semi").groupBy("sig", "kind").agg(F.min("id").alias("id"))
-    acting = m.join(large, "sig", "left_anti").unionByName(heads.select("sig", "id", "kind"))
+    acting, copies = m, None
+    if not large.isEmpty():
+        heads = m.join(large, "sig", "left_semi").groupBy("sig", "kind").agg(F.min("id").alias("id"))
+        acting = m.join(large, "sig", "left_anti").unionByName(heads.select("sig", "id", "kind"))
+        h = heads.select(F.col("sig").alias("s"), F.col("kind").alias("k"), F.col("id").alias("a"))
+        copies = m.join(large, "sig", "left_semi").join(h, (F.col("sig") == F.col("s")) & F.col("kind").eqNullSafe(F.col("k"))).where("id <> a").select("a", F.col("id").alias("b"))
     links = pairs.select("sig_a", "sig_b").unionByName(sizes.where("n > 1").select(F.col("sig").alias("sig_a"), F.col("sig").alias("sig_b")))
     end = lambda x: acting.select(F.col("sig").alias(f"sig_{x}"), F.col("id").alias(x), F.col("kind").alias(f"kind_{x}"))
     agree = F.col("kind_a").isNull() | F.col("kind_b").isNull() | (F.col("kind_a") == F.col("kind_b"))
     once = (F.col("a") < F.col("b")) | ((F.col("sig_a") != F.col("sig_b")) & (F.col("a") != F.col("b")))
     found = links.join(end("a"), "sig_a").join(end("b"), "sig_b").where(agree & once).select("a", "b")
-    h = heads.select(F.col("sig").alias("s"), F.col("kind").alias("k"), F.col("id").alias("a"))
-    copies = m.join(large, "sig", "left_semi").join(h, (F.col("sig") == F.col("s")) & F.col("kind").eqNullSafe(F.col("k"))).where("id <> a").select("a", F.col("id").alias("b"))
-    return found.unionByName(copies).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = found if copies is None else found.unionByName(copies)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
