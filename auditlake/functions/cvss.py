@@ -24,10 +24,8 @@ def _metric(vector: Column, name: str) -> Column:
 
 
 def _weight(value: Column, weights: dict[str, float]) -> Column:
-    out = F.lit(None).cast("double")
-    for k, w in weights.items():
-        out = F.when(value == k, F.lit(w)).otherwise(out)
-    return out
+    """A look-up in a literal map, in which the value stands once; null for unknown values."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), value)
 
 
 def base_score(vector: Column | str) -> Column:
@@ -35,9 +33,9 @@ def base_score(vector: Column | str) -> Column:
     given twice the last value counts."""
     v = F.col(vector) if isinstance(vector, str) else vector
     w = {m: _weight(_metric(v, m), table) for m, table in WEIGHTS.items()}
-    scope, pr = _metric(v, "S"), _metric(v, "PR")
+    scope = _metric(v, "S")
     changed = F.when(scope == "C", F.lit(True)).when(scope == "U", F.lit(False))
-    privilege = F.when(changed, _weight(pr, PRIVILEGES["C"])).otherwise(_weight(pr, PRIVILEGES["U"]))
+    privilege = _weight(F.concat(scope, _metric(v, "PR")), {s + k: w for s, table in PRIVILEGES.items() for k, w in table.items()})
     sub = 1 - (1 - w["C"]) * (1 - w["I"]) * (1 - w["A"])
     reach = 8.22 * w["AV"] * w["AC"] * privilege * w["UI"]
     impact = F.when(changed, 7.52 * (sub - 0.029) - 3.25 * F.pow(sub - 0.02, F.lit(15.0))).otherwise(6.42 * sub)
