@@ -64,6 +64,30 @@ def merge_texts(records: DataFrame, keys: list[str], order: list[str], text: str
     return ordered_fold(records, keys, [*order, row_id], step, lambda s: [s], schema)
 
 
+def identity_heads(records: DataFrame, key: str, order: list[str], row_id: str, text: str, others: list[str]) -> DataFrame:
+    """(row_id, first_id, text, others): every record with the first of its key in order. The first has its other columns
+    and its text with what later ones add to it, as in `merge_texts`; of later ones these are null. `order` ends in the
+    record's id, so that rows sent again follow one another and count once."""
+    empty = dict.fromkeys([text, *others])
+
+    def step(state, row):
+        if state is None:
+            return {"first": row, "text": row[text], "last": row[row_id]}, ()
+        if row[row_id] == state["last"]:
+            return state, ()
+        extra, state["last"] = row[text] or "", row[row_id]
+        if extra and extra not in (state["text"] or ""):
+            state["text"] = f"{state['text'] or ''}\n\nAdditional context: {extra}"
+        return state, [{row_id: row[row_id], "first_id": state["first"][row_id], **empty}]
+
+    def finish(state):
+        return [{**{c: state["first"][c] for c in (row_id, *others)}, "first_id": state["first"][row_id], text: state["text"]}]
+
+    kinds = {f.name: f.dataType.simpleString() for f in records.schema.fields}
+    schema = f"`{row_id}` {kinds[row_id]}, first_id {kinds[row_id]}, " + ", ".join(f"`{c}` {kinds[c]}" for c in (text, *others))
+    return ordered_fold(records.select(*dict.fromkeys([key, *order, row_id, text, *others])), [key], order, step, finish, schema)
+
+
 def distinct_descriptions(rows: DataFrame, key: str, text: str, most: int = 3) -> DataFrame:
     """(key, place, text): up to `most` texts of each key, the longest first, none contained in a kept one when case and
     all but letters and digits are ignored. Equal lengths stand in order of the text; repeated texts count once."""
@@ -207,6 +231,21 @@ def with_vectors(texts: DataFrame, text: str, cache: DataFrame | None, model: st
     return d.join(known, "text_key", "left").select(*texts.columns, "text_key", "vector")
 
 
+def made_vectors(texts: DataFrame, text: str, provider) -> DataFrame:
+    """Puts `vector` in place of the text, as the provider makes it row by row; null texts have none. For providers that cost
+    less than the exchange by which `with_vectors` asks for each text once."""
+    rest = [f for f in texts.schema.fields if f.name != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = iter(provider([t for t in b.column(0).to_pylist() if t is not None]))
+            vectors = [next(got) if ok else None for ok in b.column(0).is_valid().to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(vectors, pa.list_(pa.float32()))], [*[f.name for f in rest], "vector"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", vector array<float>"
+    return texts.select(text, *[f.name for f in rest]).mapInArrow(run, schema)
+
+
 def hashed_vectors(size: int = 64):
     """A provider that needs no model: words and pairs of words hashed to `size` signed counts."""
     import re
@@ -226,46 +265,98 @@ def hashed_vectors(size: int = 64):
     return provide
 
 
-def gated_clusters(records: DataFrame, group: list[str], row_id: str) -> DataFrame:
-    """(row_id, seed): findings in order of their id join the nearest seed of their group that the two-sided gate lets
-    them, the earlier one among equals, or become a seed. Seeds take at most MOST_MERGED findings of other nodes.
-    `records` have nodes (a text), tokens, degenerate and vector; findings without a vector are seeds of nobody.
-    A group is one stream whose seeds are held, so groups are cut to a bounded size before."""
-
-    def step(state, row):
-        seeds, matrix, crossed = state or ([], None, [])
-        if row["vector"] is None:
-            return (seeds, matrix, crossed), [{"row_id": row[row_id], "seed": row[row_id]}]
-        v = _unit(np.array([row["vector"]], np.float64))
-        tokens = set(row["tokens"] or ())
-        if seeds:
-            sim = np.round(matrix[: len(seeds)] @ v[0], 12)
-            for at in np.lexsort((np.arange(len(seeds)), -sim)):
-                if sim[at] < SAME_NODES:
+#: Rows that are compared with all seeds at once, and seeds per product of matrices.
+GATE_BLOCK, GATE_TILE = 512, 8192
+
+
+class _Seeds:
+    """The seeds of one group: their vectors in double precision, and in single precision to find candidates by."""
+
+    def __init__(self, width: int):
+        self.rows, self.crossed, self.at_nodes = [], [], {}
+        self.exact, self.rough = np.zeros((16, width)), np.zeros((16, width), np.float32)
+
+    def add(self, row: dict, v: np.ndarray) -> int:
+        n = len(self.rows)
+        if n == len(self.exact):
+            self.exact, self.rough = (np.concatenate([m, np.zeros_like(m)]) for m in (self.exact, self.rough))
+        self.exact[n] = self.rough[n] = v
+        self.rows.append(row)
+        self.crossed.append(0)
+        self.at_nodes.setdefault(row["nodes"], []).append(n)
+        return n
+
+    def alike(self, block: np.ndarray, least: float) -> list[np.ndarray]:
+        """Of each row of the block, the seeds whose rough cosine reaches `least`."""
+        found: list[list] = [[] for _ in block]
+        for start in range(0, len(self.rows), GATE_TILE):
+            i, at = np.nonzero(block @ self.rough[start : min(start + GATE_TILE, len(self.rows))].T >= least)
+            for k, part in zip(np.unique(i), np.split(at + start, np.flatnonzero(np.diff(i)) + 1)):
+                found[k].append(part)
+        return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in found]
+
+
+def _gate(row: dict, seed: dict, cosine: float, same: bool) -> bool:
+    """`mergeable` for one pair, of which the cosine is at least SAME_NODES."""
+    if same:
+        return True
+    weak = row["degenerate"] or seed["degenerate"]
+    if cosine < WITH_ANCHOR or cosine < CROSS_NODES and weak:
+        return False
+    a, b = row["tokens"], seed["tokens"]
+    jaccard = len(a & b) / len(a | b) if a and b else 0.0
+    return weak or cosine >= CERTAIN_COSINE or jaccard >= CONFIDENT_JACCARD if cosine >= CROSS_NODES else jaccard >= ANCHOR_JACCARD
+
+
+def gated_clusters(records: DataFrame, group: list[str], row_id: str, order: list[str] | None = None) -> DataFrame:
+    """(row_id, seed): findings in order (of their id, if none is given) join the nearest seed of their group that the
+    two-sided gate lets them, the earlier one among equals, or become a seed. Seeds take at most MOST_MERGED findings of
+    other nodes. `records` have nodes (a text), tokens, degenerate and vector; findings without a vector are seeds of nobody.
+
+    A group is one stream, whose seeds are held (three numbers of four bytes per place of the vector, and the anchor).
+    Rows meet all seeds in blocks: a product in single precision finds those that may pass at other nodes, a list those
+    at the same nodes, and only these are looked at one by one. So it is exact, but work grows with the square of a group.
+    """
+    least = WITH_ANCHOR - 1e-4  # single precision is off by less
+
+    def settle(seeds, block):
+        have = [r for r in block if r["vector"] is not None]
+        out = [{"row_id": r[row_id], "seed": r[row_id]} for r in block if r["vector"] is None]
+        if not have:
+            return seeds, out
+        m = _unit(np.array([r["vector"] for r in have], np.float64))
+        seeds = seeds or _Seeds(m.shape[1])
+        rough = m.astype(np.float32)
+        before, inside = seeds.alike(rough, least), rough @ rough.T >= least
+        became = np.full(len(have), -1)
+        for i, raw in enumerate(have):
+            row = {"id": raw[row_id], "nodes": raw["nodes"], "tokens": set(raw["tokens"] or ()), "degenerate": raw["degenerate"]}
+            fresh = became[:i][inside[i, :i]]
+            at = np.unique(np.concatenate([before[i], fresh[fresh >= 0], np.array(seeds.at_nodes.get(row["nodes"], ()), np.int64)]))
+            cosines, joined = np.round(seeds.exact[at] @ m[i], 12), None
+            for k in np.lexsort((at, -cosines)):
+                if cosines[k] < SAME_NODES:
                     break
-                s, c = seeds[at], float(sim[at])
+                s = seeds.rows[at[k]]
                 same = s["nodes"] == row["nodes"]
-                both = len(tokens | s["tokens"])
-                jaccard = len(tokens & s["tokens"]) / both if tokens and s["tokens"] else 0.0
-                weak = s["degenerate"] or row["degenerate"]
-                if same:
-                    passes = c >= SAME_NODES
-                elif c >= CROSS_NODES:
-                    passes = weak or c >= CERTAIN_COSINE or jaccard >= CONFIDENT_JACCARD
-                else:
-                    passes = c >= WITH_ANCHOR and not weak and jaccard >= ANCHOR_JACCARD
-                if passes and (same or crossed[at] < MOST_MERGED):
-                    crossed[at] += not same
-                    return (seeds, matrix, crossed), [{"row_id": row[row_id], "seed": s["id"]}]
-        if matrix is None or len(seeds) == len(matrix):
-            bigger = np.zeros((max(16, 2 * len(seeds)), v.shape[1]))
-            if len(seeds):
-                bigger[: len(seeds)] = matrix
-            matrix = bigger
-        matrix[len(seeds)] = v[0]
-        seeds.append({"id": row[row_id], "nodes": row["nodes"], "tokens": tokens, "degenerate": row["degenerate"]})
-        crossed.append(0)
-        return (seeds, matrix, crossed), [{"row_id": row[row_id], "seed": row[row_id]}]
+                if (same or seeds.crossed[at[k]] < MOST_MERGED) and _gate(row, s, float(cosines[k]), same):
+                    seeds.crossed[at[k]] += not same
+                    joined = s
+                    break
+            if joined is None:
+                became[i] = seeds.add(row, m[i])
+            out.append({"row_id": row["id"], "seed": (joined or row)["id"]})
+        return seeds, out
+
+    def step(state, row):
+        seeds, block = state or (None, [])
+        block.append(row)
+        if len(block) < GATE_BLOCK:
+            return (seeds, block), ()
+        seeds, out = settle(seeds, block)
+        return (seeds, []), out
 
     kind = records.schema[row_id].dataType.simpleString()
-    return ordered_fold(records.select(*group, row_id, "nodes", "tokens", "degenerate", "vector"), group, [row_id], step, lambda s: (), f"row_id {kind}, seed {kind}")
+    order = order or [row_id]
+    cols = list(dict.fromkeys([*group, *order, row_id, "nodes", "tokens", "degenerate", "vector"]))
+    return ordered_fold(records.select(*cols), group, order, step, lambda s: settle(*s)[1], f"row_id {kind}, seed {kind}")

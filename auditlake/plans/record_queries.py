@@ -543,13 +543,20 @@ def search_overflow(spark, d):
 
 @query()
 def hypothesis_clusters(spark, d):
-    """Findings of a review group that vectors and anchors say are one, with hashed vectors in place of a model's."""
-    f = _findings(spark, d)
+    """Every finding with the one that stands for it: the first of its identity, and of those of its kind and class the one
+    that vectors and anchors say is the same, with hashed vectors in place of a model's. Findings of a CVE stand alone."""
+    scratch = Scratch(spark)
+    key = linkage.exact_key() | {"cwe": text.cwe_key("cwe_id")}
+    f = table(spark, d, "findings").withColumns({"v": F.coalesce("vuln_id", F.lit("")), "alone": F.coalesce(F.col("source_cve"), F.lit("")) != "", **key})
+    f = f.withColumn("same", F.md5(F.to_json(F.struct(F.when(F.col("alone"), F.col("finding_id")).alias("id"), *key))))
+    h = linkage.identity_heads(f, "same", ["v", "finding_id"], "finding_id", "description", ["alone", "kind", "cwe", "nodes", "v", "vulnerability_type", "cwe_id", "vulnerable_component"])
     t = text.embedding_text(*[F.col(c) for c in ("vulnerability_type", "cwe_id", "vulnerable_component", "description")])
-    r = f.select("finding_id", F.array_join(linkage.sorted_nodes("affected_nodes"), "\x1f").alias("nodes"), text.component_tokens("vulnerable_component").alias("tokens"), text.degenerate_anchor("vulnerable_component").alias("degenerate"), t.alias("t"))
-    v = linkage.with_vectors(r, "t", None, "hashed", linkage.hashed_vectors(), 64)
-    c = linkage.gated_clusters(review_groups(spark, d).join(v, "finding_id"), ["cwe", "chunk"], "finding_id")
-    return c.select(F.col("row_id").alias("finding_id"), "seed")
+    head = F.col("finding_id") == F.col("first_id")
+    r = h.select("finding_id", "first_id", "alone", "kind", "cwe", "nodes", "v", text.component_tokens("vulnerable_component").alias("tokens"), text.degenerate_anchor("vulnerable_component").alias("degenerate"), F.when(head & ~F.col("alone"), t).alias("t"))
+    kept = scratch.keep(linkage.made_vectors(r, "t", linkage.hashed_vectors()))
+    c = scratch.keep(linkage.gated_clusters(kept.where(head & ~F.col("alone")), ["kind", "cwe"], "finding_id", ["nodes", "v", "finding_id"]))
+    later = kept.where(~head).select("finding_id", F.col("first_id").alias("row_id")).join(c, "row_id").select("finding_id", "seed")
+    return c.withColumnRenamed("row_id", "finding_id").unionByName(later).unionByName(kept.where("alone").select("finding_id", F.col("finding_id").alias("seed")))
 
 
 @query(f"""
