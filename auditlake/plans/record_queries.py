@@ -520,10 +520,19 @@ def code_features(spark, d):
     return code.python_features(code.code_blocks(table(spark, d, "documents"), ["doc_id"], "text"), ["doc_id", "block_no"], "code").select("doc_id", "block_no", "parsed", "imports", F.size("symbols").alias("symbols"), "calls", "branches", "inert")
 
 
+_TAGS = (
+    "html|head|body|title|meta|link|base|style|script|noscript|template|slot|main|section|article|aside|header|footer|nav|address|search|hgroup|h[1-6]|p|div|span|a|img|picture|source|video|audio|track|canvas|svg|math|map|area|iframe|embed|object|param|"
+    "br|hr|wbr|pre|code|kbd|samp|var|blockquote|q|cite|em|strong|small|b|i|s|u|sub|sup|mark|del|ins|abbr|dfn|bdi|bdo|data|time|ruby|rt|rp|ul|ol|li|menu|dl|dt|dd|figure|figcaption|details|summary|dialog|"
+    "table|caption|colgroup|col|thead|tbody|tfoot|tr|th|td|form|fieldset|legend|label|input|button|select|optgroup|option|datalist|textarea|output|progress|meter|center|font|frame|frameset"
+)
+#: An opening tag of HTML, case aside, or its document type.
+_MARKED = rf"(?i)<(?:!doctype\s+html\b|(?:{_TAGS})(?:[\s/][^<>]*)?>)"
+
+
 @query()
 def marked_up(spark, d):
     """The visible text and links of documents in HTML."""
-    h = table(spark, d, "documents").where(F.col("text").rlike(r"<p>"))
+    h = table(spark, d, "documents").where(F.col("text").rlike(_MARKED))
     return code.html_parts(h, ["doc_id"], "text").select("doc_id", F.length("text").alias("characters"), F.size("links").alias("links"), "forms")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import text
 from auditlake.operators import code, groups, histories
+from auditlake.plans import record_queries
 
 
 def test_code(rows):
@@ -34,6 +35,14 @@ def test_html(rows):
     assert (got[1].text, got[1].links, got[2].text) == (None, [], "")
 
 
+def test_html_by_any_tag(spark, rows, tmp_path):
+    pages = ["<P>a</P>", '<p class="x">a', "<div>a</div>", "x<br/>y", '<A\nHREF="/b">a</A>', "<form action=q>", "<!DOCTYPE html>a", "<p>a</p>", "a<p>b</p>", "a < b > c", "<T>", "<pre", None, "Map<String, a>"]
+    html = {*range(9)}
+    rows("doc_id bigint, text string", *enumerate(pages)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in record_queries.marked_up(spark, str(tmp_path)).collect()}
+    assert got.keys() == html and (got[4].links, got[5].forms) == (1, 1)
+
+
 def test_script_only():
     t = "<template>\n<b/>\n</template>\n<script lang='ts'>\nlet a\n</script>\n<style/>"
     out = code.script_only(t, "x/A.VUE")
