@@ -184,25 +184,22 @@ def documents_in(text: str | None) -> list:
         found.append(value)
 
 
-def records_in(value, id_field: str, depth: int = 0) -> Iterator[dict]:
-    """The objects with an id, however they are wrapped: in lists, under other keys, or as JSON quoted in a string."""
-    if depth > 8:
-        return
-    if isinstance(value, str):
-        if '"' in value:
-            for x in documents_in(value):
-                if not isinstance(x, str):
-                    yield from records_in(x, id_field, depth + 1)
-    elif isinstance(value, list):
-        for x in value:
-            yield from records_in(x, id_field, depth + 1)
-    elif isinstance(value, dict):
-        if id_field in value:
-            yield value
-        else:
-            for x in value.values():
-                if isinstance(x, (dict, list)):
-                    yield from records_in(x, id_field, depth + 1)
+def records_in(value, id_field: str) -> Iterator[dict]:
+    """The objects with an id, however they are wrapped: in lists, under other keys, or as JSON quoted in a string, at any
+    level. What a record itself holds is not searched."""
+    todo = [value]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            if '"' in x:  # each string is shorter than the one that quotes it
+                todo.extend(reversed(documents_in(x)))
+        elif isinstance(x, list):
+            todo.extend(reversed(x))
+        elif isinstance(x, dict):
+            if id_field in x:
+                yield x
+            else:
+                todo.extend(reversed(x.values()))
 
 
 def as_text(value) -> str | None:

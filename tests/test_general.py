@@ -53,6 +53,19 @@ def test_answers():
     assert parse(pa.array([json.dumps({"notes": [{"note_id": "12", "vulns": [5, [1], {"cwe": 3}]}]})])).to_pylist()[0]["vulns"] == [None, None, {"cwe": "3"}]
 
 
+def test_answers_wrapped_deeply():
+    note = {"note_id": 7, "upstream": [{"target": "t"}]}
+    parse = shredding.answer_parser("note_id", {"upstream": ["target"]}, "target")
+    deep = note
+    for k in range(40):
+        deep = {"k": deep} if k % 2 else [deep]
+    quoted = json.dumps(json.dumps(json.dumps(note)))
+    for x in (deep, {"answer": json.dumps(note)}, {"a": [{"b": f"```json\n{json.dumps([note])}\n```"}]}, {"a": quoted}):
+        assert parse(pa.array([json.dumps(x)])).to_pylist() == [{"key": 7, "upstream": [{"target": "t"}]}], x
+    inner = {"note_id": 7, "upstream": [{"target": "t"}], "more": json.dumps({"note_id": 8})}
+    assert [r["key"] for r in parse(pa.array([json.dumps({"a": inner, "b": 'say "hello"', "c": '"'})])).to_pylist()] == [7]
+
+
 def test_entries_of_tables(rows):
     schema = "note_id bigint, branch string, pos string, key string, upstream array<struct<target:string,description:string>>"
     df = rows(schema, (1, "x", "y", "z", [("a", None), None]), (2, None, None, None, []), (3, None, None, None, None), (1, "x", "y", "z", [("a", None), None]), (None, "", "", "", [("b", "")]))
