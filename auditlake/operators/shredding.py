@@ -108,21 +108,27 @@ def assemble(leaves: list[Leaf], ancestor: tuple[str, ...]) -> tuple[np.ndarray,
     return rows, places, columns
 
 
-def level_table(df: DataFrame, key: str, column: str) -> DataFrame:
-    """The level sequences of one nested column as rows (key, path, slot, rep, def, value), value as text."""
-    key_type = df.schema[key].dataType.simpleString()
+def level_table(df: DataFrame, key: str, columns: str | list[str], parse: Callable | None = None) -> DataFrame:
+    """The level sequences of nested columns as rows (key, path, slot, rep, def, value), value as text. With `parse`, the
+    records are what it makes of each value of the single column `key`, as in `entries`."""
+    columns = [columns] if isinstance(columns, str) else columns
+    key_type = df.schema[key].dataType.simpleString() if parse is None else "bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for leaf in shred_array(b.column(1), (column,)):
-                starts = np.r_[0, np.flatnonzero(np.diff(leaf.row)) + 1] if len(leaf.row) else np.zeros(0, int)
-                slot = np.arange(len(leaf.row)) - np.repeat(starts, np.diff(np.r_[starts, len(leaf.row)]))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(leaf.row)), pa.array([".".join(leaf.path)] * len(leaf.row), pa.string()), pa.array(slot.astype(np.int32)), pa.array(leaf.rep.astype(np.int32)), pa.array(leaf.defn.astype(np.int32)), leaf.values.take(pa.array(leaf.at, mask=leaf.at < 0)).cast(pa.string())],
-                    ["key", "path", "slot", "rep", "def", "value"],
-                )
-
-    return df.select(F.col(key).alias("key"), column).mapInArrow(run, f"key {key_type}, path string, slot int, rep int, def int, value string")
+            parsed = None if parse is None else parse(b.column(0))
+            keys = b.column(0) if parsed is None else parsed.field("key")
+            for k, column in enumerate(columns):
+                for leaf in shred_array(b.column(1 + k) if parsed is None else parsed.field(column), (column,)):
+                    starts = np.r_[0, np.flatnonzero(np.diff(leaf.row)) + 1] if len(leaf.row) else np.zeros(0, int)
+                    slot = np.arange(len(leaf.row)) - np.repeat(starts, np.diff(np.r_[starts, len(leaf.row)]))
+                    yield pa.RecordBatch.from_arrays(
+                        [keys.take(pa.array(leaf.row)), pa.array([".".join(leaf.path)] * len(leaf.row), pa.string()), pa.array(slot.astype(np.int32)), pa.array(leaf.rep.astype(np.int32)), pa.array(leaf.defn.astype(np.int32)), leaf.values.take(pa.array(leaf.at, mask=leaf.at < 0)).cast(pa.string())],
+                        ["key", "path", "slot", "rep", "def", "value"],
+                    )
+
+    picked = df.select(F.col(key).alias("key"), *columns) if parse is None else df.select(key)
+    return picked.mapInArrow(run, f"key {key_type}, path string, slot int, rep int, def int, value string")
 
 
 def entries(df: DataFrame, key: str, branches: dict[str, list[str]], parse: Callable | None = None) -> DataFrame:

@@ -15,11 +15,11 @@ BRANCHES = {
 }
 
 
-def note_entries(spark: SparkSession, d: str) -> DataFrame:
+def note_entries(spark: SparkSession, d: str, branches: dict[str, list[str]] = BRANCHES) -> DataFrame:
     """Every list entry of `notes` and of the notes in raw answers: key, branch, pos and the fields of the branches."""
-    own = shredding.entries(table(spark, d, "notes"), "note_id", BRANCHES)
-    parse = shredding.answer_parser("note_id", BRANCHES, "description")
-    return own.unionByName(shredding.entries(table(spark, d, "note_batches"), "payload", BRANCHES, parse))
+    own = shredding.entries(table(spark, d, "notes"), "note_id", branches)
+    parse = shredding.answer_parser("note_id", branches, "description")
+    return own.unionByName(shredding.entries(table(spark, d, "note_batches"), "payload", branches, parse))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,9 +37,33 @@ def p3_vulns(spark: SparkSession, d: str) -> DataFrame:
     return e.where(F.col("key").isNotNull()).select(F.col("key").alias("note_id"), "pos", *BRANCHES["vulns"]).distinct()
 
 
+def _branch(spark: SparkSession, d: str, name: str) -> DataFrame:
+    e = note_entries(spark, d, {name: BRANCHES[name]})
+    return e.where(F.col("key").isNotNull()).select(F.col("key").alias("note_id"), "pos", *BRANCHES[name]).distinct()
+
+
+def p3_upstream_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The table of `upstream` of stored notes and of those in raw answers, with the note and the place. Where the same
+    note stands in several with other values, each has its row."""
+    return _branch(spark, d, "upstream")
+
+
+def p3_downstream_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The same of `downstream`."""
+    return _branch(spark, d, "downstream")
+
+
+def p3_vulns_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The same of `vulns`: what `p3_vulns` has, and those in raw answers."""
+    return _branch(spark, d, "vulns")
+
+
 def p3_levels(spark: SparkSession, d: str) -> DataFrame:
-    """How many slots each leaf path of `upstream` has at each repetition and definition level."""
-    t = shredding.level_table(table(spark, d, "notes"), "note_id", "upstream")
+    """How many slots each leaf path of the three branches has at each repetition and definition level, over stored notes
+    and those in raw answers, as often as they were sent."""
+    names = list(BRANCHES)
+    parse = shredding.answer_parser("note_id", BRANCHES, "description")
+    t = shredding.level_table(table(spark, d, "notes"), "note_id", names).unionByName(shredding.level_table(table(spark, d, "note_batches"), "payload", names, parse))
     return t.groupBy("path", "rep", "def").agg(F.count(F.lit(1)).alias("slots"), F.count("value").alias("values"))
 
 
@@ -64,7 +88,7 @@ def p4_profile(spark: SparkSession, d: str) -> DataFrame:
     return hotkeys.weighted_profile(c, ["target", "relation"], "source_file", (0.5, 0.9))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_vulns, p3_levels, p4_found, p4_profile)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_vulns, p3_upstream_entries, p3_downstream_entries, p3_vulns_entries, p3_levels, p4_found, p4_profile)}
 
 _WS = r"' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 _PAIRS = f"""

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from auditlake.operators import hotkeys, shredding
+from auditlake.plans import general_queries
 
 DEEP = pa.list_(pa.struct([("a", pa.string()), ("b", pa.list_(pa.struct([("c", pa.int64()), ("d", pa.list_(pa.string()))])))]))
 words = st.one_of(st.none(), st.text("xyz", max_size=2))
@@ -78,6 +79,21 @@ def test_entries_of_tables(rows):
     ]
 
 
+def test_tables_of_all_branches(spark, rows, tmp_path):
+    way, vuln = "array<struct<target:string,description:string>>", "array<struct<cwe:string,component:string,description:string,pattern_label:string>>"
+    note = (1, [("a", "b"), None], [("c", None)], [("CWE-1", "d", "e", None)])
+    rows(f"note_id bigint, upstream {way}, downstream {way}, vulns {vuln}", note, note).write.parquet(f"{tmp_path}/notes.parquet")
+    raw = json.dumps({"notes": [{"note_id": 2, "upstream": [{"target": "x"}], "downstream": ["y"], "vulns": [{"cwe": "CWE-2"}]}]})
+    rows("payload string", (raw,), (raw,), (None,)).write.parquet(f"{tmp_path}/note_batches.parquet")
+    got = lambda f: sorted(map(tuple, f(spark, str(tmp_path)).collect()))
+    assert got(general_queries.p3_upstream_entries) == [(1, 0, "a", "b"), (1, 1, None, None), (2, 0, "x", None)]
+    assert got(general_queries.p3_downstream_entries) == [(1, 0, "c", None), (2, 0, None, "y")]
+    assert got(general_queries.p3_vulns_entries) == [(1, 0, "CWE-1", "d", "e", None), (2, 0, "CWE-2", None, None, None)]
+    levels = {x[:3]: x[3:] for x in got(general_queries.p3_levels)}
+    assert levels[("upstream.list.target", 0, 4)] == (4, 4) and levels[("upstream.list.target", 1, 2)] == (2, 0)
+    assert levels[("downstream.list.description", 0, 4)] == (2, 2) and levels[("vulns.list.cwe", 0, 4)] == (4, 4)
+
+
 def test_hot_keys(rows):
     random.seed(5)
     data = [("hot" if random.random() < 0.6 else random.choice("abc"), random.choice(["u", "v", None]), random.randrange(60), random.choice([None, *range(5)]), "extra", 1, 2) for _ in range(600)]
