@@ -52,13 +52,24 @@ def route_downstream(resolved: DataFrame) -> DataFrame:
     return resolved.where("direction = 'downstream' AND resolved IS NOT NULL AND resolved <> node_id").select(F.col("resolved").alias("target_node"), F.col("node_id").alias("source"), "description")
 
 
+#: Targets that name a parameter, not a member.
+_BARE = "module = '' AND (target LIKE '$%' OR symbol = '')"
+
+
 def route_upstream(demands: DataFrame, callers: DataFrame) -> DataFrame:
     """Demands on callers: one row per caller of the asking node, (target_node, source, parameter_name, description).
     Bare targets only: they name a parameter, not a member. As many rows as callers times demands, by definition."""
-    bare = demands.where("direction = 'upstream' AND module = '' AND (target LIKE '$%' OR symbol = '')")
+    bare = demands.where(f"direction = 'upstream' AND {_BARE}")
     return bare.join(callers.select(F.col("callee").alias("node_id"), F.col("caller").alias("target_node")), "node_id").select("target_node", F.col("node_id").alias("source"), F.col("target").alias("parameter_name"), "description")
 
 
+def unrouted_upstream(demands: DataFrame, callers: DataFrame) -> DataFrame:
+    """Upstream demands that `route_upstream` gives to nobody, with `miss`: call-shaped, or no-caller of a bare one."""
+    called = callers.select(F.col("callee").alias("node_id"), F.lit(True).alias("__called")).distinct()
+    miss = F.when(~F.expr(_BARE), "call-shaped").when(F.col("__called").isNull(), "no-caller")
+    return demands.where("direction = 'upstream'").join(called, "node_id", "left").withColumn("miss", miss).where("miss IS NOT NULL").drop("__called")
+
+
 def distinct_demands(demands: DataFrame, upstream: bool) -> DataFrame:
     """Exact repeats of a target's demands merged: upstream ones by source, parameter and text, others by text, case
     and white space aside. Adds `merged`, how many one stands for; the first by source and text stays."""

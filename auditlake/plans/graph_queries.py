@@ -285,11 +285,18 @@ x AS (SELECT target_node, node_id AS source, target AS parameter_name, descripti
 SELECT target_node, source, parameter_name, min(description) AS description, count(*) AS merged FROM x GROUP BY target_node, source, parameter_name, norm
 """)
 def upstream_demands(spark, d):
-    """What notes ask of the callers of their node, exact repeats merged."""
+    """What notes ask of the callers of their node by bare targets, exact repeats merged; the rest is in `upstream_misses`."""
     up = demands.route_upstream(demands.note_demands(table(spark, d, "notes")), graph.callers(_links(spark, d)))
     return demands.distinct_demands(up, upstream=True)
 
 
+@query()
+def upstream_misses(spark, d):
+    """Upstream entries of notes that reach no caller in `upstream_demands`, and why."""
+    m = demands.unrouted_upstream(demands.note_demands(table(spark, d, "notes")), graph.callers(_links(spark, d)))
+    return m.select("note_id", "node_id", "pos", "target", "module", "symbol", "miss")
+
+
 @query()
 def downstream_demands(spark, d):
     """What notes ask of the nodes they call, exact repeats merged and numbered per node, in slices of 15."""
