@@ -45,14 +45,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_own_roots: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where that is unset, a temporary one of this machine."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only a local master may go without one and gets a temporary
+    folder of this machine; elsewhere the executors would each write to a disk of their own, so it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="auditlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    if root:
+        return root
+    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _own_roots:
+        _own_roots[context.applicationId] = root = "file://" + tempfile.mkdtemp(prefix="auditlake-")
         atexit.register(_remove, spark, root)
-    return root
+    return _own_roots[context.applicationId]
 
 
 def _remove(spark: SparkSession, path: str) -> None:

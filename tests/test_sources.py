@@ -66,3 +66,30 @@ def test_table_functions(spark):
     assert [tuple(r) for r in spark.sql("SELECT * FROM lines_of('a\\nb\\nc', 2, 9)").collect()] == [(2, "b"), (3, "c")]
     assert [tuple(r) for r in spark.sql("SELECT * FROM steps_of('1. go\\n\\n 2) stop')").collect()] == [(1, "go"), (2, "stop")]
     assert spark.sql("SELECT * FROM lines_of(CAST(NULL AS STRING), 1, 2)").collect() == []
+    spark.createDataFrame([("a", "b", "calls"), ("b", "b", "calls"), ("b", "c", "uses"), (None, "b", None)], "source string, target string, relation string").createOrReplaceTempView("graph_links")
+    spark.createDataFrame([("f", "x\r\nrun(1)\nz"), ("g", None)], "path string, body string").createOrReplaceTempView("graph_texts")
+    functions.register(spark)
+    assert sorted(map(str, spark.sql("SELECT * FROM connections_of('b')").toPandas().itertuples(index=False, name=None))) == ["('a', 'calls', 'in')", "('b', 'calls', 'in')", "('c', 'uses', 'out')", "(None, None, 'in')"]
+    assert sorted(tuple(r) for r in spark.sql("SELECT * FROM callers_of('b')").collect()) == [("a", 1), ("b", 1)]
+    assert [tuple(r) for r in spark.sql("SELECT * FROM texts_with('run')").collect()] == [("f", 2, "run(1)")]
+
+
+def test_scratch_root(spark, monkeypatch):
+    import pytest
+
+    from auditlake import session
+
+    class Fake:
+        def __init__(self, master, root=None):
+            self.sparkContext, self.conf = self, self
+            self.master, self.root, self.applicationId = master, root, "fake"
+
+        def get(self, _key, default):
+            return self.root or default
+
+    assert session.scratch_root(Fake("spark://h:7077", "file:///shared")) == "file:///shared"
+    for master in ("spark://h:7077", "yarn", "local-cluster[3,2,3000]", "k8s://h"):
+        with pytest.raises(ValueError):
+            session.scratch_root(Fake(master))
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    assert session.scratch_root(spark) == session.scratch_root(spark) and spark.conf.get("spark.checkpoint.dir", None) == before
