@@ -91,19 +91,22 @@ def extension(path: Column | str) -> Column:
     return F.lower(F.regexp_extract(base_name(path), r"[^.](\.[^.]+)$", 1))
 
 
-_PARAMETER = r"<[^>]+>|\{[^}]*\}|:[A-Za-z_][A-Za-z0-9_]*"
+# What stands for a segment in a route, and how an address names a path.
+ROUTE_PARAMETER = r"<[^>]+>|\{[^}]*\}|:[A-Za-z_][A-Za-z0-9_]*"
+ADDRESS_PATH = r"(?i)^[a-z][a-z0-9+.\-]*://[^/]+(/.*)$"
+# End of the fixed values.
 
 
 def route_regex(route: Column) -> Column:
     """A route as an expression: parameters match one segment, '*' anything, the rest itself."""
-    parts = F.regexp_extract_all(route, F.lit(rf"({_PARAMETER}|\*|[^<{{:*]+|.)"), 1)
-    one = lambda p: F.when(p == "*", F.lit(".*")).when(p.rlike(f"^(?:{_PARAMETER})$"), F.lit("[^/]+")).otherwise(F.concat(F.lit(r"\Q"), p, F.lit(r"\E")))
+    parts = F.regexp_extract_all(route, F.lit(rf"({ROUTE_PARAMETER}|\*|[^<{{:*]+|.)"), 1)
+    one = lambda p: F.when(p == "*", F.lit(".*")).when(p.rlike(f"^(?:{ROUTE_PARAMETER})$"), F.lit("[^/]+")).otherwise(F.concat(F.lit(r"\Q"), p, F.lit(r"\E")))
     return F.array_join(F.transform(parts, one), "")
 
 
 def request_path(address: Column) -> Column:
     """The path of an address or path without query and closing slash; null for what is neither."""
-    path = F.when(address.startswith("/"), address).otherwise(F.nullif(F.regexp_extract(address, r"(?i)^[a-z][a-z0-9+.\-]*://[^/]+(/.*)$", 1), F.lit("")))
+    path = F.when(address.startswith("/"), address).otherwise(F.nullif(F.regexp_extract(address, ADDRESS_PATH, 1), F.lit("")))
     bare = F.rtrim(F.substring_index(path, "?", 1), F.lit("/"))
     return F.when(bare == "", F.lit("/")).otherwise(bare)
 

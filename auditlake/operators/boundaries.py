@@ -59,8 +59,9 @@ def proxy_edges(directives: DataFrame, routes: DataFrame) -> DataFrame:
     return request_edges(q, routes)
 
 
-#: A call on one line: what it is called on, how, and what is called.
+# Fixed value: a call on one line: what it is called on, how, and what is called.
 CALL = r"(\$?[A-Za-z_]\w*)\s*(::|->|\.)\s*([A-Za-z_]\w*)\s*\("
+# End of the fixed value.
 
 
 def repair_calls(calls: DataFrame, members: DataFrame) -> DataFrame:

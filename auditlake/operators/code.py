@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fields of forms that carry a one-time token, and elements without visible text.
@@ -132,17 +132,16 @@ def html_parts(df: DataFrame, keep: list[str], html: str) -> DataFrame:
     return df.select(*keep, F.col(html).alias("__html")).mapInArrow(run, schema)
 
 
-def script_only(text, path):
-    """Component files with everything outside their scripts blanked, line breaks kept; other files as they are. A
-    masked text has no script tags left and stays."""
-    import re
-
-    rx = re.compile(r"(<script\b[^>]*>)(.*?)(</script\s*>)", re.S | re.I)
-    if not text or not (path or "").lower().endswith(".vue") or not rx.search(text):
-        return text
-    blank = lambda s: re.sub(r"[^\r\n]", " ", s)
-    out, at = [], 0
-    for m in rx.finditer(text):
-        out += [blank(text[at : m.start(2)]), m[2], blank(m[3])]
-        at = m.end()
-    return "".join([*out, blank(text[at:])])
+_SCRIPT = r"""(?is)(.*?)(<script\b(?:[^>"']|"[^"]*"|'[^']*')*>)(.*?)(</script\s*>)"""
+
+
+def script_only(text: Column, path: Column) -> Column:
+    """Component files with everything outside their scripts blanked, line breaks and length kept; other files, and
+    those without a whole script, as they are. Null texts stay null."""
+    blank = lambda c: F.regexp_replace(c, r"[^\r\n]", " ")
+    before, opens, body, closes = (F.regexp_extract_all(text, F.lit(_SCRIPT), k) for k in (1, 2, 3, 4))
+    parts = F.arrays_zip(before.alias("b"), opens.alias("o"), body.alias("s"), closes.alias("c"))
+    masked = F.array_join(F.transform(parts, lambda x: F.concat(blank(x["b"]), blank(x["o"]), x["s"], blank(x["c"]))), "")
+    rest = F.substring(text, F.length(masked) + 1, F.length(text))
+    component = F.lower(F.coalesce(path, F.lit(""))).endswith(".vue") & text.rlike(_SCRIPT)
+    return F.when(component, F.concat(masked, blank(rest))).otherwise(text)

@@ -43,11 +43,12 @@ def test_html_by_any_tag(spark, rows, tmp_path):
     assert got.keys() == html and (got[4].links, got[5].forms) == (1, 1)
 
 
-def test_script_only():
-    t = "<template>\n<b/>\n</template>\n<script lang='ts'>\nlet a\n</script>\n<style/>"
-    out = code.script_only(t, "x/A.VUE")
-    assert out.split("\n")[4] == "let a" and [bool(x.strip()) for x in out.split("\n")] == [False] * 4 + [True, False, False] and len(out) == len(t)
-    assert code.script_only(t, "a.js") == t and code.script_only(out, "a.vue") == out and code.script_only(None, "a.vue") is None
+def test_script_only(rows):
+    t = "<template>\n<b/>\n</template>\n<script lang='a>b'>\nlet a\n</script>\r\n<style/><SCRIPT>x</script >"
+    masked = "          \n    \n           \n                   \nlet a\n         \r\n                x          "
+    cases = [(t, "x/A.VUE", masked), (t, "a.js", t), (masked, "a.vue", masked), (None, "a.vue", None), ("", "a.vue", ""), (t, None, t), ("<script>open", "a.vue", "<script>open")]
+    got = rows("t string, p string, e string", *cases).withColumn("g", code.script_only(F.col("t"), F.col("p"))).collect()
+    assert [r.g for r in got] == [r.e for r in got]
 
 
 def plain_split(msgs, tail_turns, max_size):

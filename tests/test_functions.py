@@ -34,8 +34,8 @@ def test_gate_off(rows, threshold):
 
 def test_call_targets(rows):
     cases = [
-        ("Class::method(a, b)", "Class", "method"), ("module.method", "module", "method"), ("Renderer::getInstance()->display", "Renderer", "display"), ("$db->query", "", "query"),
-        ("$this->x", "$this", "x"), ("bare", "", "bare"), ("`a.b.c`()", "a.b", "c"), (".dotted", "", ".dotted"), ("", "", ""), (None, "", ""), ("a->b->c", "a->b", "c"),
+        ("Ledger::post(sum, day)", "Ledger", "post"), ("billing.totals", "billing", "totals"), ("Pool::shared()->borrow", "Pool", "borrow"), ("$conn->fetch", "", "fetch"),
+        ("$this->close", "$this", "close"), ("shutdown", "", "shutdown"), ("`k.l.m`()", "k.l", "m"), (".hidden", "", ".hidden"), ("", "", ""), (None, "", ""), ("p->q->r", "p->q", "r"), (" Ledger :: post ", "Ledger", "post"),
     ]
     df = rows("t string, m string, s string", *cases)
     m, s = text.call_target("t")
@@ -45,8 +45,8 @@ def test_call_targets(rows):
 
 def test_paths(rows):
     cases = {
-        "src/vendor/a.php": True, "node_modules/x/y.js": True, "docs/readme": True, "a/README.md": True, "src/test_x.py": True, "src/x.spec.ts": True, "report_2024-01-02_030405/x.py": True,
-        "report_generator/x.py": False, "src/app.py": False, "src/latest.py": False, "vendors/a.py": False, "": False, None: False,
+        "lib/third_party/z.go": True, "venv/bin/run": True, "target": True, "notes/CHANGES.rst": True, "pkg/test_io.rb": True, "ui/form.spec.js": True, "out/report_2031-12-30_235959/k.c": True,
+        "out/report_2031-12-30/k.c": False, "lib/io.go": False, "lib/contest_io.go": False, "targets/k.c": False, "": False, None: False,
     }
     df = rows("p string, e boolean", *cases.items())
     for r in df.withColumn("g", paths.is_excluded("p")).collect():

@@ -114,9 +114,12 @@ def test_greedy_clusters(spark):
 
 
 def test_search(rows):
-    assert search.file_globs("*.{php,js},!test_*, a{b,c{d,e}}.x") == (["*.php", "*.js", "ab.x", "acd.x", "ace.x"], ["test_*"])
-    assert search.file_globs("a{b") == (["a{b"], [])
-    assert search.pattern("a.b") == r"a\.b" and search.pattern("x(|y+", True) == r"x\(|y+" and search.pattern("(", True) == r"\("
+    assert search.glob_sides("*.{c,h},!gen_*, q{r,s{t,}}.x , !, {u!,v}{1,2}") == (r".*\.(?:c|h)|q(?:r|s(?:t|))\.x|(?:u!|v)(?:1|2)", "gen_.*")
+    assert search.glob_sides("k{m,n") == (r"k\{m|n", "") and search.glob_sides("") == search.glob_sides(" , ") == ("", "")
+    p = rows("p string, e boolean", ("d/a.c", True), ("gen_a.c", False), ("a.h", True), ("a.cc", False), ("x/qst.x", False), (None, None))
+    assert [r[0] for r in p.select(search.matches_globs(F.col("p"), "*.{c,h},!gen_*")).collect()] == [r.e for r in p.collect()]
+    assert [r[0] for r in p.select(search.matches_globs(F.col("p"), None)).collect()] == [True] * 6
+    assert search.pattern("k.v") == r"k\.v" and search.pattern("k(|v+| |w\\|x", True) == r"k\(|v+|w\|x" and search.pattern("[", True) == r"\[" and search.pattern("k|v", True, True) == r"\b(?:k|v)\b"
     df = rows("id bigint, t string, line string", (1, "a\r\nfoo(1)\nb", ""), (2, None, ""), (3, "", ""), (4, "nofoo\nfoo(", ""))
     got = search.matching_lines(df, ["id"], "t", search.pattern("foo(")).collect()
     assert sorted((r.id, r.line_no) for r in got) == [(1, 2), (4, 2)]
