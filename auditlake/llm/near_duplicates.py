@@ -2,12 +2,13 @@
 
 1. Every text becomes its set of tokens, in one order over all tokens: rare ones first, by a count of hashed tokens
    over all texts. Texts with the same set are one class; only one of them goes on.
-2. Classes are partitioned into groups of alike sets: those whose two smallest rare tokens, by hash, agree.
-3. The matrix has a row per group: the union of its members' tokens, hashed to 128 columns, with the sizes of its
-   smallest and largest member. Its inverted side lists, per token, the groups that have it among the tokens a
-   member must share.
+2. Classes are partitioned into groups of alike sets: those that share the token which, of their tokens that a few
+   texts have, comes first by hash.
+3. The matrix has a row per group: the union of its members' tokens, hashed to as many columns as the mean size of the
+   sets asks for, with the sizes of its smallest and largest member. Its inverted side lists, per token, the groups
+   that have it among the tokens a member must share.
 4. A query is the larger set of a pair. It meets the groups that list one of its first tokens, and bounds its
-   overlap with a group by the columns that the group's row lacks. Only groups that may still hold a partner are
+   overlap with such a group by the columns that the group's row lacks. Only groups that may still hold a partner are
    opened, and only then are single sets compared.
 
 No link is lost: of two sets that are alike enough, the larger one's first tokens and the smaller one's first
@@ -17,7 +18,9 @@ bound never falls below the true overlap. Grouping and the counts decide how muc
 
 from __future__ import annotations
 
+import math
 import re
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,15 +30,20 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.session import Scratch, shuffle_partitions
+from auditlake.session import shuffle_partitions
 
 WORD = re.compile(r"[a-z0-9]+")
+MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Hashed tokens are counted in 2**SKETCH_BITS numbers, whatever the corpus.
 SKETCH_BITS = 22
-#: Tokens that a larger share of the texts use are no rare ones, and don't decide a text's group.
-COMMON_SHARE = 0.001
+#: Tokens of 2 to this many texts may name a group, so that no group has many more sets than that.
+MOST_SHARED = 32
+#: The matrix has this many columns, or the next power of two, per token of a mean set; 64 at least and 4096 at most.
+COLUMNS_PER_TOKEN = 4
 #: Groups are told by 40 bits: should two agree, they are one larger group.
-GROUP_MASK = (1 << 40) - 1
+GROUP_BITS = 40
+#: Sizes in postings: larger ones than these are told as unlimited, and don't limit what is met.
+SIZE_LIMIT, QUERY_LIMIT = (1 << 11) - 1, (1 << 23) - 1
 
 
 def token_hashes(texts: list[str | None], cache: dict[str, int]) -> np.ndarray:
@@ -60,21 +68,25 @@ def _batches(batches: Iterator[pa.RecordBatch], texts: int) -> Iterator[tuple[pa
         yield b, [token_hashes(list(row), cache) for row in zip(*columns)]
 
 
-def token_counts(df: DataFrame, texts: list[str]) -> np.ndarray:
-    """How many rows have each hashed token: 2**SKETCH_BITS numbers of one byte, 0 to 15 exactly, then 16 per doubling.
+def token_counts(df: DataFrame, texts: list[str]) -> tuple[np.ndarray, int, int]:
+    """How many rows have each hashed token: 2**SKETCH_BITS numbers of one byte, 0 to 15 exactly, then 16 per doubling;
+    with them the rows that have a token, and the tokens of their sets in all.
 
     A task counts its rows first and sends its numbers in parts of 1024, of each the places and counts that aren't 0;
     the parts are added up as they come. What reaches the driver are the numbers themselves, 4 MB whatever the corpus.
     """
     part = 1 << 10
+    sums_at = (1 << SKETCH_BITS) // part  # the part of rows and tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
+        rows = tokens = 0
         for _, sets in _batches(batches, len(texts)):
             if sets:
                 total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        chunks, lows, counts = [], [], []
-        for k in range(len(total) // part):
+                rows, tokens = rows + sum(len(h) > 0 for h in sets), tokens + sum(map(len, sets))
+        chunks, lows, counts = [sums_at], [np.arange(2, dtype="<u2").tobytes()], [np.array([rows, tokens], "<i8").tobytes()]
+        for k in range(sums_at):
             n = total[k * part : (k + 1) * part]
             at = np.flatnonzero(n)
             if len(at):
@@ -89,13 +101,17 @@ def token_counts(df: DataFrame, texts: list[str]) -> np.ndarray:
             for k, lows, counts in zip(*(c.to_pylist() for c in b.columns)):
                 at = np.frombuffer(lows, "<u2")
                 sums.setdefault(k, np.zeros(part, np.int64))[at] += np.frombuffer(counts, np.uint8 if len(counts) == len(at) else "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([coarse(n).tobytes() for n in sums.values()], pa.binary())], ["chunk", "counts"])
+        made = [n[:2].astype("<i8").tobytes() if k == sums_at else coarse(n).tobytes() for k, n in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(made, pa.binary())], ["chunk", "counts"])
 
     parts = df.select(*texts).mapInArrow(run, "chunk int, lows binary, counts binary").repartition("chunk")
-    out = np.ones(1 << SKETCH_BITS, np.uint8)
+    out, rows, tokens = np.ones(1 << SKETCH_BITS, np.uint8), 0, 0
     for r in parts.mapInArrow(add, "chunk int, counts binary").collect():
-        out[r.chunk * part : (r.chunk + 1) * part] = np.frombuffer(r.counts, np.uint8)
-    return out
+        if r.chunk == sums_at:
+            rows, tokens = map(int, np.frombuffer(r.counts, "<i8"))
+        else:
+            out[r.chunk * part : (r.chunk + 1) * part] = np.frombuffer(r.counts, np.uint8)
+    return out, rows, tokens
 
 
 def coarse(n: np.ndarray) -> np.ndarray:
@@ -113,56 +129,71 @@ def listed_tokens(size: Column, t: float) -> Column:
     return size - F.ceil(size * (2 * t / (1 + t)) - 1e-9) + 1
 
 
-def classes(df: DataFrame, row_id: str, texts: list[str], counts: np.ndarray, n_rows: int, carry: list[str]) -> DataFrame:
-    """One row per input row with a token: its set's signature, group, size, tokens in order and matrix columns, and
-    how many tokens at the start no other row has.
+def matrix_words(rows: int, tokens: int) -> int:
+    """How many numbers of 64 columns a row of the matrix takes."""
+    mean = max(1, tokens / rows) if rows else 1
+    return min(64, 1 << max(0, math.ceil(math.log2(COLUMNS_PER_TOKEN * mean / 64))))
+
+
+def classes(df: DataFrame, row_id: str, texts: list[str], counts: np.ndarray, words: int, carry: list[str]) -> DataFrame:
+    """Every row with a token as a member of its class: `sig`, the id and the carried columns, each once. And every class
+    once, with `tokens` and without an id: its group `grp`, its size, its columns `m0`, `m1` and so on, and `alone`, how many
+    tokens at the start no other row has. Members are spread by their id, classes by their group.
 
     Tokens are packed in order, 6 bytes each: the chance that two different tokens of a pair agree in all 48 bits is
     about 1 in 10**11. Rows without any token are left out: they are alike to nothing. Of the copies that a task
-    reads only the first carries what stands for its class; the others have null there.
+    reads only the first sends the class on.
     """
     sketch = df.sparkSession.sparkContext.broadcast(counts)  # 4 MB, whatever the corpus
-    common = int(coarse(np.array([max(16.0, COMMON_SHARE * n_rows)]))[0])
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    most = int(coarse(np.array([MOST_SHARED]))[0])
+    own = [f for f in df.select(row_id, *carry).schema.fields]
+    columns = [f"m{k}" for k in range(words)]
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = "grp bigint, sig bigint, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + ", size int, alone int, " + ", ".join(f"{c} bigint" for c in columns) + ", tokens binary"
+    target = to_arrow_schema(StructType.fromDDL(schema))
+    as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = sketch.value
         seen: set[int] = set()
         for b, sets in _batches(batches, len(texts)):
-            keep, sig, group, size, first, second, alone, tokens = [], [], [], [], [], [], [], []
+            keep, sigs, sig, group, alone, size, bits, tokens = [], [], [], [], [], [], [], []
             for i, h in enumerate(sets):
                 if not len(h):
                     continue
                 keep.append(i)
-                sig.append(xxhash.xxh3_64_intdigest(h.tobytes()))
-                if sig[-1] in seen:
-                    for column, v in zip((group, size, first, second, alone, tokens), (0, 0, 0, 0, 0, None)):
-                        column.append(v)
+                sigs.append(s := xxhash.xxh3_64_intdigest(h.tobytes()))
+                if s in seen:
                     continue
-                seen.add(sig[-1])
+                seen.add(s)
                 weight = count[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.lexsort((h, weight))
-                rare = h[weight < common]
-                anchors = rare if len(rare) >= 2 else h
-                mixed = anchors * np.uint64(0x9E3779B97F4A7C15)  # another order than that of the sets
-                low = np.sort(mixed)[:2]
-                cols = (h >> np.uint64(20)) & np.uint64(127)
-                group.append(xxhash.xxh3_64_intdigest(low.tobytes()) & GROUP_MASK)
-                size.append(len(h))
+                shared = h[(weight > 1) & (weight <= most)]
+                # by another order than that of the sets: the first of the shared tokens, or the first two of all
+                anchor = (shared * MIX).min() if len(shared) else np.sort(h * MIX)[:2]
+                at = ((h >> np.uint64(20)) % np.uint64(64 * words)).astype(np.int64)
+                flags = np.zeros(64 * words, bool)
+                flags[at] = True
+                sig.append(s)
+                group.append(xxhash.xxh3_64_intdigest(anchor.tobytes()) >> (64 - GROUP_BITS))
                 alone.append(int((weight <= 1).sum()))
-                first.append(np.bitwise_or.reduce(np.uint64(1) << cols[cols < 64]) if (cols < 64).any() else np.uint64(0))
-                second.append(np.bitwise_or.reduce(np.uint64(1) << (cols[cols >= 64] - np.uint64(64))) if (cols >= 64).any() else np.uint64(0))
+                size.append(len(h))
+                bits.append(np.packbits(flags, bitorder="little").view("<i8"))
                 tokens.append(h[order].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-            as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            at = pa.array(keep, pa.int32())
+            ids = [b.column(1 + k).take(pa.array(keep, pa.int32())) for k in range(len(own))]
+            n = len(keep)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int32())), as_long(sigs), *ids, *(pa.nulls(n, f.type) for f in list(target)[2 + len(own) :])], schema=target)
+            n, table = len(sig), np.array(bits, np.int64).reshape(len(sig), words)
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(k).take(at) for k in range(b.num_columns - len(texts))), as_long(sig), as_long(group), pa.array(size, pa.int32()), as_long(first), as_long(second), pa.array(alone, pa.int32()), pa.array(tokens, pa.binary())],
-                [*names, "sig", "grp", "size", "m1", "m2", "alone", "tokens"],
+                [as_long(group), as_long(sig), *(pa.nulls(n, f.type) for f in list(target)[2 : 2 + len(own)]), pa.array(size, pa.int32()), pa.array(alone, pa.int32()), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(words)), pa.array(tokens, pa.binary())], schema=target,
             )
 
-    names = [row_id, *carry]
-    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", sig bigint, grp bigint, size int, m1 bigint, m2 bigint, alone int, tokens binary"
-    return df.select(*names, *[F.col(t).alias(f"__t{k}") for k, t in enumerate(texts)]).mapInArrow(run, schema)
+    names = [f.name for f in own]
+    picked = df.select(F.xxhash64(row_id).alias("__h"), *names, *[F.col(t).alias(f"__t{k}") for k, t in enumerate(texts)])
+    spread = picked.mapInArrow(run, schema).repartition(shuffle_partitions(df.sparkSession), "grp")
+    return spread.dropDuplicates(["grp", "sig", *names])
 
 
 def _exploded(df: DataFrame, keep: list[Column | str], count: Column) -> DataFrame:
@@ -173,58 +204,75 @@ def _exploded(df: DataFrame, keep: list[Column | str], count: Column) -> DataFra
     return d.withColumn("at", _two(F.hash(F.expr("substring(tokens, place * 6 + 1, 6)")), F.col("place"))).drop("tokens", "place")
 
 
-def _two(high: Column, low: Column) -> Column:
+def _two(high: Column, low: Column, bits: int = 32) -> Column:
     """Two integers in one, the lower not negative: rows that move are as many as first tokens, so each byte counts."""
-    return F.shiftleft(high.cast("bigint"), 32).bitwiseOR(low.cast("bigint"))
+    return F.shiftleft(high.cast("bigint"), bits).bitwiseOR(low.cast("bigint"))
 
 
-def _low(c: str) -> Column:
-    return F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+def _low(c: str | Column, bits: int = 32) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def _high(c: str) -> Column:
-    return F.shiftright(c, 32)
+def _high(c: str | Column, bits: int = 32) -> Column:
+    return F.shiftright(c, bits)
 
 
-def _missing(q1: str, q2: str, g1: str, g2: str) -> Column:
-    """Matrix columns of a query that a group's row lacks: at least as many tokens does the group lack."""
-    lack = lambda q, g: F.bit_count(F.col(q).bitwiseAND(F.bitwise_not(F.col(g))))
-    return lack(q1, g1) + lack(q2, g2)
+def _at_most(size: Column, limit: int) -> Column:
+    return F.least(size, F.lit(limit))
 
 
-def alike_classes(sets: DataFrame, t: float) -> DataFrame:
-    """(sig_a, sig_b, common, size_a, size_b) of different classes whose sets are alike to at least t.
+def need(a: Column, b: Column, t: float) -> Column:
+    """How many tokens two sets of these sizes must share."""
+    return F.ceil((a + b) * (t / (1 + t)) - 1e-9)
 
-    `sets` are the different classes, spread and kept by group.
-    """
-    need = lambda a, b: F.ceil((a + b) * (t / (1 + t)) - 1e-9)
-    matrix = sets.groupBy("grp").agg(F.bit_or("m1").alias("g1"), F.bit_or("m2").alias("g2"), _two(F.min("size"), F.max("size")).alias("sizes"), (F.count(F.lit(1)) > 1).cast("int").alias("several"))
+
+def met_groups(sets: DataFrame, t: float) -> DataFrame:
+    """(grp, size, g), spread by grp: the groups that a set of that group and size may have a partner in, by its tokens,
+    its size and their places. Sets of more than QUERY_LIMIT tokens have that size."""
+    bounds = sets.groupBy("grp").agg(_two(_at_most(F.min("size"), SIZE_LIMIT), _at_most(F.max("size"), SIZE_LIMIT), 11).alias("sizes"), (F.count(F.lit(1)) > 1).cast("int").alias("several"))
     listed = _exploded(sets, ["grp"], listed_tokens(F.col("size"), t)).select("grp", _high("at").alias("token"), _low("at").alias("place")).groupBy("grp", "token").agg(F.min("place").alias("place"))
-    lists = listed.join(matrix, "grp").select(F.col("grp").alias("g"), _two(F.col("token"), F.col("place") * 2 + F.col("several")).alias("listed"), "g1", "g2", "sizes")
-    queries = _exploded(sets, ["grp", "size", "m1", "m2"], first_tokens(F.col("size"), t))
-    size, small, large = F.col("size"), _high("sizes"), _low("sizes")
-    least = need(size, F.greatest(small, F.ceil(size * t - 1e-9)))  # what a partner in the group must share at least
-    may = (
-        (small <= size)
-        & (large >= F.ceil(size * t - 1e-9))
-        & (F.least(size - _low("at"), large - F.shiftright(_low("listed"), 1)) >= least)
-        & (size - _missing("m1", "m2", "g1", "g2") >= least)
-        & ((F.col("g") != F.col("grp")) | (_low("listed").bitwiseAND(F.lit(1)) == 1))
-    )
-    # within its group a set is told by a hash of its columns: should two agree, both are opened
-    met = queries.join(lists, _high("at") == _high("listed"))
-    open_groups = met.where(may).select("grp", F.hash("size", "m1", "m2").alias("short"), "g").distinct()
-    q = sets.select("grp", "sig", F.col("size").alias("size_a"), F.col("m1").alias("a1"), F.col("m2").alias("a2"), F.col("tokens").alias("tokens_a"))
-    s = sets.select(F.col("grp").alias("g"), F.col("sig").alias("sig_b"), F.col("size").alias("size_b"), F.col("m1").alias("b1"), F.col("m2").alias("b2"), F.col("tokens").alias("tokens_b"))
-    differ = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    smaller = (F.col("size_b") < F.col("size_a")) | ((F.col("size_b") == F.col("size_a")) & (F.col("sig_b") < F.col("sig")))
-    alike = F.col("size_b") >= F.ceil(F.col("size_a") * t - 1e-9)
-    close = F.col("size_a") + F.col("size_b") - differ >= 2 * need(F.col("size_a"), F.col("size_b"))
+    lists = listed.join(bounds, "grp").select(_two(F.col("grp"), _two(F.col("sizes"), F.col("several"), 1), 23).alias("to"), _two(F.col("token"), F.col("place")).alias("listed"))
+    queries = _exploded(sets, [_two(F.col("grp"), _at_most(F.col("size"), QUERY_LIMIT), 23).alias("of")], first_tokens(F.col("size"), t))
+    size, small, large = _low("of", 23), _low(_high("to", 12), 11), _low(_high("to", 1), 11)
+    least = need(size, F.greatest(small, F.ceil(size * t - 1e-9)), t)  # what a partner in the group must share at least
+    fits = (large == SIZE_LIMIT) | ((large >= F.ceil(size * t - 1e-9)) & (large - _low("listed") >= least))
+    may = (size == QUERY_LIMIT) | ((small <= size) & (size - _low("at") >= least) & fits)
+    other = (_high("of", 23) != _high("to", 23)) | (_low("to", 1) == 1)
+    met = queries.join(lists, _high("at") == _high("listed")).where(may & other).select(_high("of", 23).alias("grp"), size.cast("int").alias("size"), _high("to", 23).alias("g"))
+    return met.repartition(shuffle_partitions(sets.sparkSession), "grp").dropDuplicates(["grp", "size", "g"])
+
+
+def open_groups(sets: DataFrame, t: float, words: int) -> DataFrame:
+    """(grp, sig, size, m0 and so on, g, opened) for every set and group it met: whether the group's row of the matrix
+    still leaves room for a partner."""
+    columns = [f"m{k}" for k in range(words)]
+    q = sets.select(F.col("grp").alias("grp_q"), "sig", F.col("size").alias("size_q"), *columns)
     # a difference of 0 is no equality that the planner would spread the kept sets anew for
-    q = q.withColumnRenamed("grp", "grp_q").withColumn("short_q", F.hash("size_a", "a1", "a2"))
-    opened = open_groups.join(q, (F.col("grp") == F.col("grp_q")) & (F.col("short").bitwiseXOR(F.col("short_q")) == 0))
-    pairs = opened.join(s, "g").where(smaller & alike & close)
-    return _compare(pairs.select(F.col("sig").alias("sig_a"), "sig_b", "size_a", "size_b", "tokens_a", "tokens_b"), t)
+    same = _at_most(F.col("size_q"), QUERY_LIMIT).bitwiseXOR(F.col("size")) == 0
+    met = met_groups(sets, t).join(q, (F.col("grp") == F.col("grp_q")) & same).select("grp", "sig", F.col("size_q").alias("size"), *columns, "g")
+    matrix = sets.groupBy("grp").agg(F.min("size").alias("small"), *[F.bit_or(c).alias(f"g{c}") for c in columns]).withColumnRenamed("grp", "g")
+    lacks = sum((F.bit_count(F.col(c).bitwiseAND(F.bitwise_not(F.col(f"g{c}")))) for c in columns), F.lit(0))  # at least as many tokens does the group lack
+    room = F.col("size") - lacks >= need(F.col("size"), F.greatest("small", F.ceil(F.col("size") * t - 1e-9)), t)
+    return met.join(matrix, "g").withColumn("opened", room).drop("small", *[f"g{c}" for c in columns])
+
+
+def alike_classes(sets: DataFrame, t: float, words: int) -> DataFrame:
+    """(sig_a, sig_b, size_a, size_b, common) of different classes whose sets are alike to at least t.
+
+    `sets` are the different classes, spread and kept by group. Tokens move once for each pair that sizes and columns
+    leave, and nothing wider than a row of the matrix before.
+    """
+    columns = [f"m{k}" for k in range(words)]
+    s = sets.select(F.col("grp").alias("g_b"), F.col("sig").alias("sig_b"), F.col("size").alias("size_b"), *[F.col(c).alias(f"b{c}") for c in columns], F.col("tokens").alias("tokens_b"))
+    opened = open_groups(sets, t, words).where("opened").withColumnsRenamed({"sig": "sig_a", "size": "size_a"})
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"b{c}"))) for c in columns), F.lit(0))
+    smaller = (F.col("size_b") < F.col("size_a")) | ((F.col("size_b") == F.col("size_a")) & (F.col("sig_b") < F.col("sig_a")))
+    alike = F.col("size_b") >= F.ceil(F.col("size_a") * t - 1e-9)
+    close = F.col("size_a") + F.col("size_b") - differ >= 2 * need(F.col("size_a"), F.col("size_b"), t)
+    pairs = opened.join(s, F.col("g") == F.col("g_b")).where(smaller & alike & close).select("grp", "sig_a", "sig_b", "size_a", "size_b", "tokens_b")
+    a = sets.select(F.col("grp").alias("grp_a"), "sig", F.col("tokens").alias("tokens_a"))
+    both = pairs.join(a, (F.col("grp") == F.col("grp_a")) & (F.col("sig_a").bitwiseXOR(F.col("sig")) == 0))
+    return _compare(both.select("sig_a", "sig_b", "size_a", "size_b", "tokens_a", "tokens_b"), t)
 
 
 def _compare(pairs: DataFrame, t: float) -> DataFrame:
@@ -247,52 +295,47 @@ def _compare(pairs: DataFrame, t: float) -> DataFrame:
     return pairs.mapInArrow(run, "sig_a bigint, sig_b bigint, size_a int, size_b int, common int")
 
 
-def near_duplicates(df: DataFrame, row_id: str, texts: list[str], t: float, scratch: Scratch, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(pairs of classes, members): the classes of equal token sets that are alike to at least t, as in
-    `alike_classes`, and (sig, row id, carried columns) of every row with a token, each once.
+def near_duplicates(df: DataFrame, row_id: str, texts: list[str], t: float, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs of classes, members, kept): the classes of equal token sets that are alike to at least t, as in
+    `alike_classes`; (sig, row id, carried columns) of every row with a token, each once; and the cached table that both
+    read, to be released with `release_with` or by hand.
 
     Words are the runs of a-z and 0-9 of all the text columns together, in lower case, each once; nulls count as
     empty. Rows without a word are members of nothing. A row sent again, with the same id and texts, is one member.
     A class stands for all its copies, so that however many they are no pair of copies is looked at.
     """
-    spark = df.sparkSession
     carry = carry or []
-    counts = token_counts(df, texts)
+    counts, rows, tokens = token_counts(df, texts)
+    words = matrix_words(rows, tokens)
     own = [row_id, *carry]  # under names of our own until the end
     named = df.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(own)], *texts)
-    rows = classes(named, "__0", texts, counts, df.count(), [f"__{i}" for i in range(1, len(own))]).persist(StorageLevel.MEMORY_AND_DISK)
-    members = scratch.keep(rows.select("sig", *[f"__{i}" for i in range(len(own))]).distinct()).toDF("sig", *own)
-    spread = rows.where("tokens IS NOT NULL").select("sig", "grp", "size", "m1", "m2", "alone", "tokens").repartition(shuffle_partitions(spark), "grp")
-    sets = spread.dropDuplicates(["grp", "sig"]).persist(StorageLevel.MEMORY_AND_DISK)
-    sets.count()
-    rows.unpersist()
-    return alike_classes(sets, t), members
+    kept = classes(named, "__0", texts, counts, words, [f"__{i}" for i in range(1, len(own))]).persist(StorageLevel.MEMORY_AND_DISK)
+    members = kept.where("tokens IS NULL").select("sig", *[f"__{i}" for i in range(len(own))]).toDF("sig", *own)
+    sets = kept.where("tokens IS NOT NULL").drop(*[f"__{i}" for i in range(len(own))])
+    return alike_classes(sets, t, words), members, kept
 
 
-#: A class of more copies than this is paired by its representatives.
-MOST_PAIRED = 1000
+def release_with(result: DataFrame, kept: DataFrame) -> DataFrame:
+    """The result; when nobody holds it any more, the cached table is released. A result made of it is still right."""
 
+    def release() -> None:
+        try:
+            kept.unpersist()
+        except Exception:  # the session may be gone by then
+            pass
 
-def member_pairs(pairs: DataFrame, members: DataFrame, row_id: str, kind: str, most: int = MOST_PAIRED) -> DataFrame:
-    """(a, b), the smaller first, of the members of one class and of alike classes whose kinds agree or are unknown.
+    weakref.finalize(result, release).atexit = False
+    return result
 
-    All pairs, but for classes of more than `most` copies: there each kind has a representative, its smallest member,
-    that stands for it towards others, and every copy is paired with it. So no link between different texts is lost,
-    and no group of copies is multiplied with itself; the classes name who is whose copy.
-    """
+
+def member_pairs(pairs: DataFrame, members: DataFrame, row_id: str, kind: str) -> DataFrame:
+    """(a, b), the smaller first: all pairs of members of one class and of alike classes whose kinds agree or are
+    unknown, as many as there are. Where groups of copies are large, classes and their pairs say the same in fewer rows."""
     m = members.select("sig", F.col(row_id).alias("id"), F.col(kind).alias("kind"))
-    sizes = m.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") > most).select("sig")
-    acting, copies = m, None
-    if not large.isEmpty():
-        heads = m.join(large, "sig", "left_semi").groupBy("sig", "kind").agg(F.min("id").alias("id"))
-        acting = m.join(large, "sig", "left_anti").unionByName(heads.select("sig", "id", "kind"))
-        h = heads.select(F.col("sig").alias("s"), F.col("kind").alias("k"), F.col("id").alias("a"))
-        copies = m.join(large, "sig", "left_semi").join(h, (F.col("sig") == F.col("s")) & F.col("kind").eqNullSafe(F.col("k"))).where("id <> a").select("a", F.col("id").alias("b"))
-    links = pairs.select("sig_a", "sig_b").unionByName(sizes.where("n > 1").select(F.col("sig").alias("sig_a"), F.col("sig").alias("sig_b")))
-    end = lambda x: acting.select(F.col("sig").alias(f"sig_{x}"), F.col("id").alias(x), F.col("kind").alias(f"kind_{x}"))
+    several = m.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    links = pairs.select("sig_a", "sig_b").unionByName(several.select(F.col("sig").alias("sig_a"), F.col("sig").alias("sig_b")))
+    end = lambda x: m.select(F.col("sig").alias(f"sig_{x}"), F.col("id").alias(x), F.col("kind").alias(f"kind_{x}"))
     agree = F.col("kind_a").isNull() | F.col("kind_b").isNull() | (F.col("kind_a") == F.col("kind_b"))
     once = (F.col("a") < F.col("b")) | ((F.col("sig_a") != F.col("sig_b")) & (F.col("a") != F.col("b")))
-    found = links.join(end("a"), "sig_a").join(end("b"), "sig_b").where(agree & once).select("a", "b")
-    found = found if copies is None else found.unionByName(copies)
+    found = links.join(end("a"), "sig_a").join(end("b"), "sig_b").where(agree & once)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

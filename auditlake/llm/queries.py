@@ -21,17 +21,19 @@ def query(f):
 # 1: near-duplicates --------------------------------------------------------------------------------------------
 
 
-def _near_findings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _near_findings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     f = table(spark, d, "findings").where(filled("description") & F.col("finding_id").isNotNull())
     f = f.withColumn("cwe", F.when(filled("cwe_id"), F.upper(trimmed("cwe_id"))))
-    return near_duplicates.near_duplicates(f, "finding_id", ["description", "vulnerable_component"], 0.7, Scratch(spark), ["cwe"])
+    return near_duplicates.near_duplicates(f, "finding_id", ["description", "vulnerable_component"], 0.7, ["cwe"])
 
 
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of findings that write down one defect in slightly different words; of more than MOST_PAIRED exact copies each is paired with the first."""
-    pairs, members = _near_findings(spark, d)
-    return near_duplicates.member_pairs(pairs, members, "finding_id", "cwe").select(F.col("a").alias("finding_a"), F.col("b").alias("finding_b"))
+    """Every pair of findings that write down one defect in slightly different words, copies among them, as its definition
+    has it. `p1_classes` and `p1_links` say the same by representatives."""
+    pairs, members, kept = _near_findings(spark, d)
+    found = near_duplicates.member_pairs(pairs, members, "finding_id", "cwe").select(F.col("a").alias("finding_a"), F.col("b").alias("finding_b"))
+    return near_duplicates.release_with(found, kept)
 
 
 SQL["p1_found"] = f"""
@@ -46,14 +48,60 @@ WHERE n * 10 >= 7 * (len(x.words) + len(y.words) - n) AND (x.cwe IS NULL OR y.cw
 """
 
 
+def _class_names(members: DataFrame) -> DataFrame:
+    return members.groupBy("sig").agg(F.min("finding_id").alias("class_id"))
+
+
 @query
 def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     """Every finding with words: its class of equal word sets, named by its smallest finding, and how many other
     classes are alike to it. The form for collections with large groups of copies, which are never paired."""
-    pairs, members = _near_findings(spark, d)
-    names = members.groupBy("sig").agg(F.min("finding_id").alias("class_id"))
+    pairs, members, kept = _near_findings(spark, d)
     ends = pairs.select(F.explode(F.array("sig_a", "sig_b")).alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
-    return members.select("sig", "finding_id").distinct().join(names, "sig").join(ends, "sig", "left").select("finding_id", "class_id", F.coalesce("n", F.lit(0)).alias("links"))
+    out = members.select("sig", "finding_id").distinct().join(_class_names(members), "sig").join(ends, "sig", "left").select("finding_id", "class_id", F.coalesce("n", F.lit(0)).alias("links"))
+    return near_duplicates.release_with(out, kept)
+
+
+@query
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of alike classes by their names, the smaller first, with the words of each and those in common. Together with
+    the members in `p1_classes` it holds every link between different texts."""
+    pairs, members, kept = _near_findings(spark, d)
+    name = lambda x: _class_names(members).select(F.col("sig").alias(f"sig_{x}"), F.col("class_id").alias(f"c_{x}"))
+    p = pairs.join(name("a"), "sig_a").join(name("b"), "sig_b")
+    first = F.col("c_a") < F.col("c_b")
+    words = lambda x, y: F.when(first, F.col(f"size_{x}")).otherwise(F.col(f"size_{y}"))
+    out = p.select(F.least("c_a", "c_b").alias("class_a"), F.greatest("c_a", "c_b").alias("class_b"), words("a", "b").alias("words_a"), words("b", "a").alias("words_b"), "common")
+    return near_duplicates.release_with(out, kept)
+
+
+@query
+def p1_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """How the matrix works on these tables: sets, their groups, sets that share a group, the pairs of a set and a group that
+    tokens, sizes and places leave, and how many of those the bound lets be opened."""
+    f = table(spark, d, "findings").where(filled("description") & F.col("finding_id").isNotNull())
+    counts, rows, tokens = near_duplicates.token_counts(f, ["description", "vulnerable_component"])
+    words = near_duplicates.matrix_words(rows, tokens)
+    kept = near_duplicates.classes(f, "finding_id", ["description", "vulnerable_component"], counts, words, []).persist()
+    sets = kept.where("tokens IS NOT NULL")
+    one = F.lit(1).alias("one")
+    size = sets.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).agg(one, F.sum("n").alias("sets"), F.count(F.lit(1)).alias("groups"), F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("in_shared_groups"))
+    met = near_duplicates.open_groups(sets, 0.7, words).agg(one, F.count(F.lit(1)).alias("met"), F.count_if("opened").alias("opened"))
+    return near_duplicates.release_with(size.join(met, "one").select(F.lit(64 * words).alias("columns"), "sets", "groups", "in_shared_groups", "met", "opened"), kept)
+
+
+_CLASSES = f"""f AS (
+  SELECT DISTINCT ON (finding_id) finding_id AS id, list_sort(list_distinct(regexp_extract_all(lower(description || ' ' || coalesce(vulnerable_component, '')), '[a-z0-9]+'))) AS words
+  FROM findings WHERE finding_id IS NOT NULL AND length(trim(coalesce(description, ''), {_WS})) > 0),
+c AS (SELECT words, min(id) AS class_id FROM f WHERE len(words) > 0 GROUP BY words),
+w AS (SELECT class_id, len(words) AS n, unnest(words) AS word FROM c),
+x AS (SELECT a.class_id AS class_a, b.class_id AS class_b, a.n AS words_a, b.n AS words_b, count(*) AS common FROM w a JOIN w b ON a.word = b.word AND a.class_id < b.class_id GROUP BY ALL),
+alike AS (SELECT * FROM x WHERE common * 10 >= 7 * (words_a + words_b - common))"""
+SQL["p1_links"] = f"WITH {_CLASSES} SELECT class_a, class_b, CAST(words_a AS INTEGER) AS words_a, CAST(words_b AS INTEGER) AS words_b, CAST(common AS INTEGER) AS common FROM alike"
+SQL["p1_classes"] = f"""
+WITH {_CLASSES}, e AS (SELECT class_id, count(*) AS n FROM (SELECT class_a AS class_id FROM alike UNION ALL SELECT class_b FROM alike) GROUP BY class_id)
+SELECT f.id AS finding_id, c.class_id, coalesce(e.n, 0) AS links FROM f JOIN c ON c.words = f.words LEFT JOIN e ON e.class_id = c.class_id
+"""
 
 
 # 2: best representative ----------------------------------------------------------------------------------------

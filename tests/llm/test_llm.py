@@ -1,5 +1,6 @@
 """The training-data operators against plain versions on small and dirty tables."""
 
+import gc
 import random
 import re
 from collections import Counter, defaultdict
@@ -18,8 +19,11 @@ def word_set(*texts):
     return frozenset(re.findall("[a-z0-9]+", " ".join(t for t in texts if t).lower()))
 
 
-@pytest.mark.parametrize("t", [0.5, 0.7, 0.8])
-def test_near_duplicates(spark, t):
+@pytest.mark.parametrize(("t", "limits"), [(0.5, None), (0.7, None), (0.8, None), (0.7, (5, 9))])
+def test_near_duplicates(spark, t, limits, monkeypatch):
+    if limits:  # of larger sets postings don't tell the size
+        monkeypatch.setattr(near_duplicates, "SIZE_LIMIT", limits[0])
+        monkeypatch.setattr(near_duplicates, "QUERY_LIMIT", limits[1])
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(60)]
     data = []
@@ -31,7 +35,7 @@ def test_near_duplicates(spark, t):
         data.append((i, " ".join(words).upper() if i % 5 == 0 else ", ".join(words), rng.choice([None, "", "w1 extra"]), "c", "clash"))
     data += [(200, None, None, "c", "x"), (201, " \t", "", "c", "x"), (202, "ÄÖ ...", None, "c", "x"), (203, "k " * 50_000 + "w1 w2", None, "c", "x"), (204, "w2 w1 k", None, "c", "x"), *data[:20]]
     df = spark.createDataFrame(data, "id bigint, a string, b string, tokens string, sig string").repartition(6)
-    pairs, members = near_duplicates.near_duplicates(df, "id", ["a", "b"], t, Scratch(spark), ["tokens"])
+    pairs, members, kept = near_duplicates.near_duplicates(df, "id", ["a", "b"], t, ["tokens"])
     sets = {i: word_set(a, b) for i, a, b, *_ in data}
     by_sig = defaultdict(set)
     for r in members.collect():
@@ -45,23 +49,53 @@ def test_near_duplicates(spark, t):
     keys = list(classes)
     expected = {frozenset((min(classes[x]), min(classes[y]))) for k, x in enumerate(keys) for y in keys[:k] if 100 * len(x & y) >= round(100 * t) * len(x | y)}
     assert set(got) == expected and len(got) == len(expected)
-    none, nobody = near_duplicates.near_duplicates(df.limit(0), "id", ["a", "b"], t, Scratch(spark))
+    assert members.count() == len(members.distinct().collect())
+    assert near_duplicates.release_with(pairs, kept) is pairs and kept.is_cached
+    del pairs
+    gc.collect()
+    assert not kept.storageLevel.useMemory
+    none, nobody, _ = near_duplicates.near_duplicates(df.limit(0), "id", ["a", "b"], t)
     assert none.collect() == [] and nobody.collect() == []
 
 
+@pytest.mark.parametrize(("n", "words"), [(0, 1), (3, 1), (60, 4), (100_000, 64)])
+def test_matrix_words(n, words):
+    assert near_duplicates.matrix_words(10, 10 * n) == words and near_duplicates.matrix_words(0, 0) == 1
+
+
+def test_bound_never_loses(spark):
+    """Of all sets and groups met, every one that holds a partner is opened."""
+    rng = random.Random(12)
+    data = []
+    for i in range(300):
+        words = [f"w{rng.randrange(400)}" for _ in range(30)] if i % 4 == 0 else [w if rng.random() > 0.1 else f"w{rng.randrange(400)}" for w in data[-1][1].split()]
+        data.append((i, " ".join(words)))
+    df = spark.createDataFrame(data, "id bigint, a string")
+    counts, rows, tokens = near_duplicates.token_counts(df, ["a"])
+    assert (rows, tokens) == (300, sum(len(word_set(a)) for _, a in data))
+    n = near_duplicates.matrix_words(rows, tokens)
+    kept = near_duplicates.classes(df, "id", ["a"], counts, n, []).persist()
+    sets = kept.where("tokens IS NOT NULL")
+    opened = near_duplicates.open_groups(sets, 0.7, n)
+    hits = {(r.sig_a, r.grp) for r in near_duplicates.alike_classes(sets, 0.7, n).join(sets.select(F.col("sig").alias("sig_b"), "grp"), "sig_b").collect()}
+    shown = {(r.sig, r.g): r.opened for r in opened.collect()}
+    assert hits and all(shown[h] for h in hits) and not all(shown.values())
+    kept.unpersist()
+
+
 def test_copies_stand_for_one(spark):
     df = spark.range(3000).select(F.col("id"), F.lit("one two three four five six seven eight nine ten").alias("a")).unionByName(spark.createDataFrame([(9001, "one two three four five six seven eight nine ten eleven")], "id bigint, a string"))
-    pairs, members = near_duplicates.near_duplicates(df, "id", ["a"], 0.8, Scratch(spark))
+    pairs, members, _ = near_duplicates.near_duplicates(df, "id", ["a"], 0.8)
     assert pairs.count() == 1 and members.groupBy("sig").count().where("count = 3000").count() == 1
 
 
 def test_member_pairs(spark):
     members = spark.createDataFrame([(1, i, k) for i, k in ((10, "x"), (11, "x"), (12, None), (13, "y"))] + [(2, 20, "x"), (2, 21, "y"), (3, 30, None)], "sig bigint, id bigint, cwe string")
     pairs = spark.createDataFrame([(1, 2), (3, 1)], "sig_a bigint, sig_b bigint")
-    got = lambda most: sorted((r.a, r.b) for r in near_duplicates.member_pairs(pairs, members, "id", "cwe", most).collect())
-    within = [(10, 11), (10, 12), (11, 12), (12, 13)]
-    assert got(1000) == sorted([*within, (10, 20), (11, 20), (12, 20), (12, 21), (13, 21), (10, 30), (11, 30), (12, 30), (13, 30)])
-    assert got(3) == sorted([(10, 11), (10, 12), (12, 13), (10, 20), (12, 20), (12, 21), (13, 21), (10, 30), (12, 30), (13, 30)])
+    got = sorted((r.a, r.b) for r in near_duplicates.member_pairs(pairs, members, "id", "cwe").collect())
+    assert got == sorted([(10, 11), (10, 12), (11, 12), (12, 13), (10, 20), (11, 20), (12, 20), (12, 21), (13, 21), (10, 30), (11, 30), (12, 30), (13, 30)])
+    many = spark.range(1500).select(F.lit(7).cast("bigint").alias("sig"), "id", F.lit(None).cast("string").alias("cwe"))  # however many copies there are
+    assert near_duplicates.member_pairs(pairs.limit(0), many, "id", "cwe").count() == 1500 * 1499 // 2
     assert near_duplicates.member_pairs(pairs.limit(0), members.limit(0), "id", "cwe").collect() == []
 
 
