@@ -86,8 +86,8 @@ def ancestors(links: DataFrame, relation: str, scratch: Scratch, depth: int = 8)
     newest = found
     for k in range(2, depth + 1):
         reached = newest.select("node", "ancestor").join(up, "ancestor").where(F.col("node") != F.col("__next")).select("node", F.col("__next").alias("ancestor")).distinct()
-        newest = scratch.keep(reached.join(found.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(k)))
-        if newest.isEmpty():
+        newest, rows = scratch.keep_rows(reached.join(found.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(k)))
+        if not rows:
             break
         found = found.unionByName(newest)
     return found
@@ -117,8 +117,8 @@ def shortest_hops(links: DataFrame, starts: DataFrame, scratch: Scratch, max_hop
     newest = found
     for k in range(1, max_hops + 1):
         reached = newest.select("start", "node").join(step, "node").select("start", F.col("__next").alias("node")).distinct()
-        newest = scratch.keep(reached.join(found.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(k)))
-        if newest.isEmpty():
+        newest, rows = scratch.keep_rows(reached.join(found.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(k)))
+        if not rows:
             break
         found = found.unionByName(newest)
     return found

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that count as white space when a text is trimmed or tested for being blank.
@@ -81,15 +81,22 @@ class Scratch:
         self.n = 0
         atexit.register(_remove, spark, self.path)
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Writes the rows and gives them back, read from the file."""
+    def keep(self, df: DataFrame, **seen: Column) -> DataFrame:
+        """Writes the rows and gives them back, read from the file. Aggregates in `seen` are taken while the rows are written,
+        without a job of their own, and stand in the kept table's `seen`."""
         self.n += 1
         path = f"{self.path}/{self.n}"
-        df.write.parquet(path)
+        observed = Observation() if seen else None
+        (df.observe(observed, *[c.alias(n) for n, c in seen.items()]) if seen else df).write.parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
-        kept._scratch_path = path
+        kept._scratch_path, kept.seen = path, observed.get if seen else {}
         return kept
 
+    def keep_rows(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """The kept table and how many rows it has."""
+        kept = self.keep(df, rows=F.count(F.lit(1)))
+        return kept, kept.seen["rows"]
+
     def drop(self, df: DataFrame) -> None:
         """Removes a kept table that nothing reads any more."""
         _remove(self.spark, df._scratch_path)
