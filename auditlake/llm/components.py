@@ -24,12 +24,12 @@ def components(edges: DataFrame, u: str, v: str, scratch: Scratch) -> DataFrame:
     """
     ends = edges.select(F.col(u).cast("bigint").alias("u"), F.col(v).cast("bigint").alias("v")).where("u <> v")  # false and null alike fall out
     e = ends.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-    e = scratch.keep(e.distinct())
+    e, left = scratch.keep_rows(e.distinct())
     rounds: list[DataFrame] = []
-    while not e.isEmpty():
+    while left:
         parent = _collapse(_hook(e), scratch)
         rounds.append(parent)
-        smaller = scratch.keep(_relabel(e, parent))
+        smaller, left = scratch.keep_rows(_relabel(e, parent))
         scratch.drop(e)
         e = smaller
     if not rounds:
@@ -56,10 +56,9 @@ def _collapse(parent: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         up = parent.select(F.col("id").alias("root"), F.col("root").alias("next"))
         two = parent.join(up, "root").select("id", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
-        doubled = scratch.keep(two)
+        doubled = scratch.keep(two, moved=F.count_if("moved"))
         scratch.drop(parent)
-        still = not doubled.where("moved").isEmpty()
-        path = doubled._scratch_path
+        still, path = doubled.seen["moved"], doubled._scratch_path
         parent = doubled.select("id", "root")
         parent._scratch_path = path
         if not still:

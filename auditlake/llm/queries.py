@@ -163,7 +163,7 @@ def update_claims(spark: SparkSession, d: str) -> DataFrame:
 def p2_merged(spark: SparkSession, d: str) -> DataFrame:
     """For each vuln_id the likeliest status and every node judged true by the latent model of its agents' quality.
     Where no node reaches even odds the likeliest one stays, the first by name among equals."""
-    judged, _ = survivors.judge_values(update_claims(spark, d), Scratch(spark))
+    judged = survivors.judge_values(update_claims(spark, d), Scratch(spark)).facts
     kept = judged.groupBy("key").agg(
         F.max(F.when(F.col("field") == "status", F.struct(F.round("truth", 9).alias("t"), "value"))).alias("s"),
         F.array_sort(F.collect_set(F.when((F.col("field") == "affected_nodes") & (F.round("truth", 9) >= 0.5), F.col("value")))).alias("nodes"),
@@ -175,8 +175,30 @@ def p2_merged(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p2_values(spark: SparkSession, d: str) -> DataFrame:
     """Every status and node that agents stated of a vuln_id, how many of them stated it, and how likely it is true."""
-    judged, _ = survivors.judge_values(update_claims(spark, d), Scratch(spark))
-    return judged.select(F.col("key").alias("vuln_id"), "field", "value", F.size("said").alias("agents"), F.round("truth", 9).alias("truth"))
+    judged = survivors.judge_values(update_claims(spark, d), Scratch(spark)).facts
+    return judged.select(F.col("key").alias("vuln_id"), "field", "value", "agents", F.round("truth", 9).alias("truth"))
+
+
+@query
+def p2_sources(spark: SparkSession, d: str) -> DataFrame:
+    """What the model holds of each agent: how often it states a value that is true and leaves out one that isn't, after how
+    many rounds, and by how much the last one moved any of them."""
+    j = survivors.judge_values(update_claims(spark, d), Scratch(spark))
+    return j.sources.select("field", "source", "sensitivity", "specificity", F.lit(j.rounds).alias("rounds"), F.lit(float(j.last_change)).alias("last_change"))
+
+
+@query
+def p2_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """How far the model's records agree with those that the ladder and the counts pick in `p2_found`: vuln_ids, those of the
+    same status, of the same nodes, and of nodes that hold all those of the record picked."""
+    u = table(spark, d, "finding_updates").where("update_id IS NOT NULL")
+    picked, merged = p2_found(spark, d), p2_merged(spark, d)
+    nodes = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce("affected_nodes", F.array().cast("array<string>")), trimmed), lambda x: x.isNotNull() & (F.length(x) > 0))))
+    one = u.groupBy("update_id").agg(F.first(F.lower(trimmed("status"))).alias("s"), F.first(nodes).alias("n"))  # rows sent again are alike
+    a = picked.join(one.select(F.col("update_id").alias("status_from"), "s"), "status_from").join(one.select(F.col("update_id").alias("nodes_from"), "n"), "nodes_from")
+    b = merged.select("vuln_id", F.col("status").alias("ms"), F.array_sort(F.coalesce("affected_nodes", F.array().cast("array<string>"))).alias("mn"))
+    j = a.join(b, "vuln_id")
+    return j.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("s").eqNullSafe(F.col("ms"))).alias("same_status"), F.count_if(F.col("n") == F.col("mn")).alias("same_nodes"), F.count_if(F.size(F.array_except("n", "mn")) == 0).alias("all_nodes"))
 
 
 # 5: groups from overlapping lists ------------------------------------------------------------------------------

@@ -13,6 +13,9 @@ Two ways to choose, field by field:
 
 from __future__ import annotations
 
+import warnings
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,39 +39,68 @@ def pick_by_preference(records: DataFrame, key: Column, record_id: str, picks: d
 SENSITIVITY, SPECIFICITY = (5.0, 5.0), (9.0, 1.0)
 
 
-def judge_values(claims: DataFrame, scratch: Scratch, rounds: int = 8, prior: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """From claims (field, key, source, value) to facts (field, key, value, truth) and sources (field, source,
-    sensitivity, specificity).
+#: The iterations end when no source's sensitivity or specificity moves by this much any more.
+SETTLED = 1e-5
+#: A guard against tables on which they never would: reaching it is reported, not hidden.
+MOST_ROUNDS = 500
+
+
+@dataclass
+class Judged:
+    """Facts (field, key, value, agents, truth); sources (field, source, sensitivity, specificity); and how the iterations ended."""
+
+    facts: DataFrame
+    sources: DataFrame
+    rounds: int
+    last_change: float
+
+
+def judge_values(claims: DataFrame, scratch: Scratch, prior: float = 0.5, settled: float = SETTLED, most_rounds: int = MOST_ROUNDS) -> Judged:
+    """How likely each claimed value is true, from claims (field, key, source, value).
 
     A claim with a null value only says that the source spoke about the key and stated nothing. Null keys, fields
     or sources are left out; repeated claims count once. A source is silent about a value if it spoke about the
     key in that field but did not state it; sources that did not speak say nothing. Empty claims give empty tables.
+
+    A key's sources are gathered as one list, which the number of sources bounds, not that of rows. Facts of one list
+    of stating and one of speaking sources form a pattern, numbered once; the iterations run over the patterns and their
+    sources. They end when the parameters have settled; where they haven't after `most_rounds` rounds, a warning says so.
     """
     c = claims.where(F.col("field").isNotNull() & F.col("key").isNotNull() & F.col("source").isNotNull())
     spoke = c.groupBy("field", "key").agg(F.array_sort(F.collect_set("source")).alias("spoke"))
     facts = c.where(F.col("value").isNotNull()).groupBy("field", "key", "value").agg(F.array_sort(F.collect_set("source")).alias("said"))
-    facts = scratch.keep(facts.join(spoke, ["field", "key"]))
-    patterns = facts.groupBy("field", "said", "spoke").agg(F.count(F.lit(1)).alias("n"))
-    sides = scratch.keep(patterns.select("field", "said", "spoke", "n", F.explode("spoke").alias("source")).withColumn("states", F.array_contains("said", F.col("source"))))
-    sources = sides.select("field", "source").distinct().select("*", F.lit(0.7).alias("sensitivity"), F.lit(0.9).alias("specificity"))
-    for _ in range(rounds):
-        truth = _truth(sides, sources, prior)
-        weighed = sides.join(truth, ["field", "said", "spoke"])
+    facts = facts.join(spoke, ["field", "key"])
+    counted = facts.groupBy("field", "said", "spoke").agg(F.count(F.lit(1)).alias("n"))
+    patterns = scratch.keep(counted.withColumn("pattern", F.monotonically_increasing_id()))  # kept, so the numbers stand
+    sides = patterns.select("pattern", "field", "n", F.explode("spoke").alias("source"), "said").select("pattern", "field", "n", "source", F.array_contains("said", F.col("source")).alias("states"))
+    sides, left = scratch.keep_rows(sides)
+    sources = scratch.keep(sides.select("field", "source").distinct().select("*", F.lit(0.7).alias("sensitivity"), F.lit(0.9).alias("specificity")))
+    rounds, change = 0, float("inf") if left else 0.0
+    while change >= settled and rounds < most_rounds:
+        rounds += 1
+        weighed = sides.join(_truth(sides, sources, prior), "pattern")
         t, f = F.col("n") * F.col("truth"), F.col("n") * (1 - F.col("truth"))
         states = F.col("states").cast("double")
-        sources = scratch.keep(
-            weighed.groupBy("field", "source").agg(
-                ((F.sum(t * states) + SENSITIVITY[0]) / (F.sum(t) + sum(SENSITIVITY))).alias("sensitivity"),
-                ((F.sum(f * (1 - states)) + SPECIFICITY[0]) / (F.sum(f) + sum(SPECIFICITY))).alias("specificity"),
-            )
+        after = weighed.groupBy("field", "source").agg(
+            ((F.sum(t * states) + SENSITIVITY[0]) / (F.sum(t) + sum(SENSITIVITY))).alias("sensitivity"),
+            ((F.sum(f * (1 - states)) + SPECIFICITY[0]) / (F.sum(f) + sum(SPECIFICITY))).alias("specificity"),
         )
-    judged = facts.join(_truth(sides, sources, prior), ["field", "said", "spoke"]).select("field", "key", "value", "said", "truth")
-    return judged, sources
+        before = sources.select("field", "source", F.col("sensitivity").alias("se"), F.col("specificity").alias("sp"))
+        moved = F.greatest(F.abs(F.col("sensitivity") - F.col("se")), F.abs(F.col("specificity") - F.col("sp")))
+        after = after.join(before, ["field", "source"]).select("field", "source", "sensitivity", "specificity", moved.alias("moved"))
+        kept = scratch.keep(after, moved=F.max("moved"))
+        scratch.drop(sources)
+        sources, change = kept, kept.seen["moved"]
+    if change >= settled:
+        warnings.warn(f"after {rounds} rounds the sources' quality still moves by {change:.1e}", stacklevel=2)
+    truth = patterns.join(_truth(sides, sources, prior), "pattern").select("field", "said", "spoke", "truth")
+    judged = facts.join(truth, ["field", "said", "spoke"]).select("field", "key", "value", F.size("said").alias("agents"), "truth")
+    return Judged(judged, sources.select("field", "source", "sensitivity", "specificity"), rounds, change)
 
 
 def _truth(sides: DataFrame, sources: DataFrame, prior: float) -> DataFrame:
-    """Per pattern the probability that a value stated by `said` among those who `spoke` is true."""
+    """Per pattern the probability that a value stated by those who said it among those who spoke is true."""
     se, sp = F.col("sensitivity"), F.col("specificity")
     ratio = F.when(F.col("states"), F.log(se / (1 - sp))).otherwise(F.log((1 - se) / sp))
-    odds = sides.join(sources, ["field", "source"]).groupBy("field", "said", "spoke").agg(F.sum(ratio).alias("x"))
-    return odds.select("field", "said", "spoke", (1 / (1 + F.exp(-(F.col("x") + F.log(F.lit(prior / (1 - prior))))))).alias("truth"))
+    odds = sides.join(sources, ["field", "source"]).groupBy("pattern").agg(F.sum(ratio).alias("x"))
+    return odds.select("pattern", (1 / (1 + F.exp(-(F.col("x") + F.log(F.lit(prior / (1 - prior))))))).alias("truth"))

@@ -153,7 +153,7 @@ def test_preference(spark):
     assert survivors.pick_by_preference(df.limit(0), F.col("k"), "id", picks).collect() == []
 
 
-def plain_em(claims, rounds=8, prior=0.5):
+def plain_em(claims, prior=0.5, settled=survivors.SETTLED):
     spoke, said = defaultdict(set), defaultdict(set)
     for f, k, s, v in claims:
         if f is not None and k is not None and s is not None:
@@ -172,14 +172,17 @@ def plain_em(claims, rounds=8, prior=0.5):
             out[f, k, v] = 1 / (1 + np.exp(-x))
         return out
 
-    for _ in range(rounds):
+    change, rounds = 1.0, 0
+    while change >= settled:
+        rounds += 1
         t, sums = truth(), defaultdict(lambda: np.zeros(4))
         for (f, k, v), p in t.items():
             for s in spoke[f, k]:
                 c = s in said[f, k, v]
                 sums[f, s] += [p * c, p, (1 - p) * (not c), 1 - p]
-        q = {x: ((a + 5) / (b + 10), (c + 9) / (d + 10)) for x, (a, b, c, d) in sums.items()}
-    return truth(), q
+        old, q = q, {x: ((a + 5) / (b + 10), (c + 9) / (d + 10)) for x, (a, b, c, d) in sums.items()}
+        change = max(abs(x - y) for k in q for x, y in zip(q[k], old[k]))
+    return truth(), q, rounds
 
 
 def test_two_sided_quality(spark):
@@ -192,17 +195,20 @@ def test_two_sided_quality(spark):
             claims += [("nodes", f"k{k}", s, v) for v in stated] or [("nodes", f"k{k}", s, None)]
     claims += claims[:30] + [(None, "k", "s", "v"), ("nodes", None, "s", "v"), ("nodes", "k", None, "v")]
     df = spark.createDataFrame([(*c, "clash") for c in claims], "field string, key string, source string, value string, truth string")
-    judged, sources = survivors.judge_values(df, Scratch(spark))
-    truth, q = plain_em(claims)
-    rows = judged.collect()
+    j = survivors.judge_values(df, Scratch(spark))
+    truth, q, rounds = plain_em(claims)
+    assert j.rounds == rounds > 8 and j.last_change < survivors.SETTLED
+    rows, sources = j.facts.collect(), j.sources
     assert len(rows) == len(truth) and all(abs(truth[r.field, r.key, r.value] - r.truth) < 1e-9 for r in rows)
     got = {r.source: r for r in sources.collect()}
     assert all(abs(got[s].sensitivity - a) < 1e-9 and abs(got[s].specificity - b) < 1e-9 for (_, s), (a, b) in q.items())
     assert got["loose"].specificity < got["good"].specificity and got["shy"].sensitivity < got["good"].sensitivity
     right = sum((r.truth >= 0.5) == (r.value in true[int(r.key[1:])]) for r in rows) / len(rows)
     assert right > 0.9
-    empty, nobody = survivors.judge_values(df.limit(0), Scratch(spark))
-    assert empty.collect() == [] and nobody.collect() == []
+    none = survivors.judge_values(df.limit(0), Scratch(spark))
+    assert none.facts.collect() == [] and none.sources.collect() == [] and (none.rounds, none.last_change) == (0, 0.0)
+    with pytest.warns(UserWarning, match="after 2 rounds"):
+        assert survivors.judge_values(df, Scratch(spark), most_rounds=2).rounds == 2
 
 
 # prefix sums, mixing, packing -------------------------------------------------------------------------------------
