@@ -2,8 +2,7 @@
 
 1. Every text becomes its set of tokens, in one order over all tokens: rare ones first, by a count of hashed tokens
    over all texts. Texts with the same set are one class; only one of them goes on.
-2. Classes are partitioned into groups of alike sets: those that share the token which, of their tokens that a few
-   texts have, comes first by hash.
+2. Classes are partitioned into groups of alike sets: those whose two smallest rare tokens, by hash, agree.
 3. The matrix has a row per group: the union of its members' tokens, hashed to as many columns as the mean size of the
    sets asks for, with the sizes of its smallest and largest member. Its inverted side lists, per token, the groups
    that have it among the tokens a member must share.
@@ -36,10 +35,10 @@ WORD = re.compile(r"[a-z0-9]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Hashed tokens are counted in 2**SKETCH_BITS numbers, whatever the corpus.
 SKETCH_BITS = 22
-#: Tokens of 2 to this many texts may name a group, so that no group has many more sets than that.
-MOST_SHARED = 32
+#: Tokens that a larger share of the texts use are no rare ones, and don't decide a text's group.
+COMMON_SHARE = 0.001
 #: The matrix has this many columns, or the next power of two, per token of a mean set; 64 at least and 4096 at most.
-COLUMNS_PER_TOKEN = 4
+COLUMNS_PER_TOKEN = 2
 #: Groups are told by 40 bits: should two agree, they are one larger group.
 GROUP_BITS = 40
 #: Sizes in postings: larger ones than these are told as unlimited, and don't limit what is met.
@@ -135,7 +134,7 @@ def matrix_words(rows: int, tokens: int) -> int:
     return min(64, 1 << max(0, math.ceil(math.log2(COLUMNS_PER_TOKEN * mean / 64))))
 
 
-def classes(df: DataFrame, row_id: str, texts: list[str], counts: np.ndarray, words: int, carry: list[str]) -> DataFrame:
+def classes(df: DataFrame, row_id: str, texts: list[str], counts: np.ndarray, n_rows: int, words: int, carry: list[str]) -> DataFrame:
     """Every row with a token as a member of its class: `sig`, the id and the carried columns, each once. And every class
     once, with `tokens` and without an id: its group `grp`, its size, its columns `m0`, `m1` and so on, and `alone`, how many
     tokens at the start no other row has. Members are spread by their id, classes by their group.
@@ -145,7 +144,7 @@ def classes(df: DataFrame, row_id: str, texts: list[str], counts: np.ndarray, wo
     reads only the first sends the class on.
     """
     sketch = df.sparkSession.sparkContext.broadcast(counts)  # 4 MB, whatever the corpus
-    most = int(coarse(np.array([MOST_SHARED]))[0])
+    common = int(coarse(np.array([max(16.0, COMMON_SHARE * n_rows)]))[0])
     own = [f for f in df.select(row_id, *carry).schema.fields]
     columns = [f"m{k}" for k in range(words)]
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -170,9 +169,8 @@ def classes(df: DataFrame, row_id: str, texts: list[str], counts: np.ndarray, wo
                 seen.add(s)
                 weight = count[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.lexsort((h, weight))
-                shared = h[(weight > 1) & (weight <= most)]
-                # by another order than that of the sets: the first of the shared tokens, or the first two of all
-                anchor = (shared * MIX).min() if len(shared) else np.sort(h * MIX)[:2]
+                rare = h[weight < common]
+                anchor = np.sort((rare if len(rare) >= 2 else h) * MIX)[:2]  # by another order than that of the sets
                 at = ((h >> np.uint64(20)) % np.uint64(64 * words)).astype(np.int64)
                 flags = np.zeros(64 * words, bool)
                 flags[at] = True
@@ -226,45 +224,39 @@ def need(a: Column, b: Column, t: float) -> Column:
     return F.ceil((a + b) * (t / (1 + t)) - 1e-9)
 
 
-def met_groups(sets: DataFrame, t: float) -> DataFrame:
-    """(grp, size, g), spread by grp: the groups that a set of that group and size may have a partner in, by its tokens,
-    its size and their places. Sets of more than QUERY_LIMIT tokens have that size."""
-    bounds = sets.groupBy("grp").agg(_two(_at_most(F.min("size"), SIZE_LIMIT), _at_most(F.max("size"), SIZE_LIMIT), 11).alias("sizes"), (F.count(F.lit(1)) > 1).cast("int").alias("several"))
+def met_groups(sets: DataFrame, t: float, words: int, bounded: bool = True) -> DataFrame:
+    """(grp, size, g), spread by grp: the groups that a set of that group and size may have a partner in, by its tokens, its
+    size and their places, and, if bounded, by the columns that the group's row of the matrix lacks. Sets of more than
+    QUERY_LIMIT tokens have that size here."""
+    columns = [f"m{k}" for k in range(words)]
+    matrix = sets.groupBy("grp").agg(_two(_at_most(F.min("size"), SIZE_LIMIT), _at_most(F.max("size"), SIZE_LIMIT), 11).alias("sizes"), (F.count(F.lit(1)) > 1).cast("int").alias("several"), *[F.bit_or(c).alias(f"g{c}") for c in columns])
     listed = _exploded(sets, ["grp"], listed_tokens(F.col("size"), t)).select("grp", _high("at").alias("token"), _low("at").alias("place")).groupBy("grp", "token").agg(F.min("place").alias("place"))
-    lists = listed.join(bounds, "grp").select(_two(F.col("grp"), _two(F.col("sizes"), F.col("several"), 1), 23).alias("to"), _two(F.col("token"), F.col("place")).alias("listed"))
-    queries = _exploded(sets, [_two(F.col("grp"), _at_most(F.col("size"), QUERY_LIMIT), 23).alias("of")], first_tokens(F.col("size"), t))
+    lists = listed.join(matrix, "grp").select(_two(F.col("grp"), _two(F.col("sizes"), F.col("several"), 1), 23).alias("to"), _two(F.col("token"), F.col("place")).alias("listed"), *[f"g{c}" for c in columns])
+    queries = _exploded(sets, [_two(F.col("grp"), _at_most(F.col("size"), QUERY_LIMIT), 23).alias("of"), *columns], first_tokens(F.col("size"), t))
     size, small, large = _low("of", 23), _low(_high("to", 12), 11), _low(_high("to", 1), 11)
     least = need(size, F.greatest(small, F.ceil(size * t - 1e-9)), t)  # what a partner in the group must share at least
     fits = (large == SIZE_LIMIT) | ((large >= F.ceil(size * t - 1e-9)) & (large - _low("listed") >= least))
-    may = (size == QUERY_LIMIT) | ((small <= size) & (size - _low("at") >= least) & fits)
+    may = (small <= size) & (size - _low("at") >= least) & fits
+    if bounded:  # at least as many tokens does the group lack as its row lacks columns
+        may = may & (size - sum((F.bit_count(F.col(c).bitwiseAND(F.bitwise_not(F.col(f"g{c}")))) for c in columns), F.lit(0)) >= least)
     other = (_high("of", 23) != _high("to", 23)) | (_low("to", 1) == 1)
-    met = queries.join(lists, _high("at") == _high("listed")).where(may & other).select(_high("of", 23).alias("grp"), size.cast("int").alias("size"), _high("to", 23).alias("g"))
-    return met.repartition(shuffle_partitions(sets.sparkSession), "grp").dropDuplicates(["grp", "size", "g"])
-
-
-def open_groups(sets: DataFrame, t: float, words: int) -> DataFrame:
-    """(grp, sig, size, m0 and so on, g, opened) for every set and group it met: whether the group's row of the matrix
-    still leaves room for a partner."""
-    columns = [f"m{k}" for k in range(words)]
-    q = sets.select(F.col("grp").alias("grp_q"), "sig", F.col("size").alias("size_q"), *columns)
-    # a difference of 0 is no equality that the planner would spread the kept sets anew for
-    same = _at_most(F.col("size_q"), QUERY_LIMIT).bitwiseXOR(F.col("size")) == 0
-    met = met_groups(sets, t).join(q, (F.col("grp") == F.col("grp_q")) & same).select("grp", "sig", F.col("size_q").alias("size"), *columns, "g")
-    matrix = sets.groupBy("grp").agg(F.min("size").alias("small"), *[F.bit_or(c).alias(f"g{c}") for c in columns]).withColumnRenamed("grp", "g")
-    lacks = sum((F.bit_count(F.col(c).bitwiseAND(F.bitwise_not(F.col(f"g{c}")))) for c in columns), F.lit(0))  # at least as many tokens does the group lack
-    room = F.col("size") - lacks >= need(F.col("size"), F.greatest("small", F.ceil(F.col("size") * t - 1e-9)), t)
-    return met.join(matrix, "g").withColumn("opened", room).drop("small", *[f"g{c}" for c in columns])
+    met = queries.join(lists, _high("at") == _high("listed")).where(((size == QUERY_LIMIT) | may) & other)
+    found = met.select(_high("of", 23).alias("grp"), size.cast("int").alias("size"), _high("to", 23).alias("g"))
+    return found.repartition(shuffle_partitions(sets.sparkSession), "grp").dropDuplicates(["grp", "size", "g"])
 
 
 def alike_classes(sets: DataFrame, t: float, words: int) -> DataFrame:
     """(sig_a, sig_b, size_a, size_b, common) of different classes whose sets are alike to at least t.
 
     `sets` are the different classes, spread and kept by group. Tokens move once for each pair that sizes and columns
-    leave, and nothing wider than a row of the matrix before.
+    leave, and nothing wider than its columns before.
     """
     columns = [f"m{k}" for k in range(words)]
+    q = sets.select(F.col("grp").alias("grp_q"), F.col("sig").alias("sig_a"), F.col("size").alias("size_a"), *columns)
     s = sets.select(F.col("grp").alias("g_b"), F.col("sig").alias("sig_b"), F.col("size").alias("size_b"), *[F.col(c).alias(f"b{c}") for c in columns], F.col("tokens").alias("tokens_b"))
-    opened = open_groups(sets, t, words).where("opened").withColumnsRenamed({"sig": "sig_a", "size": "size_a"})
+    # a difference of 0 is no equality that the planner would spread the kept sets anew for
+    same = _at_most(F.col("size_a"), QUERY_LIMIT).bitwiseXOR(F.col("size")) == 0
+    opened = met_groups(sets, t, words).join(q, (F.col("grp") == F.col("grp_q")) & same).select("grp", "sig_a", "size_a", *columns, "g")
     differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"b{c}"))) for c in columns), F.lit(0))
     smaller = (F.col("size_b") < F.col("size_a")) | ((F.col("size_b") == F.col("size_a")) & (F.col("sig_b") < F.col("sig_a")))
     alike = F.col("size_b") >= F.ceil(F.col("size_a") * t - 1e-9)
@@ -309,7 +301,7 @@ def near_duplicates(df: DataFrame, row_id: str, texts: list[str], t: float, carr
     words = matrix_words(rows, tokens)
     own = [row_id, *carry]  # under names of our own until the end
     named = df.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(own)], *texts)
-    kept = classes(named, "__0", texts, counts, words, [f"__{i}" for i in range(1, len(own))]).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = classes(named, "__0", texts, counts, rows, words, [f"__{i}" for i in range(1, len(own))]).persist(StorageLevel.MEMORY_AND_DISK)
     members = kept.where("tokens IS NULL").select("sig", *[f"__{i}" for i in range(len(own))]).toDF("sig", *own)
     sets = kept.where("tokens IS NOT NULL").drop(*[f"__{i}" for i in range(len(own))])
     return alike_classes(sets, t, words), members, kept

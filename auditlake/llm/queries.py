@@ -82,12 +82,12 @@ def p1_matrix(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "findings").where(filled("description") & F.col("finding_id").isNotNull())
     counts, rows, tokens = near_duplicates.token_counts(f, ["description", "vulnerable_component"])
     words = near_duplicates.matrix_words(rows, tokens)
-    kept = near_duplicates.classes(f, "finding_id", ["description", "vulnerable_component"], counts, words, []).persist()
+    kept = near_duplicates.classes(f, "finding_id", ["description", "vulnerable_component"], counts, rows, words, []).persist()
     sets = kept.where("tokens IS NOT NULL")
     one = F.lit(1).alias("one")
     size = sets.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).agg(one, F.sum("n").alias("sets"), F.count(F.lit(1)).alias("groups"), F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("in_shared_groups"))
-    met = near_duplicates.open_groups(sets, 0.7, words).agg(one, F.count(F.lit(1)).alias("met"), F.count_if("opened").alias("opened"))
-    return near_duplicates.release_with(size.join(met, "one").select(F.lit(64 * words).alias("columns"), "sets", "groups", "in_shared_groups", "met", "opened"), kept)
+    pairs = lambda bounded, name: near_duplicates.met_groups(sets, 0.7, words, bounded).agg(one, F.count(F.lit(1)).alias(name))
+    return near_duplicates.release_with(size.join(pairs(False, "met"), "one").join(pairs(True, "opened"), "one").select(F.lit(64 * words).alias("columns"), "sets", "groups", "in_shared_groups", "met", "opened"), kept)
 
 
 _CLASSES = f"""f AS (

@@ -58,7 +58,7 @@ def test_near_duplicates(spark, t, limits, monkeypatch):
     assert none.collect() == [] and nobody.collect() == []
 
 
-@pytest.mark.parametrize(("n", "words"), [(0, 1), (3, 1), (60, 4), (100_000, 64)])
+@pytest.mark.parametrize(("n", "words"), [(0, 1), (3, 1), (60, 2), (100_000, 64)])
 def test_matrix_words(n, words):
     assert near_duplicates.matrix_words(10, 10 * n) == words and near_duplicates.matrix_words(0, 0) == 1
 
@@ -74,12 +74,12 @@ def test_bound_never_loses(spark):
     counts, rows, tokens = near_duplicates.token_counts(df, ["a"])
     assert (rows, tokens) == (300, sum(len(word_set(a)) for _, a in data))
     n = near_duplicates.matrix_words(rows, tokens)
-    kept = near_duplicates.classes(df, "id", ["a"], counts, n, []).persist()
+    kept = near_duplicates.classes(df, "id", ["a"], counts, rows, n, []).persist()
     sets = kept.where("tokens IS NOT NULL")
-    opened = near_duplicates.open_groups(sets, 0.7, n)
-    hits = {(r.sig_a, r.grp) for r in near_duplicates.alike_classes(sets, 0.7, n).join(sets.select(F.col("sig").alias("sig_b"), "grp"), "sig_b").collect()}
-    shown = {(r.sig, r.g): r.opened for r in opened.collect()}
-    assert hits and all(shown[h] for h in hits) and not all(shown.values())
+    met, opened = ({(r.grp, r.size, r.g) for r in near_duplicates.met_groups(sets, 0.7, n, b).collect()} for b in (False, True))
+    of = {r.sig: r.grp for r in sets.collect()}
+    hits = {(of[r.sig_a], r.size_a, of[r.sig_b]) for r in near_duplicates.alike_classes(sets, 0.7, n).collect()}
+    assert hits and hits <= opened < met
     kept.unpersist()
 
 
