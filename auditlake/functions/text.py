@@ -119,9 +119,9 @@ def call_target(target: Column | str) -> tuple[Column, Column]:
 
 
 def member_name(label: Column | str) -> Column:
-    """A node's label as a bare name: lower case, no leading dot, no closing brackets."""
+    """A node's label as a bare name: lower case, without one leading dot and one closing pair of brackets."""
     c = F.col(label) if isinstance(label, str) else label
-    return F.lower(F.regexp_replace(F.rtrim(trimmed(c), F.lit("()")), r"^\.", ""))
+    return F.regexp_replace(F.lower(trimmed(c)), r"^\.|\(\)$", "")
 
 
 def line_number(location: Column | str) -> Column:

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.paths import is_manifest
-from auditlake.functions.text import member_name
 from auditlake.session import Scratch, filled, trimmed
 
 
@@ -93,21 +92,74 @@ def ancestors(links: DataFrame, relation: str, scratch: Scratch, depth: int = 8)
     return found
 
 
+# Labels of members, and relations of a class to what it takes members from.
+MEMBER_LABEL = r"^\.([A-Za-z_]\w*)\(\)$"
+CLASS_RELATIONS = ["inherits", "extends", "implements", "mixes_in"]
+# End of the fixed values.
+
+
 def members(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(container, name, member): what `method` links say; a container without that name gets it by the `contains`
-    links instead. Of several members of a name the smallest id counts."""
-    m = links.where(F.col("relation").isin("method", "contains")).join(nodes.select(F.col("id").alias("target"), member_name("label").alias("name")), "target").where("name <> ''")
-    first = F.min(F.struct((F.col("relation") != "method").alias("weak"), F.col("target").alias("member"))).alias("f")
-    return m.groupBy(F.col("source").alias("container"), "name").agg(first).select("container", "name", "f.member")
-
-
-def inherited_members(own: DataFrame, closure: DataFrame) -> DataFrame:
-    """(node, name, member, depth): each name a node has itself (depth 0) or from its nearest ancestor that has it;
-    equally near ancestors stand in order of their ids."""
-    mine = own.select(F.col("container").alias("node"), "name", F.lit(0).alias("depth"), F.col("container").alias("owner"), "member")
-    theirs = closure.join(own.withColumnRenamed("container", "ancestor"), "ancestor").select("node", "name", "depth", F.col("ancestor").alias("owner"), "member")
-    best = mine.unionByName(theirs).groupBy("node", "name").agg(F.min(F.struct("depth", "owner", "member")).alias("b"))
-    return best.select("node", "name", "b.member", "b.owner", "b.depth")
+    """(container, name, member): what `method` links between nodes say of nodes labelled as members. A container without
+    that name gets it by the ids: a member of its file whose id is the container's, an underscore and the name. Of several
+    members of a name the smallest id counts."""
+    named = nodes.select("id", "source_file", F.lower(F.regexp_extract(F.coalesce("label", F.lit("")), MEMBER_LABEL, 1)).alias("name"))
+    m = named.where("name <> ''")
+    told = links.where("relation = 'method'").select(F.col("source").alias("container"), "target").distinct().join(nodes.select(F.col("id").alias("container")), "container", "left_semi")
+    told = told.join(m.select(F.col("id").alias("target"), "name"), "target").select("container", "name", F.lit(False).alias("weak"), F.col("target").alias("member"))
+    cut = F.col("id").substr(F.lit(1), F.length("id") - F.length("name") - 1)
+    by_id = m.where(F.endswith("id", F.concat(F.lit("_"), F.col("name")))).select(cut.alias("container"), "name", F.lit(True).alias("weak"), F.col("id").alias("member"), "source_file")
+    owner = named.where("name = ''").select(F.col("id").alias("container"), F.col("source_file").alias("__file"))
+    by_id = by_id.join(owner, "container").where(F.col("source_file").eqNullSafe(F.col("__file"))).drop("source_file", "__file")
+    first = F.min(F.struct("weak", "member")).alias("f")
+    return told.unionByName(by_id).groupBy("container", "name").agg(first).select("container", "name", "f.member")
+
+
+def inherited_members(own: DataFrame, parents: DataFrame, scratch: Scratch, depth: int = 8) -> DataFrame:
+    """(node, name, member, owner, depth): each name a node has itself (depth 0) or from its nearest ancestor that has it,
+    up to `depth` steps away; equally near ancestors stand in order of their ids. `parents` are pairs (source, target).
+
+    Names go down one step a round, and only those that a node hasn't got yet stay; so a name passes each node once,
+    however many ancestors have it, and cycles end.
+    """
+    step = scratch.keep(parents.where("source <> target").select("source", "target").distinct())
+    newest = scratch.keep(own.select(F.col("container").alias("node"), "name", "member", F.col("container").alias("owner"), F.lit(0).alias("depth")))
+    found = newest
+    for k in range(1, depth + 1):
+        below = newest.withColumnRenamed("node", "target").join(step, "target").groupBy(F.col("source").alias("node"), "name").agg(F.min(F.struct("owner", "member")).alias("b"))
+        below = below.join(found.select("node", "name"), ["node", "name"], "left_anti").select("node", "name", "b.member", "b.owner", F.lit(k).alias("depth"))
+        newest, rows = scratch.keep_rows(below)
+        if not rows:
+            break
+        found = found.unionByName(newest)
+    return found
+
+
+def definitions(symbols: DataFrame, asked: DataFrame, scratch: Scratch) -> DataFrame:
+    """(symbol, name, file, start_line, end_line, trail): where each symbol asked for is defined: itself, or for `Class::method`
+    the same method of the nearest class up the chain of parents; trail names the classes gone up, in order.
+
+    `symbols` have (name, class, parent, file, start_line, end_line); a class's parent is that of its first symbol by
+    file and line, also of several symbols of a name the first counts. A chain ends at a class without parent, one
+    that has no symbol, or one seen before. Each class that is asked about in a round is looked up once.
+    """
+    at = F.struct("file", "start_line", "end_line")
+    first = scratch.keep(symbols.where("name IS NOT NULL").groupBy("name").agg(F.min(at).alias("at")))
+    ups = symbols.where("class IS NOT NULL").groupBy("class").agg(F.min_by(F.struct("parent"), at).alias("p"))
+    ups = scratch.keep(ups.select("class", F.col("p.parent").alias("up")).where("up <> ''"))
+    rest = asked.select("symbol").where("symbol IS NOT NULL").distinct()
+    hit = lambda d: d.join(first, "name").select("symbol", "name", "at.*", "trail")
+    none = F.array().cast("array<string>")
+    newest = scratch.keep(rest.select("symbol", F.col("symbol").alias("name"), none.alias("trail")))
+    out = hit(newest)
+    scoped = F.contains("name", F.lit("::"))
+    newest = newest.join(first, "name", "left_anti").where(scoped).select("symbol", F.substring_index("name", "::", 1).alias("class"), F.regexp_replace("name", r"(?s)^.*?::", "").alias("method"), "trail")
+    while True:
+        up = newest.join(ups, "class").where((F.col("up") != F.substring_index("symbol", "::", 1)) & ~F.array_contains("trail", F.col("up")))
+        up, rows = scratch.keep_rows(up.select("symbol", F.col("up").alias("class"), "method", F.concat("trail", F.array("up")).alias("trail"), F.concat("up", F.lit("::"), F.col("method")).alias("name")))
+        if not rows:
+            return out
+        out = out.unionByName(hit(up))
+        newest = up.join(first, "name", "left_anti").drop("name")
 
 
 def shortest_hops(links: DataFrame, starts: DataFrame, scratch: Scratch, max_hops: int = 12) -> DataFrame:

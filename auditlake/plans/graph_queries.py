@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import paths, text
 from auditlake.operators import demands, graph, groups, ordering, stats
-from auditlake.session import Scratch, table
+from auditlake.session import Scratch, table, trimmed
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -37,7 +37,8 @@ _L = f"""l AS (SELECT DISTINCT ON (link_id) link_id, trim(source, {_WS}) AS sour
   WHERE length(trim(coalesce(source, ''), {_WS})) > 0 AND length(trim(coalesce(target, ''), {_WS})) > 0 AND length(trim(coalesce(relation, ''), {_WS})) > 0)"""
 _LIST = ", ".join(f"'{n}'" for n in paths.MANIFEST_NAMES)
 _EXCLUDED = paths.exclusion_regex().replace("'", "''")
-_NAME = f"lower(regexp_replace(rtrim(trim(label, {_WS}), '()'), '^\\.', ''))"
+_ONE_SPACE = lambda c: f"lower(regexp_replace(trim(coalesce({c}, ''), {_WS}), '\\s+', ' ', 'g'))"
+_NAME = f"regexp_replace(lower(trim(label, {_WS})), '^\\.|\\(\\)$', '', 'g')"
 
 
 @query(f"SELECT id, source_file, coalesce(regexp_matches(source_file, '{_EXCLUDED}') AND source_file <> '', false) AS excluded, coalesce(regexp_extract(rtrim(source_file, '/'), '[^/]*$') IN ({_LIST}), false) AS manifest FROM nodes")
@@ -114,19 +115,34 @@ def ancestors(spark, d):
     return graph.ancestors(_links(spark, d), "inherits", Scratch(spark))
 
 
-_MEMBERS = f"""m AS (SELECT source AS container, {_NAME} AS name, target AS member, relation <> 'method' AS weak FROM l JOIN nodes ON id = target
-  WHERE relation IN ('method', 'contains') AND {_NAME} <> ''),
+def _members_sql(nodes: str) -> str:
+    return f"""labelled AS (SELECT id, source_file, lower(regexp_extract(coalesce(label, ''), '^\\.([A-Za-z_]\\w*)\\(\\)$', 1)) AS name FROM {nodes}),
+m AS (SELECT source AS container, name, target AS member, false AS weak FROM l JOIN labelled ON id = target WHERE relation = 'method' AND name <> '' AND source IN (SELECT id FROM {nodes})
+  UNION ALL SELECT c.id, a.name, a.id, true FROM labelled a JOIN labelled c ON c.id = substr(a.id, 1, length(a.id) - length(a.name) - 1) AND c.source_file IS NOT DISTINCT FROM a.source_file WHERE a.name <> '' AND c.name = '' AND ends_with(a.id, '_' || a.name)),
 own AS (SELECT container, name, arg_min(member, (weak, member)) AS member FROM m GROUP BY ALL)"""
 
 
-@query(f"WITH {_L}, {_MEMBERS} SELECT * FROM own")
+@query(f"WITH {_L}, {_members_sql('nodes')} SELECT * FROM own")
 def members(spark, d):
     """The members of every container by name."""
     return graph.members(_nodes(spark, d), _links(spark, d))
 
 
+_FILED = r"""filed AS (SELECT n.id AS old, CASE WHEN regexp_matches(label, '^\.[A-Za-z_]\w*\(\)$') AND c.id IS NOT NULL THEN c.id || '_' || lower(regexp_extract(label, '^\.([A-Za-z_]\w*)\(\)$', 1)) ELSE n.id END AS id, label, n.source_file
+  FROM nodes n LEFT JOIN (SELECT source_file, min(id) AS id FROM nodes WHERE NOT regexp_matches(coalesce(label, ''), '^\.[A-Za-z_]\w*\(\)$') GROUP BY source_file) c ON c.source_file = n.source_file)"""
+
+
+@query(f"WITH l AS (SELECT 'x' AS source, 'x' AS target, 'none' AS relation), {_FILED}, {_members_sql('filed')} SELECT * FROM own")
+def members_by_id(spark, d):
+    """The same where only ids tell: members named after the first node of their file that is no member."""
+    n, member = _nodes(spark, d), F.regexp_extract(F.coalesce("label", F.lit("")), graph.MEMBER_LABEL, 1)
+    first = n.where(member == "").where("source_file IS NOT NULL").groupBy("source_file").agg(F.min("id").alias("first"))
+    n = n.join(first, "source_file", "left").withColumn("id", F.when((member != "") & F.col("first").isNotNull(), F.concat("first", F.lit("_"), F.lower(member))).otherwise(F.col("id")))
+    return graph.members(n, _links(spark, d).where("relation = 'none'"))
+
+
 @query(f"""
-WITH RECURSIVE {_L}, {_MEMBERS}, s AS (SELECT DISTINCT source, target FROM l WHERE relation = 'inherits' AND source <> target),
+WITH RECURSIVE {_L}, {_members_sql('nodes')}, s AS (SELECT DISTINCT source, target FROM l WHERE relation = 'inherits' AND source <> target),
 r(node, ancestor, depth) AS (SELECT source, target, 1 FROM s UNION SELECT node, s.target, depth + 1 FROM r JOIN s ON s.source = r.ancestor WHERE depth < 8),
 c AS (SELECT node, ancestor, min(depth) AS depth FROM r WHERE node <> ancestor GROUP BY ALL),
 x AS (SELECT container AS node, name, 0 AS depth, container AS owner, member FROM own UNION ALL SELECT node, name, depth, ancestor, member FROM c JOIN own ON container = ancestor)
@@ -134,8 +150,39 @@ SELECT node, name, depth, owner, member FROM x QUALIFY row_number() OVER (PARTIT
 """)
 def inherited_members(spark, d):
     """Every member that a node has, itself or from its nearest ancestor."""
-    scratch, links = Scratch(spark), _links(spark, d)
-    return graph.inherited_members(graph.members(_nodes(spark, d), links), graph.ancestors(links, "inherits", scratch))
+    links = _links(spark, d)
+    return graph.inherited_members(graph.members(_nodes(spark, d), links), links.where("relation = 'inherits'"), Scratch(spark))
+
+
+_SYMBOLS = f"""up AS (SELECT source AS id, min(target) AS up FROM l WHERE relation = 'inherits' AND source <> target GROUP BY source),
+named AS (SELECT id, {_NAME} AS name, source_file, coalesce(try_cast(regexp_replace(trim(source_location, {_WS}), '^[lL]', '') AS INTEGER), 0) AS line FROM nodes WHERE {_NAME} <> ''),
+symbols AS (SELECT c.name || '::' || o.name AS name, c.name AS class, p.name AS parent, m.source_file AS file, m.line AS start_line FROM own o JOIN named c ON c.id = o.container JOIN named m ON m.id = o.member LEFT JOIN up ON up.id = c.id LEFT JOIN named p ON p.id = up.up
+  UNION ALL SELECT name, NULL, NULL, source_file, line FROM named),
+asked AS (SELECT c.name || '::' || o.name AS symbol FROM own o JOIN l ON l.target = o.container AND relation = 'inherits' JOIN named c ON c.id = l.source UNION SELECT name FROM named)"""
+
+
+@query(f"""
+WITH RECURSIVE {_L}, {_members_sql('nodes')}, {_SYMBOLS},
+first_of AS (SELECT name, min((file, start_line)) AS place FROM symbols GROUP BY name),
+ups AS (SELECT class, arg_min(coalesce(parent, ''), (file, start_line)) AS up FROM symbols WHERE class IS NOT NULL GROUP BY class),
+r(symbol, name, class, method, trail) AS (SELECT symbol, symbol, split_part(symbol, '::', 1), substr(symbol, strpos(symbol, '::') + 2), CAST([] AS VARCHAR[]) FROM asked
+  UNION ALL SELECT symbol, up || '::' || method, up, method, list_append(trail, up) FROM r JOIN ups USING (class) WHERE contains(symbol, '::') AND up <> '' AND up <> split_part(symbol, '::', 1) AND NOT list_contains(trail, up) AND name NOT IN (SELECT name FROM first_of))
+SELECT symbol, r.name, place[1] AS file, place[2] AS start_line, trail FROM r JOIN first_of USING (name)
+""")
+def definitions(spark, d):
+    """Where every name, and every method asked of a class that inherits, is defined, and which classes were gone up."""
+    n, links = _nodes(spark, d), _links(spark, d)
+    named = n.select("id", text.member_name("label").alias("name"), "source_file", F.coalesce(text.line_number("source_location"), F.lit(0)).alias("line")).where("name <> ''")
+    own = graph.members(n, links)
+    up = links.where("relation = 'inherits' AND source <> target").groupBy(F.col("source").alias("cid")).agg(F.min("target").alias("pid"))
+    is_ = lambda i, c, *more: named.select(F.col("id").alias(i), F.col("name").alias(c), *more)
+    of = own.withColumnsRenamed({"container": "cid", "member": "mid", "name": "method"}).join(is_("cid", "class"), "cid")
+    scoped = of.join(named.select(F.col("id").alias("mid"), F.col("source_file").alias("file"), F.col("line").alias("start_line")), "mid").join(up, "cid", "left").join(is_("pid", "parent"), "pid", "left")
+    symbols = scoped.select(F.concat_ws("::", "class", "method").alias("name"), "class", "parent", "file", "start_line")
+    symbols = symbols.unionByName(named.select("name", F.lit(None).cast("string").alias("class"), F.lit(None).cast("string").alias("parent"), F.col("source_file").alias("file"), F.col("line").alias("start_line")))
+    heirs = links.where("relation = 'inherits'").select(F.col("source").alias("sid"), F.col("target").alias("cid")).join(is_("sid", "heir"), "sid")
+    asked = own.select(F.col("container").alias("cid"), "name").join(heirs, "cid").select(F.concat_ws("::", "heir", "name").alias("symbol")).unionByName(named.select(F.col("name").alias("symbol"))).distinct()
+    return graph.definitions(symbols.withColumn("end_line", F.col("start_line")), asked, Scratch(spark)).select("symbol", "name", "file", "start_line", "trail")
 
 
 @query(f"""
@@ -244,67 +291,230 @@ def community_roles(spark, d):
     return stats.top_roles(stats.role_scores(c, near.select("community", F.col("source").alias("item"), "text"), "community", ROLES), "community", 2, "general")
 
 
-_TARGETS = f"""
-nn AS (SELECT DISTINCT ON (note_id) note_id, node_id, upstream, downstream FROM notes WHERE node_id IS NOT NULL),
-e0 AS (SELECT note_id, node_id, 'upstream' AS direction, unnest(upstream) AS e, generate_subscripts(upstream, 1) - 1 AS pos FROM nn
-  UNION ALL SELECT note_id, node_id, 'downstream', unnest(downstream), generate_subscripts(downstream, 1) - 1 FROM nn),
-e1 AS (SELECT note_id, node_id, direction, pos, e.description AS description, trim(replace(regexp_replace(e.target, '\\(.*?\\)', '', 'g'), '`', ''), {_WS}) AS c FROM e0 WHERE length(trim(coalesce(e.target, ''), {_WS})) > 0),
-e2 AS (SELECT *, CASE WHEN contains(c, '::') THEN split_part(c, '::', 1) ELSE '' END AS m0, CASE WHEN contains(c, '::') THEN substr(c, strpos(c, '::') + 2) ELSE c END AS r0 FROM e1),
-e3 AS (SELECT *, contains(r0, '->') AS arrow, trim(rtrim(regexp_extract(r0, '(?s)^(.*)->', 1), '()'), {_WS}) AS receiver FROM e2),
-e4 AS (SELECT *, trim(CASE WHEN arrow AND m0 = '' AND (NOT starts_with(receiver, '$') OR lower(receiver) = '$this') THEN receiver ELSE m0 END, {_WS}) AS m1, CASE WHEN arrow THEN regexp_extract(r0, '(?s)^.*->(.*)$', 1) ELSE r0 END AS r1 FROM e3),
-e5 AS (SELECT *, m1 = '' AND contains(r1, '.') AND NOT starts_with(r1, '.') AS dotted FROM e4),
-asked AS (SELECT note_id, node_id, direction, pos, description, CASE WHEN dotted THEN regexp_extract(r1, '(?s)^(.*)\\.[^.]*$', 1) ELSE m1 END AS module,
-  trim(regexp_replace(CASE WHEN dotted THEN regexp_extract(r1, '(?s)^.*\\.(.*)$', 1) ELSE r1 END, '\\(.*$', ''), {_WS}) AS symbol FROM e5),
-names AS (SELECT id, {_NAME} AS name FROM nodes WHERE {_NAME} <> ''),
-only_one AS (SELECT name, min(id) AS single, count(*) AS named FROM names GROUP BY name),
-by_class AS (SELECT n.name AS class, o.name, min(o.member) AS in_class, count(*) AS classes FROM own o JOIN names n ON n.id = o.container GROUP BY ALL),
+# Demands: those of the notes, and what each link would ask for, written in every way that a resolution knows. For that some
+# functions are nodes once more, as a member and as a function of the same name.
+
+_NAMED = r"""nn AS (SELECT id, label, source_file FROM nodes
+  UNION ALL SELECT id || '_m', '.' || label, source_file FROM nodes WHERE regexp_matches(label, '^[a-z_]\w*\(\)$') AND length(id) % 4 = 0
+  UNION ALL SELECT id || '_f', label, source_file FROM nodes WHERE regexp_matches(label, '^[a-z_]\w*\(\)$') AND length(id) % 4 = 1)"""
+_GRAPH = f"""
 homes AS (SELECT member AS node_id, min(container) AS home FROM own GROUP BY member),
-joined AS (SELECT a.*, lower(module) IN ('$this', 'this', 'self', 'static', 'parent', 'cls') AS pronoun, in_home.member AS in_home, in_class, classes, single, named FROM asked a
-  LEFT JOIN by_class b ON b.class = lower(module) AND b.name = lower(symbol) LEFT JOIN homes h ON h.node_id = a.node_id
-  LEFT JOIN own in_home ON in_home.container = h.home AND in_home.name = lower(symbol) LEFT JOIN only_one o ON o.name = lower(symbol)),
-staged AS (SELECT *, CASE WHEN symbol = '' THEN NULL WHEN pronoun AND in_home IS NOT NULL THEN 'home' WHEN NOT pronoun AND classes = 1 THEN 'class' WHEN module = '' AND named = 1 THEN 'name' END AS stage FROM joined)"""
+up0 AS (SELECT DISTINCT source, target FROM l WHERE relation IN ('inherits', 'extends', 'implements', 'mixes_in') AND source <> target AND source IN (SELECT id FROM nn) AND target IN (SELECT id FROM nn)),
+cont AS (SELECT container FROM own UNION SELECT source FROM up0 UNION SELECT target FROM up0),
+par AS (SELECT source, target FROM up0 WHERE source NOT IN (SELECT node_id FROM homes)),
+walk(node, ancestor, depth) AS (SELECT source, target, 1 FROM par UNION SELECT node, par.target, depth + 1 FROM walk JOIN par ON par.source = walk.ancestor WHERE depth < 8),
+clo AS (SELECT node, ancestor, min(depth) AS depth FROM walk WHERE node <> ancestor GROUP BY ALL),
+keys AS (SELECT hint, container, min(nth) AS nth FROM (
+    SELECT {_NAME} AS hint, id AS container, 0 AS nth FROM nn WHERE id IN (SELECT container FROM cont)
+    UNION ALL SELECT lower(regexp_extract(coalesce(source_file, ''), '([^/]+?)(?:\\.[^./]*)?/*$', 1)), id, 1 FROM nn WHERE id IN (SELECT container FROM cont)) WHERE hint <> '' GROUP BY ALL),
+lab AS (SELECT id, lower(replace(source_file, '\\', '/')) AS file, lower(coalesce(label, '')) AS label, regexp_replace(lower(coalesce(label, '')), '\\(\\)$', '') AS bare, coalesce({_NAME}, '') AS name FROM nn WHERE source_file <> ''),
+home_of AS (SELECT nn.id AS node_id, coalesce(h.home, c.container) AS home FROM nn LEFT JOIN homes h ON h.node_id = nn.id LEFT JOIN cont c ON c.container = nn.id)"""
+_LINK_DEMANDS = f"""
+first_own AS (SELECT container, min(name) AS name FROM own GROUP BY container),
+up_own AS (SELECT node, arg_min(ancestor, (depth, ancestor)) AS ancestor, min(o.name) AS name FROM clo LEFT JOIN first_own o ON o.container = ancestor GROUP BY node),
+par_own AS (SELECT source AS node, min(name) AS name FROM par JOIN first_own ON container = target GROUP BY source),
+shown AS (SELECT id, coalesce(label, '') AS label, coalesce({_NAME}, '') AS name, coalesce(source_file, '') AS file, regexp_extract(coalesce(source_file, ''), '([^/]+?)(?:\\.[^./]*)?/*$', 1) AS stem FROM nn),
+asked_links AS (SELECT link_id, l.node_id, link_id % 12 AS kind, up, t.label, t.name, t.stem, tc.label AS class, hc.label AS own_class, fo.name AS own_name, uo.name AS up_name, ua.label AS up_class, po.name AS par_name
+  FROM (SELECT link_id, source AS node_id, target, 0 AS up FROM l WHERE (link_id // 12) % 2 = 0 UNION ALL SELECT min(link_id), target, target, 1 FROM l WHERE (link_id // 12) % 2 = 1 GROUP BY target, link_id % 12) l JOIN shown t ON t.id = l.target JOIN home_of h ON h.node_id = l.node_id LEFT JOIN homes th ON th.node_id = l.target LEFT JOIN shown tc ON tc.id = th.home
+  LEFT JOIN shown hc ON hc.id = h.home LEFT JOIN first_own fo ON fo.container = h.home LEFT JOIN up_own uo ON uo.node = h.home LEFT JOIN shown ua ON ua.id = uo.ancestor LEFT JOIN par_own po ON po.node = h.home),
+link_demands AS (SELECT -link_id AS note_id, node_id, CASE WHEN up = 1 THEN 'upstream' ELSE 'downstream' END AS direction, 0 AS pos, 'link ' || link_id // 5 AS description, CASE kind
+  WHEN 1 THEN coalesce(class, label) || '::' || name || '(a, b)' WHEN 2 THEN stem || '.' || name || '()' WHEN 3 THEN stem || '.' || left(name, greatest(length(name) - 2, 1)) || '(x)' WHEN 4 THEN '$this->' || coalesce(own_name, name) || '()'
+  WHEN 5 THEN 'parent::' || coalesce(par_name, name) || '()' WHEN 6 THEN 'Nosuch::' || name || '(1)' WHEN 7 THEN coalesce(own_class, label) || '::zz_' || name || '()' WHEN 8 THEN 'zz_' || name || '()'
+  WHEN 9 THEN coalesce(up_class, label) || '::' || coalesce(own_name, name) || '()' WHEN 10 THEN 'self::' || coalesce(up_name, name) || '()' WHEN 11 THEN '($' || name || ')' ELSE name || '(a, b)' END AS target FROM asked_links)"""
+_ASKED = f"""
+notes1 AS (SELECT DISTINCT ON (note_id) note_id, node_id, upstream, downstream FROM notes WHERE node_id IS NOT NULL),
+e0 AS (SELECT note_id, node_id, 'upstream' AS direction, unnest(upstream) AS e, generate_subscripts(upstream, 1) - 1 AS pos FROM notes1
+  UNION ALL SELECT note_id, node_id, 'downstream', unnest(downstream), generate_subscripts(downstream, 1) - 1 FROM notes1),
+e1 AS (SELECT note_id, node_id, direction, pos, e.description AS description, e.target AS target FROM e0 WHERE length(trim(coalesce(e.target, ''), {_WS})) > 0 UNION ALL SELECT note_id, node_id, direction, pos, description, target FROM link_demands)"""
+
+
+def _parsed(rows: str) -> str:
+    """The module and symbol of the targets in `rows`, as `asked`."""
+    return f"""
+p1 AS (SELECT *, trim(replace(regexp_replace(target, '\\(.*?\\)', '', 'g'), '`', ''), {_WS}) AS c FROM {rows}),
+p2 AS (SELECT *, CASE WHEN contains(c, '::') THEN split_part(c, '::', 1) ELSE '' END AS m0, CASE WHEN contains(c, '::') THEN substr(c, strpos(c, '::') + 2) ELSE c END AS r0 FROM p1),
+p3 AS (SELECT *, contains(r0, '->') AS arrow, trim(rtrim(regexp_extract(r0, '(?s)^(.*)->', 1), '()'), {_WS}) AS receiver FROM p2),
+p4 AS (SELECT *, trim(CASE WHEN arrow AND m0 = '' AND (NOT starts_with(receiver, '$') OR lower(receiver) = '$this') THEN receiver ELSE m0 END, {_WS}) AS m1, CASE WHEN arrow THEN regexp_extract(r0, '(?s)^.*->(.*)$', 1) ELSE r0 END AS r1 FROM p3),
+p5 AS (SELECT *, m1 = '' AND contains(r1, '.') AND NOT starts_with(r1, '.') AS dotted FROM p4),
+asked AS (SELECT note_id, node_id, direction, pos, target, description, CASE WHEN dotted THEN regexp_extract(r1, '(?s)^(.*)\\.[^.]*$', 1) ELSE m1 END AS module,
+  trim(regexp_replace(CASE WHEN dotted THEN regexp_extract(r1, '(?s)^.*\\.(.*)$', 1) ELSE r1 END, '\\(.*$', ''), {_WS}) AS symbol FROM p5)"""
+
+
+_RESOLVED = f"""
+q1 AS (SELECT DISTINCT node_id, module, symbol, CASE WHEN lower(trim(module, {_WS})) IN ('global', 'none', 'null') THEN '' ELSE lower(trim(module, {_WS})) END AS m0, trim(symbol, {_WS}) AS s0 FROM asked),
+q2 AS (SELECT q1.*, h.home, m0 IN ('parent', 'static', 'self', 'this', '$this') AS pronoun, regexp_replace(CASE WHEN contains(s0, '/') THEN trim(split_part(s0, '/', 1), {_WS}) ELSE s0 END, '\\(\\)$', '') AS b FROM q1 LEFT JOIN home_of h USING (node_id)),
+q3 AS (SELECT *, CASE WHEN contains(b, '::') THEN split_part(b, '::', 1) WHEN contains(b, '.') THEN split_part(b, '.', 1) ELSE '' END AS cls, CASE WHEN contains(b, '::') THEN substr(b, strpos(b, '::') + 2) WHEN contains(b, '.') THEN substr(b, strpos(b, '.') + 1) ELSE b END AS rest,
+  CASE WHEN pronoun OR starts_with(m0, '$') THEN '' ELSE m0 END AS m FROM q2),
+q4 AS (SELECT node_id, module, symbol, m0, s0, home, pronoun, lower(rest) AS sym, regexp_replace(lower(trim(rest, {_WS})), '^\\.|\\(\\)$', '', 'g') AS name, regexp_replace(lower(s0), '^\\.|\\(\\)$', '', 'g') AS own_name,
+  regexp_extract(translate(m, '.\\', '//'), '[^/]*$') AS base, lower(cls) AS cls FROM q3),
+q5 AS (SELECT *, base <> '' AS of_file, CASE WHEN base <> '' THEN base ELSE cls END AS file_hint, CASE WHEN cls <> '' THEN cls ELSE base END AS hint FROM q4),
+scope_of AS (SELECT container AS start, container, 0 AS depth FROM cont UNION ALL SELECT node, ancestor, depth FROM clo),
+scoped AS (SELECT start, o.name, arg_min(o.member, (depth, s.container)) AS found FROM scope_of s JOIN own o ON o.container = s.container GROUP BY ALL),
+above AS (SELECT p.source AS start, o.name, arg_min(o.member, p.target) AS found FROM par p JOIN own o ON o.container = p.target GROUP BY ALL),
+files AS (SELECT f.file_hint, f.of_file, f.sym, min(id) FILTER (label = sym OR bare = sym OR ends_with(bare, '::' || sym) OR ends_with(bare, '->' || sym) OR ends_with(bare, '.' || sym)) AS strict, min(id) FILTER (sym <> '') AS loose
+  FROM (SELECT DISTINCT file_hint, of_file, sym FROM q5 WHERE file_hint <> '' AND s0 <> '') f JOIN lab ON contains(label, sym) AND (contains(file, file_hint) OR (NOT of_file AND contains(label, file_hint))) GROUP BY ALL),
+classes AS (SELECT hint, o.name, arg_min(o.member, (depth, nth, s.container)) AS found FROM keys k JOIN scope_of s ON s.start = k.container AND depth <= 7 JOIN own o ON o.container = s.container WHERE hint IN (SELECT hint FROM q5) GROUP BY ALL),
+heirs AS (SELECT DISTINCT node AS home, hint FROM clo JOIN keys ON container = ancestor),
+names AS (SELECT name, count(*) AS named, min(id) AS single, count_if(bare = name) AS functions, min(id) FILTER (bare = name) AS fn FROM lab WHERE name <> '' GROUP BY name),
+q6 AS (SELECT q5.*, CASE WHEN pronoun THEN CASE WHEN m0 = 'parent' THEN ab.found ELSE sc.found END END AS in_scope, fi.strict, fi.loose, cl.found AS in_class, CASE WHEN he.home IS NOT NULL THEN oc.found END AS in_own, named, single, functions, fn, q5.hint IN (SELECT hint FROM keys) AS known
+  FROM q5 LEFT JOIN scoped sc ON sc.start = q5.home AND sc.name = q5.own_name LEFT JOIN above ab ON ab.start = q5.home AND ab.name = q5.own_name
+  LEFT JOIN files fi ON fi.file_hint = q5.file_hint AND fi.of_file = q5.of_file AND fi.sym = q5.sym LEFT JOIN classes cl ON cl.hint = q5.hint AND cl.name = q5.name
+  LEFT JOIN heirs he ON he.home = q5.home AND he.hint = q5.hint LEFT JOIN scoped oc ON oc.start = q5.home AND oc.name = q5.name LEFT JOIN names na ON na.name = q5.name),
+q7 AS (SELECT *, CASE WHEN s0 = '' THEN NULL WHEN in_scope IS NOT NULL THEN 'scope' WHEN file_hint <> '' THEN CASE WHEN strict IS NOT NULL THEN 'file' WHEN loose IS NOT NULL THEN 'part' WHEN in_class IS NOT NULL THEN 'inherited' WHEN in_own IS NOT NULL THEN 'caller' END
+  WHEN named = 1 THEN 'name' WHEN functions = 1 THEN 'function' END AS stage FROM q6),
+answers AS (SELECT node_id, module, symbol, stage, CASE stage WHEN 'scope' THEN in_scope WHEN 'file' THEN strict WHEN 'part' THEN loose WHEN 'inherited' THEN in_class WHEN 'caller' THEN in_own WHEN 'name' THEN single WHEN 'function' THEN fn END AS resolved,
+  CASE WHEN stage IS NULL THEN CASE WHEN s0 = '' THEN 'no-symbol' WHEN file_hint = '' THEN CASE WHEN named IS NOT NULL THEN 'global-ambiguous' ELSE 'global-none' END WHEN known THEN 'method-absent' ELSE 'class-absent' END END AS miss FROM q7),
+staged AS (SELECT asked.*, stage, resolved, miss FROM asked JOIN answers USING (node_id, module, symbol))"""
+_RESOLVER = f"WITH RECURSIVE {_L}, {_NAMED}, {_members_sql('nn')}, {_GRAPH}, {_LINK_DEMANDS}, {_ASKED}"
+
+
+def _named_nodes(spark: SparkSession, d: str) -> DataFrame:
+    n = _nodes(spark, d).select("id", "label", "source_file")
+    function = n.where(F.col("label").rlike(r"^[a-z_]\w*\(\)$"))
+    again = lambda rest, mark, label: function.where(F.length("id") % 4 == rest).select(F.concat("id", F.lit(mark)).alias("id"), label.alias("label"), "source_file")
+    return n.unionByName(again(0, "_m", F.concat(F.lit("."), "label"))).unionByName(again(1, "_f", F.col("label")))
+
+
+def _link_demands(r: demands.Resolver, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    own = r.members.groupBy("container").agg(F.min("name").alias("name"))
+    up = r.closure.join(own.select(F.col("container").alias("ancestor"), F.col("name").alias("up_name")), "ancestor", "left").groupBy(F.col("node").alias("home")).agg(F.min(F.struct("depth", "ancestor")).alias("a"), F.min("up_name").alias("up_name"))
+    par = r.parents.join(own.withColumnRenamed("container", "target"), "target").groupBy(F.col("source").alias("home")).agg(F.min("name").alias("par_name"))
+    stem = F.regexp_extract(F.coalesce("source_file", F.lit("")), r"([^/]+?)(?:\.[^./]*)?/*$", 1)
+    shown = nodes.select("id", F.coalesce("label", F.lit("")).alias("label"), F.coalesce(text.member_name("label"), F.lit("")).alias("name"), stem.alias("stem"))
+    titled = lambda i, c: shown.select(F.col("id").alias(i), F.col("label").alias(c))
+    # half of them are asked by the node that is called, once in each way
+    called = links.where(F.floor(F.col("link_id") / 12) % 2 == 1).groupBy("target", F.col("link_id") % 12).agg(F.min("link_id").alias("link_id")).select("link_id", F.col("target").alias("node_id"), "target", F.lit("upstream").alias("direction"))
+    asked = links.where(F.floor(F.col("link_id") / 12) % 2 == 0).select("link_id", F.col("source").alias("node_id"), "target", F.lit("downstream").alias("direction"))
+    x = asked.unionByName(called).join(shown.withColumnRenamed("id", "target"), "target").join(nodes.select(F.col("id").alias("node_id")), "node_id")
+    x = x.join(r.homes, "node_id", "left").join(r.containers.select(F.col("container").alias("node_id"), F.col("container").alias("__c")), "node_id", "left").withColumn("home", F.coalesce("home", "__c")).drop("__c")
+    x = x.join(r.homes.withColumnsRenamed({"node_id": "target", "home": "tid"}), "target", "left").join(titled("tid", "class"), "tid", "left").join(titled("home", "own_class"), "home", "left")
+    x = x.join(own.withColumnsRenamed({"container": "home", "name": "own_name"}), "home", "left").join(up.select("home", "up_name", F.col("a.ancestor").alias("aid")), "home", "left").join(titled("aid", "up_class"), "aid", "left").join(par, "home", "left")
+    c, name = F.concat, F.col("name")
+    ways = {
+        1: c(F.coalesce("class", "label"), F.lit("::"), name, F.lit("(a, b)")), 2: c("stem", F.lit("."), name, F.lit("()")), 3: c("stem", F.lit("."), F.substring(name, F.lit(1), F.greatest(F.length(name) - 2, F.lit(1))), F.lit("(x)")),
+        4: c(F.lit("$this->"), F.coalesce("own_name", name), F.lit("()")), 5: c(F.lit("parent::"), F.coalesce("par_name", name), F.lit("()")), 6: c(F.lit("Nosuch::"), name, F.lit("(1)")),
+        7: c(F.coalesce("own_class", "label"), F.lit("::zz_"), name, F.lit("()")), 8: c(F.lit("zz_"), name, F.lit("()")), 9: c(F.coalesce("up_class", "label"), F.lit("::"), F.coalesce("own_name", name), F.lit("()")),
+        10: c(F.lit("self::"), F.coalesce("up_name", name), F.lit("()")), 11: c(F.lit("($"), name, F.lit(")")),
+    }
+    target = c(name, F.lit("(a, b)"))
+    for k, way in ways.items():
+        target = F.when(F.col("link_id") % 12 == k, way).otherwise(target)
+    module, symbol = text.call_target("target")
+    x = x.select((-F.col("link_id")).alias("note_id"), "node_id", "direction", F.lit(0).alias("pos"), target.alias("target"), F.concat(F.lit("link "), F.floor(F.col("link_id") / 5)).alias("description"))
+    return x.withColumns({"module": module, "symbol": symbol})
+
+
+def _asked(spark: SparkSession, d: str) -> tuple[demands.Resolver, DataFrame, DataFrame, DataFrame]:
+    """The resolver, its nodes, the links, and all demands, kept."""
+    scratch, links = Scratch(spark), _links(spark, d)
+    links, nodes = scratch.keep(links.select("link_id", "source", "target", "relation")), _named_nodes(spark, d)
+    r = demands.Resolver(nodes, links, scratch)
+    asked = demands.note_demands(table(spark, d, "notes")).unionByName(_link_demands(r, nodes, links))
+    return r, nodes, links, scratch.keep(asked)
 
 
 @query(f"""
-WITH {_L}, {_MEMBERS}, {_TARGETS}
-SELECT note_id, direction, CAST(pos AS INTEGER) AS pos, module, symbol, stage, CASE stage WHEN 'home' THEN in_home WHEN 'class' THEN in_class WHEN 'name' THEN single END AS resolved,
-  CASE WHEN stage IS NULL THEN CASE WHEN symbol = '' THEN 'no-symbol' WHEN coalesce(named > 1, false) OR coalesce(classes > 1, false) THEN 'ambiguous' WHEN named IS NULL THEN 'unknown' ELSE 'member-absent' END END AS miss FROM staged
+{_RESOLVER}, {_parsed('e1')}, {_RESOLVED}
+SELECT note_id, direction, CAST(pos AS INTEGER) AS pos, module, symbol, stage, resolved, miss FROM staged
 """)
 def note_targets(spark, d):
-    """What the targets of notes resolve to."""
-    nodes = _nodes(spark, d)
-    r = demands.resolve(demands.note_demands(table(spark, d, "notes")), nodes, graph.members(nodes, _links(spark, d)))
-    return r.select("note_id", "direction", "pos", "module", "symbol", "stage", "resolved", "miss")
+    """What the targets of notes, and those that links would ask for, resolve to."""
+    r, _, _, asked = _asked(spark, d)
+    return r.resolve(asked).select("note_id", "direction", "pos", "module", "symbol", "stage", "resolved", "miss")
+
+
+_DOWN = f"""
+down AS (SELECT resolved AS target_node, node_id AS source, description, {_ONE_SPACE("description")} AS norm FROM staged WHERE direction = 'downstream' AND resolved IS NOT NULL AND resolved <> node_id),
+merged AS (SELECT target_node, min((source, description)) AS f, count(*) AS merged FROM down GROUP BY target_node, norm),
+numbered AS (SELECT target_node, f[1] AS source, f[2] AS description, merged, row_number() OVER (PARTITION BY target_node ORDER BY f[1], f[2]) - 1 AS rn FROM merged)"""
+
+
+@query(f"""
+{_RESOLVER}, {_parsed('e1')}, {_RESOLVED}, {_DOWN}
+SELECT target_node, source, description, merged, 'D' || rn AS demand_id, rn // 15 AS slice FROM numbered
+""")
+def downstream_demands(spark, d):
+    """What is asked of the nodes that targets name, exact repeats merged and numbered per node, in slices of 15."""
+    r, _, _, asked = _asked(spark, d)
+    merged = demands.distinct_demands(demands.route_downstream(r.resolve(asked)), upstream=False)
+    n = ordering.with_row_numbers(merged, ["target_node"], ["source", "description"], Scratch(spark))
+    return n.select("target_node", "source", "description", "merged", F.concat(F.lit("D"), F.col("rn") - 1).alias("demand_id"), F.floor((F.col("rn") - 1) / 15).alias("slice"))
+
+
+_SHAPED = f"""
+s1 AS (SELECT *, trim(list_extract(string_split(trim(replace(target, '`', ''), {_WS}), '->'), -1), {_WS}) AS head FROM e1 WHERE direction = 'upstream'),
+s2 AS (SELECT *, trim(split_part(head, '(', 1), {_WS}) AS before FROM s1),
+s3 AS (SELECT *, contains(before, '::') AS scoped, contains(head, '(') AS called, contains(before, '.') AS dotted FROM s2),
+s4 AS (SELECT *, trim(split_part(trim(CASE WHEN scoped THEN substr(head, strpos(head, '::') + 2) WHEN called AND dotted THEN regexp_extract(before, '[^.]*$') WHEN called THEN before ELSE '' END, {_WS}), '(', 1), {_WS}) AS n1,
+  trim(CASE WHEN scoped THEN split_part(head, '::', 1) WHEN called AND dotted THEN regexp_replace(before, '(?s)\\.[^.]*$', '') ELSE '' END, {_WS}) AS module FROM s3),
+asked AS (SELECT note_id, node_id, direction, pos, target, description, module, CASE WHEN starts_with(n1, '$') THEN '' ELSE n1 END AS symbol FROM s4)"""
+_UP = f"""
+who AS (SELECT DISTINCT target AS via, source AS target_node FROM l WHERE relation = 'calls'),
+invoked AS (SELECT DISTINCT source AS node_id, substr({_NAME}, 1) AS called FROM l JOIN nn ON nn.id = l.target WHERE relation = 'calls' AND link_id % 2 = 0 AND regexp_matches({_NAME}, '^[a-z_]\\w*$')),
+params AS (SELECT o.member AS node_id, CASE WHEN length(x.v) % 3 = 0 THEN x.v END AS name FROM (SELECT container, min(member) AS member FROM own GROUP BY container) o JOIN (SELECT node_id, lower(substr(trim(target, {_WS}), 2)) AS v FROM e1 WHERE direction = 'upstream' AND regexp_matches(trim(target, {_WS}), '^\\$\\w+$')) x ON x.node_id = o.container
+  UNION SELECT member, NULL FROM own WHERE length(container) % 5 > 0),
+props AS (SELECT node_id, CASE WHEN length(v) % 3 = 1 THEN v END AS name FROM (SELECT node_id, lower(substr(trim(target, {_WS}), 2)) AS v FROM e1 WHERE direction = 'upstream' AND regexp_matches(trim(target, {_WS}), '^\\$\\w+$')) WHERE length(node_id) % 2 = 0),
+b1 AS (SELECT s.*, lower(symbol) AS name, lower(rtrim(coalesce(n.label, ''), '()')) AS label, n.source_file AS file, t.source_file AS to_file, om.member AS own_member FROM staged s LEFT JOIN nn n ON n.id = s.node_id LEFT JOIN nn t ON t.id = s.resolved LEFT JOIN own om ON om.container = s.node_id AND om.name = lower(s.symbol)),
+b2 AS (SELECT *, CASE WHEN symbol = '' THEN 'bare' WHEN label = name OR ends_with(label, '::' || name) THEN 'self' WHEN module = '' AND own_member IS NOT NULL THEN 'member'
+  WHEN resolved <> node_id AND file IS NOT DISTINCT FROM to_file AND resolved IN (SELECT via FROM who) THEN 'resolved' ELSE 'invokes' END AS branch, lower(ltrim(list_extract(regexp_split_to_array(trim(target, {_WS}), '[:.]|->'), -1), '$')) AS variable FROM b1),
+b3 AS (SELECT *, EXISTS (SELECT 1 FROM own JOIN params p ON p.node_id = own.member WHERE own.container = b2.node_id AND p.name = b2.variable) AS hit,
+  EXISTS (SELECT 1 FROM own JOIN params p ON p.node_id = own.member JOIN who ON who.via = own.member WHERE own.container = b2.node_id AND p.name = b2.variable) AS hit_called,
+  EXISTS (SELECT 1 FROM own WHERE own.container = b2.node_id) AS container, EXISTS (SELECT 1 FROM own WHERE own.container = b2.node_id AND own.member NOT IN (SELECT node_id FROM params)) AS unread,
+  node_id NOT IN (SELECT node_id FROM props) AS unlisted, EXISTS (SELECT 1 FROM props p WHERE p.node_id = b2.node_id AND p.name = b2.variable) AS property,
+  (SELECT min(own.member) FROM own WHERE own.container = b2.node_id AND own.name = nullif(regexp_extract(b2.variable, '^([a-z_][a-z0-9_]*)\\s*\\(', 1), '')) AS call_member FROM b2),
+b4 AS (SELECT *, CASE WHEN branch <> 'bare' THEN branch WHEN NOT container OR variable = '' THEN 'all' WHEN hit_called THEN 'hits' WHEN hit THEN 'nobody' WHEN unread OR unlisted OR property THEN 'all' WHEN call_member IS NOT NULL THEN 'call' ELSE 'nobody' END AS way FROM b3),
+vias AS (SELECT b4.*, CASE way WHEN 'member' THEN own_member WHEN 'resolved' THEN resolved WHEN 'call' THEN call_member ELSE node_id END AS via FROM b4 WHERE way NOT IN ('hits', 'nobody')
+  UNION ALL SELECT b4.*, own.member FROM b4 JOIN own ON own.container = b4.node_id JOIN params p ON p.node_id = own.member AND p.name = b4.variable WHERE way = 'hits'),
+routed AS (SELECT DISTINCT note_id, pos, target_node, node_id AS source, target AS parameter_name, description, CASE way WHEN 'all' THEN 'bare' WHEN 'hits' THEN 'member' WHEN 'call' THEN 'member' ELSE way END AS branch
+  FROM vias JOIN who USING (via) WHERE way <> 'invokes' OR (target_node, symbol) IN (SELECT node_id, called FROM invoked))"""
+
+
+def _code_of(spark: SparkSession, d: str, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Code of callers that calls the names of what every other of their calls leads to."""
+    to = nodes.select(F.col("id").alias("target"), text.member_name("label").alias("name")).where(F.col("name").rlike(r"^[a-z_]\w*$"))
+    calls = links.where("relation = 'calls' AND link_id % 2 = 0").join(to, "target")
+    return calls.select(F.col("source").alias("node_id"), F.concat(F.lit("x = "), "name", F.lit(" (1); $no(2); a.\\\\no(3)")).alias("text"))
+
+
+def _routed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    r, nodes, links, asked = _asked(spark, d)
+    bare = asked.where("direction = 'upstream'").select("node_id", F.regexp_extract(trimmed("target"), r"^\$(\w+)$", 1).alias("v")).where("v <> ''").withColumn("v", F.lower("v"))
+    one = r.members.groupBy("container").agg(F.min("member").alias("member"))
+    params = one.join(bare, F.col("container") == F.col("node_id")).select(F.col("member").alias("node_id"), F.when(F.length("v") % 3 == 0, F.col("v")).alias("name"))
+    params = params.unionByName(r.members.where(F.length("container") % 5 > 0).select(F.col("member").alias("node_id"), F.lit(None).cast("string").alias("name")))
+    props = bare.where(F.length("node_id") % 2 == 0).select("node_id", F.when(F.length("v") % 3 == 1, F.col("v")).alias("name"))
+    return demands.route_upstream(asked, nodes, r, graph.callers(links), demands.invoked_names(_code_of(spark, d, nodes, links)), params, props)
 
 
 @query(f"""
-WITH {_L}, n AS (SELECT DISTINCT ON (note_id) note_id, node_id, upstream FROM notes WHERE node_id IS NOT NULL),
-u AS (SELECT node_id, e.target AS target, e.description AS description FROM (SELECT node_id, unnest(upstream) AS e FROM n) WHERE e.target LIKE '$%' AND NOT contains(e.target, '->') AND NOT contains(e.target, '::') AND NOT contains(e.target, '.')),
-c AS (SELECT DISTINCT target AS node_id, source AS target_node FROM l WHERE relation = 'calls'),
-x AS (SELECT target_node, node_id AS source, target AS parameter_name, description, lower(regexp_replace(trim(coalesce(description, ''), {_WS}), '\\s+', ' ', 'g')) AS norm FROM u JOIN c USING (node_id))
-SELECT target_node, source, parameter_name, min(description) AS description, count(*) AS merged FROM x GROUP BY target_node, source, parameter_name, norm
+{_RESOLVER}, {_SHAPED}, {_RESOLVED}, {_UP}
+SELECT target_node, source, parameter_name, min(description) AS description, count(*) AS merged FROM (SELECT *, {_ONE_SPACE("description")} AS norm FROM routed) GROUP BY target_node, source, parameter_name, norm
 """)
 def upstream_demands(spark, d):
-    """What notes ask of the callers of their node by bare targets, exact repeats merged; the rest is in `upstream_misses`."""
-    up = demands.route_upstream(demands.note_demands(table(spark, d, "notes")), graph.callers(_links(spark, d)))
-    return demands.distinct_demands(up, upstream=True)
+    """What is asked of the callers of each node, exact repeats merged. Parameters, properties and code are made up of the
+    tables' own names."""
+    return demands.distinct_demands(_routed(spark, d)[0], upstream=True)
 
 
-@query()
-def upstream_misses(spark, d):
-    """Upstream entries of notes that reach no caller in `upstream_demands`, and why."""
-    m = demands.unrouted_upstream(demands.note_demands(table(spark, d, "notes")), graph.callers(_links(spark, d)))
-    return m.select("note_id", "node_id", "pos", "target", "module", "symbol", "miss")
+@query(f"""
+{_RESOLVER}, {_SHAPED}, {_RESOLVED}, {_UP}
+SELECT branch, count(*) AS demands, count(DISTINCT target_node) AS nodes FROM routed GROUP BY branch
+""")
+def upstream_branches(spark, d):
+    """How many of them went which way, and to how many nodes."""
+    r = _routed(spark, d)[0]
+    nodes = r.select("branch", "target_node").distinct().groupBy("branch").agg(F.count(F.lit(1)).alias("nodes"))
+    return r.groupBy("branch").agg(F.count(F.lit(1)).alias("demands")).join(nodes, "branch")
 
 
-@query()
-def downstream_demands(spark, d):
-    """What notes ask of the nodes they call, exact repeats merged and numbered per node, in slices of 15."""
-    nodes = _nodes(spark, d)
-    r = demands.resolve(demands.note_demands(table(spark, d, "notes")), nodes, graph.members(nodes, _links(spark, d)))
-    merged = demands.distinct_demands(demands.route_downstream(r), upstream=False)
-    n = ordering.with_row_numbers(merged, ["target_node"], ["source", "description"], Scratch(spark))
-    return n.select("target_node", "source", "description", "merged", F.concat(F.lit("D"), F.col("rn") - 1).alias("demand_id"), F.floor((F.col("rn") - 1) / 15).alias("slice"))
+@query(f"""
+{_RESOLVER}, {_SHAPED}, {_RESOLVED}, {_UP}
+SELECT note_id, node_id, CAST(pos AS INTEGER) AS pos, target, branch, CASE WHEN node_id NOT IN (SELECT via FROM who) THEN 'no-caller' WHEN branch = 'bare' THEN 'no-parameter' ELSE 'not-invoked' END AS miss
+FROM b4 WHERE (note_id, pos) NOT IN (SELECT note_id, pos FROM routed)
+""")
+def upstream_misses(spark, d):
+    """Upstream entries that reach no caller, and why."""
+    return _routed(spark, d)[1]
 
 
 @query(f"""

@@ -1,5 +1,5 @@
 
-from auditlake.operators import demands, graph
+from auditlake.operators import graph
 from auditlake.session import Scratch
 
 LINK = "link_id bigint, source string, target string, relation string, observed_at int, node string"
@@ -32,13 +32,31 @@ def test_paths(spark, rows):
     assert graph.simple_paths(df, "a", "none").collect() == [] and graph.simple_paths(df, "a", "d", max_hops=1).collect() == []
 
 
-def test_members_and_inheritance(spark, rows):
-    n = nodes(rows, ("A", "A", "f", "code", 1), ("B", "B", "f", "code", 1), ("A.run", ".run()", "f", "code", 1), ("A.run2", "run()", "f", "code", 1), ("B.go", "go()", "f", "code", 1), ("E", "", "f", "code", 1))
-    df = links(rows, ("A", "A.run2", "contains"), ("A", "A.run", "method"), ("B", "B.go", "contains"), ("B", "A", "inherits"), ("A", "E", "method"))
-    own = graph.members(n, df)
-    assert {(r.container, r.name, r.member) for r in own.collect()} == {("A", "run", "A.run"), ("B", "go", "B.go")}
-    got = graph.inherited_members(own, graph.ancestors(df, "inherits", Scratch(spark)))
-    assert {(r.node, r.name, r.member, r.owner, r.depth) for r in got.collect()} == {("A", "run", "A.run", "A", 0), ("B", "go", "B.go", "B", 0), ("B", "run", "A.run", "A", 1)}
+def test_members(rows):
+    n = nodes(rows, ("A", "A", "f", "code", 1), ("B", "B", "f", "code", 1), ("A.run", ".Run()", "f", "code", 1), ("A.run2", ".run()", "f", "code", 1), ("A.f", "fun()", "f", "code", 1), ("B_go", ".go()", "f", "code", 1), ("A_run", ".run()", "f", "code", 1), ("C_go", ".go()", "g", "code", 1), ("C", "C", "f", "code", 1), ("D", None, None, "code", 1), ("D_x", ".x()", None, "code", 1), ("_go", ".go()", "f", "code", 1))
+    df = links(rows, ("A", "A.run2", "method"), ("A", "A.run", "method"), ("A", "A.f", "method"), ("A", "B_go", "contains"), ("gone", "A.run", "method"), ("A", "gone", "method"))
+    assert {(r.container, r.name, r.member) for r in graph.members(n, df).collect()} == {("A", "run", "A.run"), ("B", "go", "B_go"), ("D", "x", "D_x")}
+
+
+def test_inheritance(spark, rows):
+    own = rows("container string, name string, member string", ("A", "x", "A.x"), ("B", "x", "B.x"), ("B", "y", "B.y"), ("C", "y", "C.y"), ("D", "z", "D.z"))
+    up = rows("source string, target string, name string", ("A", "B", ""), ("A", "B", ""), ("A", "C", ""), ("B", "D", ""), ("D", "A", ""), ("D", "D", ""), ("E", "E", ""), ("F", "A", ""))
+    got = {(r.node, r.name): (r.member, r.owner, r.depth) for r in graph.inherited_members(own, up, Scratch(spark)).collect()}
+    assert got == {
+        ("A", "x"): ("A.x", "A", 0), ("A", "y"): ("B.y", "B", 1), ("A", "z"): ("D.z", "D", 2), ("B", "x"): ("B.x", "B", 0), ("B", "y"): ("B.y", "B", 0), ("B", "z"): ("D.z", "D", 1), ("C", "y"): ("C.y", "C", 0),
+        ("D", "z"): ("D.z", "D", 0), ("D", "x"): ("A.x", "A", 1), ("D", "y"): ("B.y", "B", 2), ("F", "x"): ("A.x", "A", 1), ("F", "y"): ("B.y", "B", 2), ("F", "z"): ("D.z", "D", 3),
+    }
+    assert len(graph.inherited_members(own, up, Scratch(spark), depth=1).collect()) == 9
+    assert graph.inherited_members(own.limit(0), up, Scratch(spark)).collect() == []
+
+
+def test_definitions(spark, rows):
+    schema = "name string, class string, parent string, file string, start_line int, end_line int, trail string"
+    s = rows(schema, *[(*x, "clash") for x in [("Top::go", "Top", None, "t", 1, 2), ("Mid::at", "Mid", "Top", "m", 5, 6), ("Mid::at", "Mid", "No", "m", 3, 4), ("Low::x", "Low", "Mid", "l", 1, 1), ("P::a", "P", "Q", "p", 1, 1), ("Q::b", "Q", "P", "q", 1, 1), ("fun", None, None, "f", 9, 9), (None, "N", "Top", "n", 1, 1)]])
+    s = s.where("parent IS NULL OR parent <> 'No'").unionByName(rows(schema, ("Mid::b", "Mid", "No", "m", 9, 9, "")))
+    asked = rows("symbol string, name string", *[(x, "") for x in ("Low::go", "Low::at", "Mid::at", "P::none", "fun", "none", "N::go", "Nil::go", None, "fun")])
+    got = {r.symbol: (r.name, r.file, r.start_line, r.trail) for r in graph.definitions(s, asked, Scratch(spark)).collect()}
+    assert got == {"Low::go": ("Top::go", "t", 1, ["Mid", "Top"]), "Low::at": ("Mid::at", "m", 5, ["Mid"]), "Mid::at": ("Mid::at", "m", 5, []), "fun": ("fun", "f", 9, []), "N::go": ("Top::go", "t", 1, ["Top"])}
 
 
 def test_incident_and_degrees(rows):
@@ -65,23 +83,6 @@ def test_edges_and_batches(rows):
     assert sorted((r.relation, r.batch) for r in b.collect()) == [("x", 1)] * 4 + [("x", 2)] * 4 + [("x", 3)] * 2
 
 
-def test_routing(rows):
-    n = nodes(rows, ("A", "Alpha", "f", "code", 1), ("A.run", ".run()", "f", "code", 1), ("A.go", ".go()", "f", "code", 1), ("z", "lone()", "f", "code", 1), ("d1", "dup()", "f", "code", 1), ("d2", "dup()", "g", "code", 1))
-    df = links(rows, ("A", "A.run", "method"), ("A", "A.go", "method"), ("z", "A.run", "calls"), ("d1", "A.run", "calls"))
-    entry = "array<struct<target:string,description:string>>"
-    notes = rows(f"note_id bigint, node_id string, upstream {entry}, downstream {entry}", (1, "A.run", [("$id", "must  be set"), (None, "x")], [("Alpha::go(1)", "D"), ("$this->go", "D"), ("lone", "e"), ("dup", "f"), ("Alpha::no", "g"), ("$this->run", "self")]), (1, "A.run", [("$id", "must  be set"), (None, "x")], [("Alpha::go(1)", "D")]), (2, "z", None, [("Alpha::go", " d ")]))
-    asked = demands.note_demands(notes)
-    r = demands.resolve(asked, n, graph.members(n, df))
-    assert {(x.note_id, x.direction, x.pos, x.stage, x.resolved, x.miss) for x in r.collect()} == {
-        (1, "upstream", 0, None, None, "unknown"), (1, "downstream", 0, "class", "A.go", None), (1, "downstream", 1, "home", "A.go", None), (1, "downstream", 2, "name", "z", None),
-        (1, "downstream", 3, None, None, "ambiguous"), (1, "downstream", 4, None, None, "unknown"), (1, "downstream", 5, "home", "A.run", None), (2, "downstream", 0, "class", "A.go", None),
-    }
-    down = demands.distinct_demands(demands.route_downstream(r), upstream=False)
-    assert {(x.target_node, x.source, x.description, x.merged) for x in down.collect()} == {("A.go", "A.run", "D", 3), ("z", "A.run", "e", 1)}
-    up = demands.distinct_demands(demands.route_upstream(asked, graph.callers(df)), upstream=True)
-    assert {(x.target_node, x.source, x.parameter_name) for x in up.collect()} == {("z", "A.run", "$id"), ("d1", "A.run", "$id")}
-
-
 def test_hops(spark, rows):
     df = links(rows, ("a", "b", "x"), ("b", "c", "x"), ("c", "a", "x"))
     got = graph.shortest_hops(df, rows("id string", ("a",), ("q",)), Scratch(spark)).collect()
