@@ -146,8 +146,9 @@ def ladder_updates(spark, d):
 
 
 def merge_input(u: DataFrame) -> DataFrame:
-    none = F.lit(None).cast("string")
-    return u.select("key", F.col("updated_at").alias("seq"), F.col("update_id").alias("id"), "status", "description", "affected_nodes", none.alias("source_cve"), none.alias("patch_state"), F.lit(False).alias("force_reset"))
+    """Updates as the reducer takes them; CVE, patch state and reset are null where the table lacks them."""
+    given = lambda c, kind: F.col(c) if c in u.columns else F.lit(None).cast(kind)
+    return u.select("key", F.col("updated_at").alias("seq"), F.col("update_id").alias("id"), "status", "description", "affected_nodes", given("cve", "string").alias("source_cve"), given("patch", "string").alias("patch_state"), F.coalesce(given("reset", "boolean"), F.lit(False)).alias("force_reset"))
 
 
 _BOTH = "list_filter(list_concat(coalesce({0}, []), coalesce({1}, [])), lambda x: x IS NOT NULL AND x <> '')"
@@ -361,7 +362,10 @@ def origins(spark, d):
 ROUTES = ["/", "/{area}/{item}", "/zexigi", "/novapun/:id", "/rivipo/*", "/<section>/lekafor"]
 
 
-@query()
+@query(r"""
+WITH p AS (SELECT DISTINCT unnest(regexp_extract_all(description, '(/[a-z]+/[a-z]+)[ .,]', 1)) AS path FROM findings), r AS (SELECT *, string_split(path, '/') AS s FROM p)
+SELECT '/{area}/{item}' AS route, path FROM r UNION ALL SELECT '/zexigi', path FROM r WHERE s[2] = 'zexigi' UNION ALL SELECT '/novapun/:id', path FROM r WHERE s[2] = 'novapun' UNION ALL SELECT '/rivipo/*', path FROM r WHERE s[2] = 'rivipo' UNION ALL SELECT '/<section>/lekafor', path FROM r WHERE s[3] = 'lekafor'
+""")
 def served_requests(spark, d):
     """Which of a system's routes serve the paths that findings name."""
     p = _findings(spark, d).select(F.explode(F.regexp_extract_all("description", F.lit(r"(/[a-z]+/[a-z]+)(?=[ .,])"), 1)).alias("path")).distinct()
@@ -583,3 +587,97 @@ def recent_events(spark, d):
     """The last 60 events of each user."""
     w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
     return table(spark, d, "events").withColumn("place", F.row_number().over(w)).where("place <= 60").select("user_id", "event_id", "place")
+
+# The reducer in full, and what stands beside it ---------------------------------------------------------------------
+
+
+_LIVES = f"""
+WITH RECURSIVE {_U}, n AS (SELECT key, update_id, coalesce(nullif(lower(trim(status, {_WS})), ''), 'hypothesis') AS s, {_RANK} AS rank, description, affected_nodes, row_number() OVER (PARTITION BY key ORDER BY updated_at NULLS FIRST, update_id) AS rn,
+  CASE update_id % 7 WHEN 0 THEN 'CVE-1' WHEN 1 THEN 'CVE-2' END AS cve, CASE update_id % 11 WHEN 0 THEN 'applied' WHEN 1 THEN 'reviewed' WHEN 2 THEN 'verified' WHEN 3 THEN 'failed' WHEN 4 THEN 'rejected' END AS patch, update_id % 13 = 0 AS reset FROM u),
+r AS (SELECT key, rn, s, rank, description, affected_nodes AS nodes, update_id AS seed, cve, patch FROM n WHERE rn = 1
+  UNION ALL SELECT key, rn, CASE WHEN take OR reset THEN new_s ELSE s END, CASE WHEN take OR reset THEN new_rank ELSE rank END,
+    CASE WHEN take OR reset THEN new_text WHEN same AND NOT coalesce(cve <> new_cve, false) AND coalesce(new_text, '') <> '' AND NOT contains(coalesce(description, ''), new_text) THEN coalesce(description, '') || chr(10) || chr(10) || 'Additional context: ' || new_text ELSE description END,
+    CASE WHEN reset THEN new_nodes WHEN take THEN {_UNION("new_nodes", "nodes")} WHEN same THEN {_UNION("nodes", "new_nodes")} ELSE nodes END, CASE WHEN take OR reset THEN new_id ELSE seed END, CASE WHEN take OR reset THEN new_cve ELSE cve END, CASE WHEN take OR reset THEN new_patch ELSE patch END
+  FROM (SELECT n.key, n.rn, r.s, r.rank, r.description, r.nodes, r.seed, r.cve, r.patch, n.s AS new_s, n.rank AS new_rank, n.description AS new_text, n.affected_nodes AS new_nodes, n.update_id AS new_id, n.cve AS new_cve, n.patch AS new_patch, n.reset,
+      (r.s = 'insufficient_context' AND n.s IN ({_ANSWERS})) OR coalesce(n.patch IN ('applied', 'failed', 'verified', 'rejected'), false) OR coalesce(r.patch = 'applied' AND n.patch = 'reviewed', false) OR n.rank > r.rank AS take, n.rank = r.rank AS same FROM r JOIN n ON n.key = r.key AND n.rn = r.rn + 1))
+SELECT key, s AS status, description, nodes AS affected_nodes, seed AS seed_id, cve AS source_cve, patch AS patch_state, rn AS records FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY rn DESC) = 1
+"""
+
+
+@query(_LIVES)
+def merged_lives(spark, d):
+    """The same with CVEs, patch states and resets, which are made up of the updates' ids."""
+    m = F.col("update_id")
+    pick = lambda k, *names: F.get(F.array(*[F.lit(n) for n in names]), (m % k).cast("int"))
+    u = merge_input(_updates(spark, d).withColumns({"cve": pick(7, "CVE-1", "CVE-2"), "patch": pick(11, "applied", "reviewed", "verified", "failed", "rejected"), "reset": m % 13 == 0}))
+    return merge.merge_records(u)
+
+
+@query(f"""
+WITH {_F}, {_U}, m AS (SELECT DISTINCT proposal_id, lower(trim(m, {_WS})) AS v FROM (SELECT proposal_id, unnest(member_vuln_ids) AS m FROM clusters) WHERE length(trim(coalesce(m, ''), {_WS})) > 0),
+o AS (SELECT key, bool_and(lower(trim(status, {_WS})) = 'exploitable') AS confirmed, count(*) AS n FROM u GROUP BY key)
+SELECT proposal_id, v AS member, n IS NOT DISTINCT FROM 1 AS answered, CASE WHEN n = 1 THEN confirmed END AS confirmed FROM m LEFT JOIN o ON o.key = v
+""")
+def own_verdicts(spark, d):
+    """Members of proposals with the one update that speaks of them; those of none or several stay open."""
+    m = _proposed(spark, d).select(F.col("proposal_id").alias("grp"), F.col("member").alias("row_id"))
+    results = _updates(spark, d).select(F.col("key").alias("row_id"), (F.lower(trimmed("status")) == "exploitable").alias("confirmed"))
+    answered, left = groups.own_verdicts(results, m)
+    out = answered.select("grp", "row_id", F.lit(True).alias("answered"), "confirmed").unionByName(left.select("grp", "row_id", F.lit(False).alias("answered"), F.lit(None).cast("boolean").alias("confirmed")))
+    return out.withColumnsRenamed({"grp": "proposal_id", "row_id": "member"})
+
+
+_ADVISORIES = f"""a AS (SELECT finding_id AS seq, CASE finding_id % 3 WHEN 0 THEN source_cve WHEN 1 THEN source_cve ELSE 'X-' || source_cve END AS id, coalesce(vulnerable_component, 'unknown') AS package, CASE WHEN finding_id % 3 = 0 THEN finding_id || '.0' END AS fixed_version,
+  CASE finding_id % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'LOW' END AS severity_label, CASE finding_id % 5 WHEN 0 THEN 'CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H' WHEN 1 THEN 'CVSS:3.1/AV:P/AC:H/PR:H/UI:R/S:U/C:L/I:N/A:N' END AS cvss_vector, CASE WHEN finding_id % 2 = 0 THEN [cwe_id] END AS cwe_ids
+  FROM f WHERE source_cve LIKE 'CVE-20%' AND coalesce(description, '') <> '')"""
+
+
+@query(f"""
+WITH {_F}, {_ADVISORIES}, k AS (SELECT *, CASE WHEN seq % 3 = 2 THEN coalesce(nullif(regexp_extract(id, 'CVE-20[0-9][0-9]-[0-9]+'), ''), id) ELSE id END AS cid FROM a),
+g AS (SELECT cid AS id, arg_min(package, seq) AS package, arg_min(fixed_version, seq) FILTER (fixed_version IS NOT NULL) AS fixed_version, arg_min(severity_label, seq) FILTER (severity_label IS NOT NULL) AS severity_label,
+  arg_min(cvss_vector, seq) FILTER (cvss_vector IS NOT NULL) AS cvss_vector, arg_min(cwe_ids, seq) FILTER (cwe_ids IS NOT NULL) AS cwe_ids, count(*) AS advisories FROM k GROUP BY cid)
+SELECT *, CASE WHEN severity_label IS NOT NULL THEN severity_label = 'HIGH' ELSE coalesce(contains(cvss_vector, 'AV:N'), false) END AS high FROM g
+""")
+def advisories(spark, d):
+    """One record per CVE of advisories made up of the findings that name one, and whether it is a severe one."""
+    from auditlake.sources.graphs import advisory_records
+
+    i = F.col("finding_id")
+    f = _findings(spark, d).where("source_cve LIKE 'CVE-20%'")
+    fixed = F.struct(F.array(F.struct(F.array(F.struct(F.lit(None).cast("string").alias("fixed")), F.struct(F.when(i % 3 == 0, F.concat(i.cast("string"), F.lit(".0"))).alias("fixed"))).alias("events"))).alias("ranges"), F.struct(F.col("vulnerable_component").alias("name")).alias("package"))
+    vector = F.when(i % 5 == 0, "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H").when(i % 5 == 1, "CVSS:3.1/AV:P/AC:H/PR:H/UI:R/S:U/C:L/I:N/A:N")
+    none = F.lit(None).cast("array<string>")
+    a = F.struct(
+        F.when(i % 3 == 2, F.concat(F.lit("X-"), "source_cve")).otherwise(F.concat(F.lit("GHSA-"), i.cast("string"))).alias("id"), F.when(i % 3 == 0, F.array(F.lit("PYSEC-1"), "source_cve")).otherwise(none).alias("aliases"), F.when(i % 3 == 1, F.array("source_cve")).otherwise(none).alias("upstream"),
+        F.col("description").alias("details"), F.array(fixed).alias("affected"), F.array(F.struct(F.lit("CVSS_V2").alias("type"), F.lit("v2").alias("score")), F.struct(F.lit("cvss_v3").alias("type"), vector.alias("score"))).alias("severity"),
+        F.struct(F.when(i % 2 == 0, F.array("cwe_id")).otherwise(F.array().cast("array<string>")).alias("cwe_ids"), F.when(i % 4 == 0, " high ").when(i % 4 == 1, "low").alias("severity")).alias("database_specific"),
+    )
+    r = advisory_records(f.select(i.alias("seq"), a.alias("advisory")), ["seq"])
+    return r.withColumn("high", cvss.high_severity(F.col("severity_label"), F.col("cvss_vector")))
+
+
+@query(f"""
+WITH {_F}, x AS (SELECT finding_id, vuln_id, coalesce(description, '') AS t, coalesce(affected_nodes, []) AS n, created_at FROM f),
+y AS (SELECT *, trim(regexp_replace(lower(coalesce(vuln_id, '')), '[^a-z0-9]+', '-', 'g'), '-') AS s, list_filter(list_transform(string_split('1. ' || replace(t, '. ', chr(10) || '2)  '), chr(10)), lambda v: trim(v, {_WS})), lambda v: v <> '') AS ls FROM x)
+SELECT finding_id, rtrim(left(s, 60), '-') AS slug, list_transform(ls, lambda v: regexp_replace(v, '^\\s*\\d+[.)]\\s+', '')) AS steps, list_filter(n, lambda v, i: v IS NOT NULL AND trim(v, {_WS}) <> '' AND list_position(list_transform(n, lambda w: trim(w, {_WS})), trim(v, {_WS})) = i) AS nodes,
+  epoch_us(created_at) AS micros FROM y
+""")
+def text_forms(spark, d):
+    """Names as slugs, texts as steps, lists of different entries, and times with nanoseconds as microseconds."""
+    f = _findings(spark, d)
+    steps = text.step_lines(F.concat(F.lit("1. "), F.replace(F.coalesce("description", F.lit("")), F.lit(". "), F.lit("\n2)  "))))
+    at = F.concat(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("789Z"))
+    return f.select("finding_id", text.slug("vuln_id").alias("slug"), steps.alias("steps"), text.cwe_list("affected_nodes").alias("nodes"), text.epoch_micros(at).alias("micros"))
+
+
+@query("""
+WITH p AS (SELECT id, source_file, list_filter(string_split(coalesce(source_file, ''), '/'), lambda x: x <> '') AS c FROM nodes)
+SELECT id, CASE WHEN len(c) > 1 THEN array_to_string(c[:-2], '/') ELSE '_root' END AS folder, coalesce(source_file <> '' AND (list_contains(string_split(source_file, '/'), 'core') OR source_file LIKE 'web/views/%' OR source_file LIKE '%.php' OR source_file LIKE 'app/%/r%.rb'), false) AS excluded,
+  CASE WHEN source_file <> '' THEN CASE WHEN length(id) % 3 = 0 THEN NULL ELSE '/' || source_file END END AS path FROM p
+""")
+def path_forms(spark, d):
+    """Folders, paths of requests, and what a scan's own patterns leave out."""
+    f = F.col("source_file")
+    address = F.when(F.length("id") % 3 == 0, F.concat(F.lit("no address "), f)).when(F.length("id") % 3 == 1, F.concat(F.lit("HTTPS://h.example:8/"), f, F.lit("/?q=/x"))).otherwise(F.concat(F.lit("/"), f, F.lit("//")))
+    patterns = ["core", " web/views/", "*.php", "app/*/r*.rb", ""]
+    return table(spark, d, "nodes").select("id", paths.directory("source_file").alias("folder"), paths.is_excluded("source_file", patterns, defaults=False).alias("excluded"), F.when(f != "", paths.request_path(address)).alias("path"))
