@@ -36,12 +36,16 @@ _L = f"""l AS (SELECT DISTINCT ON (link_id) link_id, trim(source, {_WS}) AS sour
   source_file, source_location, observed_at FROM links
   WHERE length(trim(coalesce(source, ''), {_WS})) > 0 AND length(trim(coalesce(target, ''), {_WS})) > 0 AND length(trim(coalesce(relation, ''), {_WS})) > 0)"""
 _LIST = ", ".join(f"'{n}'" for n in paths.MANIFEST_NAMES)
-_EXCLUDED = paths.exclusion_regex().replace("'", "''")
+_DIRS = ", ".join(f"'{x}'" for x in paths.EXCLUDED_DIRS)
+_BASE = "regexp_extract(source_file, '[^/]*$')"
+_GLOBS = " OR ".join([*(f"{_BASE} GLOB '{x}'" for x in paths.EXCLUDED_NAME_GLOBS), *(f"len(list_filter(string_split(source_file, '/'), lambda x: x GLOB '{x}')) > 0" for x in paths.EXCLUDED_DIR_GLOBS)])
+#: What the expression of `paths.is_excluded` says, by lists and globs.
+_EXCLUDED = f"coalesce(source_file <> '' AND (list_has_any(string_split(source_file, '/'), [{_DIRS}]) OR {_GLOBS}), false)"
 _ONE_SPACE = lambda c: f"lower(regexp_replace(trim(coalesce({c}, ''), {_WS}), '\\s+', ' ', 'g'))"
 _NAME = f"regexp_replace(lower(trim(label, {_WS})), '^\\.|\\(\\)$', '', 'g')"
 
 
-@query(f"SELECT id, source_file, coalesce(regexp_matches(source_file, '{_EXCLUDED}') AND source_file <> '', false) AS excluded, coalesce(regexp_extract(rtrim(source_file, '/'), '[^/]*$') IN ({_LIST}), false) AS manifest FROM nodes")
+@query(f"SELECT id, source_file, {_EXCLUDED} AS excluded, coalesce(regexp_extract(rtrim(source_file, '/'), '[^/]*$') IN ({_LIST}), false) AS manifest FROM nodes")
 def excluded_paths(spark, d):
     """Which nodes' files a scan leaves out, and which are dependency manifests."""
     return _nodes(spark, d).select("id", "source_file", paths.is_excluded("source_file").alias("excluded"), paths.is_manifest("source_file").alias("manifest"))
@@ -196,13 +200,13 @@ def inheritance_hops(spark, d):
     return graph.shortest_hops(links, links.where("source <> target").select(F.col("source").alias("id")), Scratch(spark))
 
 
-_LOW = "|".join(graph.LOW_SIGNAL)
-_EDGES = f"""n AS (SELECT id, community, label, source_file FROM nodes WHERE file_type = 'code' AND community IS NOT NULL AND NOT coalesce(regexp_matches(source_file, '{_EXCLUDED}') AND source_file <> '', false)),
+_LOW = ", ".join(f"'{x}'" for x in graph.LOW_SIGNAL)
+_EDGES = f"""n AS (SELECT id, community, label, source_file FROM nodes WHERE file_type = 'code' AND community IS NOT NULL AND NOT {_EXCLUDED}),
 noted AS (SELECT DISTINCT node_id FROM notes WHERE node_id IS NOT NULL),
 e AS (SELECT source, target, 'community ' || a.community || '->' || b.community || ' via ' || relation AS match_key, link_id, relation, a.label AS source_label, b.label AS target_label,
     a.source_file AS source_file, b.source_file AS target_file, source IN (SELECT node_id FROM noted) AS source_noted, target IN (SELECT node_id FROM noted) AS target_noted
   FROM (SELECT link_id, source, target, relation FROM l) l JOIN n a ON a.id = source JOIN n b ON b.id = target
-  WHERE relation IN ('calls', 'references', 'imports') AND a.community <> b.community AND NOT (relation IN ('references', 'imports') AND regexp_matches(lower(coalesce(b.label, '')), '{_LOW}'))),
+  WHERE relation IN ('calls', 'references', 'imports') AND a.community <> b.community AND NOT (relation IN ('references', 'imports') AND len(list_filter([{_LOW}], lambda x: contains(lower(coalesce(b.label, '')), x))) > 0)),
 edges AS (SELECT * FROM e WHERE source_noted OR target_noted QUALIFY row_number() OVER (PARTITION BY source, target, match_key ORDER BY link_id) = 1),
 top AS (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY (source_noted AND target_noted) DESC, source_noted DESC, source, target, match_key) AS place FROM edges)"""
 
@@ -550,10 +554,13 @@ def file_imports(spark, d):
     return e.where("file <> imported").groupBy("file", "imported").agg(F.count(F.lit(1)).alias("links"))
 
 
-_SECURITY = text.security_regex()
+_WORDS, _PARTS = (", ".join(f"'{x}'" for x in xs) for xs in (text.SECURITY_WORDS, text.SECURITY_PARTS))
 
 
-@query(f"SELECT id, coalesce(regexp_matches(trim(lower(trim(label, {_WS})), '()'), '{_SECURITY}'), false) AS security FROM nodes")
+@query(f"""
+WITH n AS (SELECT id, trim(lower(trim(label, {_WS})), '()') AS t FROM nodes)
+SELECT id, coalesce(len(list_filter([{_WORDS}], lambda w: starts_with(t, w) OR contains('_' || translate(t, '-./', '___') || '_', '_' || w || '_'))) > 0 OR len(list_filter([{_PARTS}], lambda w: contains(t, w))) > 0, false) AS security FROM n
+""")
 def security_names(spark, d):
     """Nodes whose name has to do with security."""
     return _nodes(spark, d).select("id", text.security_name("label").alias("security"))

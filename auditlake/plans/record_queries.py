@@ -29,6 +29,9 @@ def _findings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "findings").drop("arrived_at").dropDuplicates(["finding_id"])
 
 
+_ONE = lambda c: f"regexp_replace(lower(trim({c}, {_WS})), '\\s+', ' ', 'g')"
+_BOTH = "list_filter(list_concat(coalesce({0}, []), coalesce({1}, [])), lambda x: x IS NOT NULL AND x <> '')"
+_UNION = lambda x, y: f"list_filter({_BOTH.format(x, y)}, lambda x, i: list_position({_BOTH.format(x, y)}, x) = i)"
 _F = "f AS (SELECT DISTINCT ON (finding_id) * EXCLUDE (arrived_at) FROM findings)"
 _U = f"u AS (SELECT DISTINCT ON (update_id) * EXCLUDE (arrived_at), lower(trim(vuln_id, {_WS})) AS key FROM finding_updates WHERE vuln_id IS NOT NULL)"
 
@@ -103,14 +106,27 @@ def exact_documents(spark, d):
     return n.groupBy("norm_text", "lang").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_F}, k AS (SELECT {_ONE("vulnerable_component")} AS component, CASE WHEN upper(trim(cwe_id, {_WS})) IN ({_CWES}) THEN upper(trim(cwe_id, {_WS})) ELSE 'OTHER_UNCATEGORIZED' END AS cwe, coalesce(vuln_id, '') AS v, finding_id, coalesce(description, '') AS t, affected_nodes AS ns
+  FROM f WHERE length(trim(coalesce(vulnerable_component, ''), {_WS})) > 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY component, cwe ORDER BY v, finding_id) AS rn FROM k),
+r AS (SELECT component, cwe, rn, finding_id AS first_id, t AS text, {_UNION("ns", "[]")} AS nodes FROM n WHERE rn = 1
+  UNION ALL SELECT n.component, n.cwe, n.rn, first_id, CASE WHEN t <> '' AND NOT contains(text, t) THEN text || chr(10) || chr(10) || 'Additional context: ' || t ELSE text END, {_UNION("nodes", "ns")} FROM r JOIN n ON n.component = r.component AND n.cwe = r.cwe AND n.rn = r.rn + 1)
+SELECT component, cwe, first_id, text, nodes, rn AS records FROM r QUALIFY row_number() OVER (PARTITION BY component, cwe ORDER BY rn DESC) = 1
+""")
 def merged_texts(spark, d):
     """Findings of one component and class as one, the later texts and nodes added to the first's."""
     f = _findings(spark, d).where(filled("vulnerable_component")).select(text.one_space("vulnerable_component").alias("component"), text.cwe_key("cwe_id").alias("cwe"), F.coalesce("vuln_id", F.lit("")).alias("v"), "finding_id", "description", "affected_nodes")
     return linkage.merge_texts(f, ["component", "cwe"], ["v"], "description", "affected_nodes", "finding_id")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_F}, d AS (SELECT DISTINCT source_cve AS key, description AS text FROM f WHERE length(trim(coalesce(source_cve, ''), {_WS})) > 0 AND description <> ''),
+n AS (SELECT *, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS plain, row_number() OVER (PARTITION BY key ORDER BY length(text) DESC, text) AS rn FROM d),
+r AS (SELECT key, rn, text, true AS kept, [plain] AS plains FROM n WHERE rn = 1
+  UNION ALL SELECT n.key, n.rn, n.text, new, CASE WHEN new THEN list_append(plains, n.plain) ELSE plains END FROM (SELECT n.*, r.plains, len(r.plains) < 3 AND len(list_filter(r.plains, lambda x: contains(x, n.plain))) = 0 AS new FROM r JOIN n ON n.key = r.key AND n.rn = r.rn + 1) n)
+SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY rn) AS INTEGER) AS place, text FROM r WHERE kept
+""")
 def cve_descriptions(spark, d):
     """Up to three descriptions of each CVE, none contained in another."""
     return linkage.distinct_descriptions(_findings(spark, d).where(filled("source_cve")), "source_cve", "description")
@@ -151,8 +167,6 @@ def merge_input(u: DataFrame) -> DataFrame:
     return u.select("key", F.col("updated_at").alias("seq"), F.col("update_id").alias("id"), "status", "description", "affected_nodes", given("cve", "string").alias("source_cve"), given("patch", "string").alias("patch_state"), F.coalesce(given("reset", "boolean"), F.lit(False)).alias("force_reset"))
 
 
-_BOTH = "list_filter(list_concat(coalesce({0}, []), coalesce({1}, [])), lambda x: x IS NOT NULL AND x <> '')"
-_UNION = lambda x, y: f"list_filter({_BOTH.format(x, y)}, lambda x, i: list_position({_BOTH.format(x, y)}, x) = i)"
 _ANSWERS = ", ".join(f"'{s}'" for s in sorted(merge.ANSWERS))
 
 
@@ -386,7 +400,13 @@ def nearest_vectors(spark, d):
     return linkage.nearest(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 5).withColumn("cosine", F.round("cosine", 6))
 
 
-@query()
+@query("""
+WITH RECURSIVE n AS (SELECT label, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings),
+r AS (SELECT label, rn, vec_id, vec_id AS seed, [{'i': vec_id, 'e': e}] AS seeds FROM n WHERE rn = 1
+  UNION ALL SELECT label, rn, vec_id, CASE WHEN best >= 0.3 THEN seeds[list_position(sims, best)].i ELSE vec_id END, CASE WHEN best >= 0.3 THEN seeds ELSE list_append(seeds, {'i': vec_id, 'e': e}) END
+  FROM (SELECT *, list_max(sims) AS best FROM (SELECT n.*, r.seeds, list_transform(r.seeds, lambda s: round(list_cosine_similarity(s.e, n.e), 12)) AS sims FROM r JOIN n ON n.label = r.label AND n.rn = r.rn + 1)))
+SELECT label AS grp, vec_id AS row_id, seed FROM r
+""")
 def vector_clusters(spark, d):
     """Greedy clusters of the vectors of each label."""
     return linkage.greedy_clusters(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.3)
@@ -416,7 +436,6 @@ def event_sessions(spark, d):
 
 # Groups, histories and code ------------------------------------------------------------------------------------
 
-_ONE = lambda c: f"regexp_replace(lower(trim({c}, {_WS})), '\\s+', ' ', 'g')"
 
 
 @query(f"""
