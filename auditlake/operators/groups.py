@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import one_space
-from auditlake.session import filled
+from auditlake.operators.ordering import running
+from auditlake.session import Scratch, filled
 
 
 def shared_checks(findings: DataFrame, smallest: int = 2, largest: int = 6) -> DataFrame:
@@ -44,15 +45,18 @@ def without_skeletons(nodes: DataFrame) -> DataFrame:
     return d.where("NOT __own").drop("__own").unionByName(d.where("__own").join(real, same, "left_anti").drop("__own"))
 
 
-def enclosing_nodes(places: DataFrame, nodes: DataFrame) -> DataFrame:
+def enclosing_nodes(places: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """Adds `node` to places (file, line): the node of the file that begins last at or before the line, of several the
-    smallest id; null where there is none. An as-of join: both sides in one order, the last node carried on."""
+    smallest id; null where there is none. An as-of join: both sides in one order, the last node carried on from part to
+    part, so that one file may hold most places. Places without a file or line are put aside first: they have no node."""
     n = nodes.where("file IS NOT NULL AND line IS NOT NULL").groupBy("file", "line").agg(F.min("node").alias("node"))
+    there = F.col("file").isNotNull() & F.col("line").isNotNull()
     cols = [c for c in places.columns if c not in ("file", "line")]
     a = n.select("file", "line", F.lit(0).alias("__side"), "node", *[F.lit(None).cast(places.schema[c].dataType).alias(c) for c in cols])
-    b = places.select("file", "line", F.lit(1).alias("__side"), F.lit(None).cast("string").alias("node"), *cols)
-    w = Window.partitionBy("file").orderBy(F.col("line").asc_nulls_first(), "__side").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn("node", F.last("node", True).over(w)).where("__side = 1").select(*places.columns, F.when(F.col("line").isNotNull(), F.col("node")).alias("node"))
+    b = places.where(there).select("file", "line", F.lit(1).alias("__side"), F.lit(None).cast("string").alias("node"), *cols)
+    d = running(a.unionByName(b).withColumnRenamed("node", "__node"), ["file"], ["line", "__side"], scratch, {"__last": ("max", F.when(F.col("__side") == 0, F.struct("line", F.col("__node").alias("node"))))})
+    found = d.where("__side = 1").select(*places.columns, F.col("__last.node").alias("node"))
+    return found.unionByName(places.where(~there).withColumn("node", F.lit(None).cast("string")))
 
 
 def own_verdicts(results: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:

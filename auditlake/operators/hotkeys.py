@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.operators.ordering import running
+from auditlake.session import Scratch
+
 KEY = "__key_"
 
 
@@ -40,22 +43,29 @@ def latest_per_key(compressed: DataFrame, keys: Sequence[str], value: str, at: s
     return enough.drop(KEY + "rank", KEY + "n")
 
 
-def weighted_profile(compressed: DataFrame, keys: Sequence[str], value: str, percentiles: Sequence[float] = (0.5,)) -> DataFrame:
+def weighted_profile(compressed: DataFrame, keys: Sequence[str], value: str, scratch: Scratch, percentiles: Sequence[float] = (0.5,)) -> DataFrame:
     """Per key: `n_rows`, exact `n_distinct`, the `mode` (ties to the smallest value) and its `mode_rows`, and the
     values at the given shares of the rows in value order (`p50` and so on, nearest rank from below).
 
-    Null values count as rows, but are no value; a key of null values only has null mode and percentiles. The
-    running weight is a window over the distinct values of a key, not over its rows.
+    Null values count as rows, but are no value; a key of null values only has null mode and percentiles. Counts and
+    modes combine before they move. Running weights go over range parts of a key's values, so that a key with most of
+    the values is spread over as many tasks; of them only the rows that a share falls on go on.
     """
-    order = Window.partitionBy(*keys).orderBy(value)
     known = compressed.where(F.col(value).isNotNull())
-    ranked = known.withColumn("__upto", F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__all", F.sum("weight").over(Window.partitionBy(*keys)))
-    marks = [F.min(F.when(F.col("__upto") >= F.ceil(F.col("__all") * F.lit(p)), F.col(value))).alias(f"p{round(p * 100)}") for p in percentiles]
-    stats = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_distinct"), F.min(F.struct((-F.col("weight")).alias("w"), F.col(value).alias("v"))).alias("__mode"), *marks)
-    total = compressed.groupBy(*[F.col(c).alias(KEY + c) for c in keys]).agg(F.sum("weight").alias("n_rows"))
+    ranked = running(known.select(*keys, value, "weight"), list(keys), [value], scratch, {"__before": ("sum", F.col("weight"))}, {"__all": ("sum", F.col("weight"))})
+    upto, shares = F.col("__before") + F.col("weight"), {f"p{round(p * 100)}": F.ceil(F.col("__all") * F.lit(p)) for p in percentiles}
+    hits = {n: (F.col("__before") < at) & (upto >= at) for n, at in shares.items()}
+    some = F.lit(False)
+    for h in hits.values():
+        some = some | h
+    marks = ranked.where(some).groupBy(*keys).agg(*[F.min(F.when(h, F.col(value))).alias(n) for n, h in hits.items()]) if hits else None
+    weighed = F.when(F.col(value).isNotNull(), F.struct((-F.col("weight")).alias("w"), F.col(value).alias("v")))
+    stats = compressed.groupBy(*keys).agg(F.sum("weight").alias("n_rows"), F.count(value).alias("n_distinct"), F.min(weighed).alias("__mode"))
+    out = stats.select(*keys, "n_rows", "n_distinct", F.col("__mode.v").alias("mode"), (-F.col("__mode.w")).alias("mode_rows"))
+    if marks is None:
+        return out
+    marks = marks.select(*[F.col(c).alias(KEY + c) for c in keys], *shares)
     cond = F.lit(True)
     for c in keys:
-        cond = cond & F.col(KEY + c).eqNullSafe(F.col(c))
-    return total.join(stats, cond, "left").select(
-        *[F.col(KEY + c).alias(c) for c in keys], "n_rows", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), F.col("__mode.v").alias("mode"), (-F.col("__mode.w")).alias("mode_rows"), *[f"p{round(p * 100)}" for p in percentiles]
-    )
+        cond = cond & F.col(c).eqNullSafe(F.col(KEY + c))
+    return out.join(marks, cond, "left").select(*out.columns, *shares)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.text import one_space
 from auditlake.operators.folds import ordered_fold
+from auditlake.session import Scratch
 
 # How alike two findings' vectors must be.
 SAME_NODES, CROSS_NODES, WITH_ANCHOR, ANCHOR_JACCARD = 0.80, 0.93, 0.85, 0.6
@@ -118,62 +119,57 @@ def mergeable(same_nodes: Column, sim: Column, jaccard: Column, degenerate: Colu
     return F.when(same_nodes, sim >= SAME_NODES).otherwise(high | middle)
 
 
-#: Queries that one pass over the vectors compares at once, and the most that a search takes.
+#: Queries that are compared with a part's rows at once.
 QUERY_BLOCK = 4096
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, row_id: str, vector: str, k: int) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, row_id: str, vector: str, k: int, scratch: Scratch) -> DataFrame:
     """(query_id, neighbour_id, cosine, place): the k rows nearest to each query, itself left out; ties go to the
     smaller id.
 
-    The queries are a stated set, read to the driver in blocks of at most QUERY_BLOCK; every block goes once over all
-    rows, which keep the k best per block and task, so that only k rows per query and task move. Null vectors are no
-    rows; all vectors must have one length.
+    The queries are a stated set. They are written to the shared folder once, and every task goes over them in blocks with
+    the rows of its part in memory; it sends on the k best rows per query only. So one scan of the rows serves however
+    many queries there are, and neither side comes to the driver. Null vectors are no rows; all vectors must have one length.
     """
-    ids = queries.where(F.col(vector).isNotNull()).select(row_id, vector)
-    kind = vectors.schema[row_id].dataType.simpleString()
-    out = None
-    for block in _blocks(ids):
-        q_ids = np.array([r[0] for r in block])
-        q = _unit(np.array([r[1] for r in block], np.float64))
-
-        def run(batches: Iterator[pa.RecordBatch], q_ids=q_ids, q=q) -> Iterator[pa.RecordBatch]:
-            best_s = np.full((len(q_ids), 0), -np.inf)
-            best_i = np.zeros((len(q_ids), 0), q_ids.dtype)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                rows = np.asarray(b.column(0))
-                m = _unit(b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1))
-                sim = np.round(q @ m.T, 12)
-                sim[q_ids[:, None] == rows[None, :]] = -np.inf
-                s, i = np.hstack([best_s, sim]), np.hstack([best_i, np.broadcast_to(rows, sim.shape)])
-                top = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
-            n, w = best_s.shape
-            s, i = best_s.ravel(), best_i.ravel()
-            ok = s > -np.inf
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, w)[ok]), pa.array(i[ok]), pa.array(s[ok])], ["query_id", "neighbour_id", "cosine"])
-
-        part = vectors.where(F.col(vector).isNotNull()).select(row_id, vector).mapInArrow(run, f"query_id {kind}, neighbour_id {kind}, cosine double")
-        out = part if out is None else out.unionByName(part)
     from pyspark.sql import Window
 
-    if out is None:
-        return vectors.where(F.lit(False)).select(F.col(row_id).alias("query_id"), F.col(row_id).alias("neighbour_id"), F.lit(0.0).alias("cosine"), F.lit(0).alias("place"))
+    kind = vectors.schema[row_id].dataType.simpleString()
+    path = scratch.keep(queries.where(F.col(vector).isNotNull()).select(F.col(row_id).alias("id"), F.col(vector).alias("v")))._scratch_path
+    schema = f"query_id {kind}, neighbour_id {kind}, cosine double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        ids = np.concatenate([np.asarray(b.column(0)) for b in got])
+        m = _unit(np.concatenate([_matrix(b.column(1)) for b in got]))
+        system, where = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        for q in ds.dataset(where, filesystem=system, format="parquet").to_batches(batch_size=QUERY_BLOCK):
+            if not q.num_rows:
+                continue
+            q_ids = np.asarray(q.column(0))
+            sim = np.round(_unit(_matrix(q.column(1))) @ m.T, 12)
+            sim[q_ids[:, None] == ids[None, :]] = -np.inf
+            # candidates: all that reach the k-th best cosine, as ties go by id
+            least = np.partition(sim, max(0, sim.shape[1] - k), axis=1)[:, max(0, sim.shape[1] - k)]
+            at, col = np.nonzero((sim >= least[:, None]) & (sim > -np.inf))
+            order = np.lexsort((ids[col], -sim[at, col], at))
+            at, col = at[order], col[order]
+            first = np.r_[0, np.flatnonzero(np.diff(at)) + 1] if len(at) else np.zeros(0, int)
+            place = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
+            at, col = at[place < k], col[place < k]
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(ids[col]), pa.array(sim[at, col])], ["query_id", "neighbour_id", "cosine"])
+
+    found = vectors.where(F.col(vector).isNotNull()).select(row_id, vector).mapInArrow(run, schema)
     order = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "neighbour_id")
-    return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-
-
-def _blocks(ids: DataFrame) -> Iterator[list]:
-    block = []
-    for r in ids.toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.operators.folds import ordered_fold
-from auditlake.session import trimmed
+from auditlake.operators.ordering import running
+from auditlake.session import Scratch, trimmed
 
 # How far a status has come, and which ones answer a request for context.
 RANKS = {"hypothesis": 0, "review_error": 1, "confirmed": 2, "chained": 3, "insufficient_context": 4, "exploitable": 5, "false_positive": 6, "unchainable": 6, "proven": 6}
@@ -67,12 +68,10 @@ def merge_records(updates: DataFrame) -> DataFrame:
     return ordered_fold(once, ["key"], [F.col("seq").asc_nulls_first(), "id"], _step, lambda s: [s], MERGED)
 
 
-def surviving_updates(updates: DataFrame, key: str, order: list[Column], status: str) -> DataFrame:
+def surviving_updates(updates: DataFrame, key: str, order: list[Column], status: str, scratch: Scratch) -> DataFrame:
     """The updates that a plain ladder keeps: those whose rank is at least every earlier one's of the key; adds `rank`
-    and `replaces`, true where the record is taken over. A window of running maxima, of which one row is held."""
-    d = updates.withColumn("rank", rank(F.col(status)))
-    before = F.max("rank").over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    d = d.withColumn("__before", before)
+    and `replaces`, true where the record is taken over. Maxima run over parts of a key's order, so a key may be of any size."""
+    d = running(updates.withColumn("rank", rank(F.col(status))), [key], order, scratch, {"__before": ("max", F.col("rank"))})
     kept = d.where(F.col("__before").isNull() | (F.col("rank") >= F.col("__before")))
     return kept.withColumn("replaces", F.col("__before").isNull() | (F.col("rank") > F.col("__before"))).drop("__before")
 

@@ -172,8 +172,9 @@ def documents_in(text: str | None) -> list:
     if text is None:
         return found
     at = 0
+    begins = len(text) - len(text.lstrip(" \t\r\n`json"))  # up to here nothing but marks of a fence
     while True:
-        at = min((p for p in (text.find("{", at), text.find("[", at), text.find('"', at) if not found and not text[:at].strip(" \t\r\n`json") else -1) if p >= 0), default=-1)
+        at = min((p for p in (text.find("{", at), text.find("[", at), text.find('"', at) if not found and at <= begins else -1) if p >= 0), default=-1)
         if at < 0:
             return found
         follows = text[at + 1 : at + 40].lstrip()[:1]

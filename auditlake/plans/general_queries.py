@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.operators import hotkeys, shredding
-from auditlake.session import filled, table, trimmed
+from auditlake.session import Scratch, filled, table, trimmed
 
 BRANCHES = {
     "upstream": ["target", "description"],
@@ -85,7 +85,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_profile(spark: SparkSession, d: str) -> DataFrame:
     """Per target and relation: rows, exact distinct source files, the commonest one, and the median file in name order."""
     c = hotkeys.compress(_pairs(spark, d), _pair_keys(), {"source_file": F.col("source_file")})
-    return hotkeys.weighted_profile(c, ["target", "relation"], "source_file", (0.5, 0.9))
+    return hotkeys.weighted_profile(c, ["target", "relation"], "source_file", Scratch(spark), (0.5, 0.9))
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_vulns, p3_upstream_entries, p3_downstream_entries, p3_vulns_entries, p3_levels, p4_found, p4_profile)}

@@ -539,7 +539,7 @@ def link_places(spark, d):
     """The node whose code each link lies in, by file and line."""
     p = _links(spark, d).select("link_id", F.col("source_file").alias("file"), text.line_number("source_location").alias("line"))
     n = _nodes(spark, d).select(F.col("source_file").alias("file"), text.line_number("source_location").alias("line"), F.col("id").alias("node"))
-    return groups.enclosing_nodes(p, n)
+    return groups.enclosing_nodes(p, n, Scratch(spark))
 
 
 @query(f"""

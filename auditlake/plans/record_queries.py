@@ -158,7 +158,7 @@ SELECT key, update_id, rank, before IS NULL OR rank > before AS replaces FROM b
 def ladder_updates(spark, d):
     """The updates that a plain status ladder keeps."""
     order = [F.col("updated_at").asc_nulls_first(), F.col("update_id")]
-    return merge.surviving_updates(_updates(spark, d), "key", order, "status").select("key", "update_id", "rank", "replaces")
+    return merge.surviving_updates(_updates(spark, d), "key", order, "status", Scratch(spark)).select("key", "update_id", "rank", "replaces")
 
 
 def merge_input(u: DataFrame) -> DataFrame:
@@ -397,7 +397,7 @@ SELECT query_id, neighbour_id, cosine, row_number() OVER (PARTITION BY query_id
 def nearest_vectors(spark, d):
     """The five nearest vectors of every hundredth one, against all."""
     e = table(spark, d, "embeddings")
-    return linkage.nearest(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 5).withColumn("cosine", F.round("cosine", 6))
+    return linkage.nearest(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 5, Scratch(spark)).withColumn("cosine", F.round("cosine", 6))
 
 
 @query("""

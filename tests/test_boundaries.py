@@ -72,3 +72,26 @@ def test_artifacts(rows):
     assert [r[0] for r in df.select(paths.is_other_config(F.col("p"), F.col("n"), "/app/")).collect()] == [e for *_, e in more]
     assert [r[0] for r in df.select(paths.is_other_config(F.col("p"), F.col("n"), "/")).collect()] == [False] * len(more)
     assert [r[0] for r in rows("p string", ("src/api/x.py",), ("x/app.ts",), ("apis/x.py",), (None,)).select(paths.is_entry_file("p")).collect()] == [True, True, False, False]
+
+
+def test_declarations_find_their_nodes(rows):
+    n = rows("id string, label string, source_file string, node string", ("1", "Klass::Go", "a/x.py", ""), ("2", "go", "a/x.py", ""), ("3", "x.py", "a/x.py", ""), ("4", "go()", "a/y.py", ""), ("5", None, "a/y.py", ""), ("6", "go", None, ""))
+    d = rows("file string, function string, kind string", ("a/x.py", "GO", "r"), ("a/x.py", "none", "r"), ("a/x.py", None, "r"), ("a/y.py", "go", "r"), ("a/z.py", "go", "r"), (None, "go", "r"))
+    assert {(r.file, r.function): r.node for r in boundaries.anchored(d, n).collect()} == {("a/x.py", "GO"): "1", ("a/x.py", "none"): "3", ("a/x.py", None): "3", ("a/y.py", "go"): "4", ("a/z.py", "go"): None, (None, "go"): None}
+    e = rows("source string, target string, match_key string, label string", ("1", "2", "k", ""), ("1", "2", "k", ""), ("infra:a", "5", "p", ""))
+    got = {tuple(r) for r in boundaries.boundary_edges({"q": e}, n).select("boundary_type", "source", "target", "source_label", "target_label", "target_file").collect()}
+    assert got == {("q", "1", "2", "Klass::Go", "go", "a/x.py"), ("q", "infra:a", "5", None, "", "a/y.py")}
+
+
+def test_configs_and_builds(rows):
+    f = rows("path string, text string, name string", ("etc/nginx.conf", "x" * 200_001, ""), ("etc/nginx-a.conf", "b", ""), ("etc/nginx.conf.bak", "c", ""), ("a.vhost", "", ""), ("b.vhost", None, ""), (".htaccess", "d", ""), (None, "e", ""))
+    assert {r.name: len(r.text) for r in boundaries.proxy_files(f).collect()} == {"etc/nginx.conf": 200_000, "etc/nginx-a.conf": 1, ".htaccess": 1}
+    b = rows("app string, path string, kind string", ("a", "a/compose.yml", ""), ("a", "a/b/docker-compose.yaml", ""), ("a", "a/Dockerfile", ""), ("b", "b/vendor/compose.yml", ""), ("b", "b/Dockerfile.dev", ""), ("b", "b/x.dockerfile", ""), ("b", "b/Dockerfile.dev", ""), ("c", "c/Dockerfiles", ""), (None, "Dockerfile", ""), (None, None, ""))
+    assert sorted(map(str, map(tuple, boundaries.build_files(b, "app").collect()))) == sorted(map(str, [("a", "compose", "a/b/docker-compose.yaml"), ("b", "dockerfile", "b/Dockerfile.dev"), ("b", "dockerfile", "b/x.dockerfile"), (None, "dockerfile", "Dockerfile")]))
+
+
+def test_known_calls_stay(rows):
+    m = rows("container string, name string, member string", ("C", "run", "C.run"), ("C", "go", "C.go"))
+    c = rows("link_id bigint, source string, container string, label string, line string", (1, "a", "C", "K", "K::run(1) + K.go()"))
+    known = rows("source string, target string", ("a", "C.run"), ("a", "C.run"))
+    assert [(r.source, r.target) for r in boundaries.repair_calls(c, m, known).collect()] == [("a", "C.go")]

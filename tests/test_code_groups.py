@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import text
 from auditlake.operators import code, groups, histories
 from auditlake.plans import record_queries
+from auditlake.session import Scratch
 
 
 def test_code(rows):
@@ -118,11 +119,11 @@ def test_groups(rows):
     assert [(r.row_id, r.confirmed) for r in done.collect()] == [("a", True)] and {r.row_id for r in rest.collect()} == {"b", "c"}
 
 
-def test_places(rows):
+def test_places(spark, rows):
     rng = random.Random(1)
     nodes = [(rng.choice("fg"), rng.choice([None, *range(0, 50, 5)]), f"n{i}") for i in range(25)]
     places = [(i, rng.choice(["f", "g", "h", None]), rng.choice([None, *range(60)])) for i in range(60)]
-    df = groups.enclosing_nodes(rows("pid int, file string, line int", *places), rows("file string, line int, node string", *nodes))
+    df = groups.enclosing_nodes(rows("pid int, file string, line int", *places), rows("file string, line int, node string", *nodes), Scratch(spark))
     for r in df.collect():
         before = [(ln, n) for f, ln, n in nodes if f == r.file and ln is not None and r.line is not None and ln <= r.line]
         assert r.node == (min(n for ln, n in before if ln == max(before)[0]) if before else None)

@@ -9,8 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from auditlake.operators import hotkeys, shredding
+from auditlake.operators import hotkeys, ordering, shredding
 from auditlake.plans import general_queries
+from auditlake.session import Scratch
 
 DEEP = pa.list_(pa.struct([("a", pa.string()), ("b", pa.list_(pa.struct([("c", pa.int64()), ("d", pa.list_(pa.string()))])))]))
 words = st.one_of(st.none(), st.text("xyz", max_size=2))
@@ -94,7 +95,7 @@ def test_tables_of_all_branches(spark, rows, tmp_path):
     assert levels[("downstream.list.description", 0, 4)] == (2, 2) and levels[("vulns.list.cwe", 0, 4)] == (4, 4)
 
 
-def test_hot_keys(rows):
+def test_hot_keys(spark, rows):
     random.seed(5)
     data = [("hot" if random.random() < 0.6 else random.choice("abc"), random.choice(["u", "v", None]), random.randrange(60), random.choice([None, *range(5)]), "extra", 1, 2) for _ in range(600)]
     data += data[:50]
@@ -107,7 +108,7 @@ def test_hot_keys(rows):
     expected = {(k, r, i) for (k, r), m in best.items() if len(m) >= 20 for i in sorted(m, key=lambda i: (m[i] is not None, m[i] or 0, i), reverse=True)[:3]}
     got = hotkeys.latest_per_key(c, ["k", "r"], "id", "at", 3, 20).collect()
     assert {(x.k, x.r, x.id) for x in got} == expected and len(got) == len(expected)
-    p = hotkeys.weighted_profile(hotkeys.compress(df, {"k": F.col("k")}, {"v": F.col("at")}), ["k"], "v", (0.5, 0.9)).collect()
+    p = hotkeys.weighted_profile(hotkeys.compress(df, {"k": F.col("k")}, {"v": F.col("at")}), ["k"], "v", Scratch(spark), (0.5, 0.9)).collect()
     for x in p:
         known = sorted(d[3] for d in data if d[0] == x.k and d[3] is not None)
         count = Counter(known)
@@ -115,7 +116,38 @@ def test_hot_keys(rows):
         assert (x.n_rows, x.n_distinct, x["mode"], x.mode_rows) == (sum(d[0] == x.k for d in data), len(count), mode, count[mode])
         assert (x.p50, x.p90) == (known[-(-len(known) // 2) - 1], known[-(-len(known) * 9 // 10) - 1])
     empty = hotkeys.compress(df.limit(0), {"k": F.col("k")}, {"v": F.col("at")})
-    assert hotkeys.weighted_profile(empty, ["k"], "v").collect() == []
+    assert hotkeys.weighted_profile(empty, ["k"], "v", Scratch(spark)).collect() == []
     nulls = rows("k string, at int", ("a", None), (None, 1))
-    got = hotkeys.weighted_profile(hotkeys.compress(nulls, {"k": F.col("k")}, {"v": F.col("at")}), ["k"], "v").collect()
+    got = hotkeys.weighted_profile(hotkeys.compress(nulls, {"k": F.col("k")}, {"v": F.col("at")}), ["k"], "v", Scratch(spark)).collect()
     assert {(x.k, x.n_rows, x.n_distinct, x["mode"], x.p50) for x in got} == {("a", 1, 0, None, None), (None, 1, 1, 1, 1)}
+
+
+def test_running_splits_a_hot_group(spark):
+    """A group with a third of all rows is spread like the rest, and what runs over it is right across its parts."""
+
+    class Seen(Scratch):
+        def keep(self, df, **seen):
+            self.kept = super().keep(df, **seen)
+            return self.kept
+
+    rng = random.Random(3)
+    data = [("hot" if i % 3 == 0 else f"k{rng.randrange(40)}" if i % 50 else None, i, rng.choice([None, rng.randrange(9)]), "clash") for i in range(6000)]
+    rng.shuffle(data)
+    scratch = Seen(spark)
+    df = spark.createDataFrame(data, "k string, at int, v int, rn string")
+    got = ordering.running(df, ["k"], ["at"], scratch, {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))}, {"all": ("sum", F.lit(1))}).collect()
+    sizes = sorted(r["count"] for r in scratch.kept.groupBy("__part").count().collect())
+    assert len(sizes) >= 3 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    assert scratch.kept.where("k = 'hot'").select("__part").distinct().count() > 1
+    sums, most, n = defaultdict(int), {}, Counter(d[0] for d in data)
+    expected = {}
+    for k, at, v, _ in sorted(data, key=lambda d: d[1]):
+        expected[at] = (k, sums[k], most.get(k), n[k])
+        if v is not None:
+            sums[k], most[k] = sums[k] + v, max(v, most.get(k, v))
+    assert len(got) == 6000 and {r.at: (r.k, r.s, r.m, r["all"]) for r in got} == expected
+    assert ordering.running(df.limit(0), [], ["at"], Scratch(spark), {"s": ("sum", F.col("v"))}).collect() == []
+
+
+def test_quoted_after_brackets():
+    assert shredding.documents_in("[x [y " * 2000 + '{"a": 1}') == [{"a": 1}] and shredding.documents_in('```json\n"[1]"') == ["[1]"] and shredding.documents_in('say "[1]" now') == ["[1]"]

@@ -43,13 +43,13 @@ def test_merge_rules(rows):
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from("ab"), st.sampled_from([*merge.RANKS, None, " X "]), st.sampled_from(["p", "q", "pq", ""]), st.lists(st.sampled_from("xyz"), max_size=2)), min_size=1, max_size=12), st.randoms())
-def test_merge_is_independent_of_arrival(rows, data, rnd):
+def test_merge_is_independent_of_arrival(spark, rows, data, rnd):
     u = [upd(i, s, t, n, key=k) for i, (k, s, t, n) in enumerate(data)]
     shuffled = list(u)
     rnd.shuffle(shuffled)
     a, b = (sorted(map(str, merge.merge_records(rows(UPDATE, *x)).collect())) for x in (u, shuffled + shuffled[:3]))
     assert a == b
-    kept = merge.surviving_updates(rows(UPDATE, *u), "key", [F.col("seq")], "status").collect()
+    kept = merge.surviving_updates(rows(UPDATE, *u), "key", [F.col("seq")], "status", Scratch(spark)).collect()
     top: dict = {}
     for r in u:
         rank = merge.RANKS.get((r[3] or "").strip().lower(), 0)
@@ -95,13 +95,13 @@ def test_nearest(spark):
     v[7] = v[3]
     v[9] = 0
     df = spark.createDataFrame([(i, x.tolist(), i % 2) for i, x in enumerate(v)] + [(99, None, 0)], "id bigint, e array<float>, place int").repartition(5)
-    got = linkage.nearest(df, df.where("id % 10 = 0"), "id", "e", 4).collect()
+    got = linkage.nearest(df, df.where("id % 10 = 0"), "id", "e", 4, Scratch(spark)).collect()
     u = v.astype(float) / np.maximum(np.linalg.norm(v.astype(float), axis=1, keepdims=True), 1e-300)
     for q in range(0, 60, 10):
         sim = np.round(u @ u[q], 12)
         best = sorted((i for i in range(60) if i != q), key=lambda i: (-sim[i], i))[:4]
         assert [r.neighbour_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.place)] == best
-    assert linkage.nearest(df, df.limit(0), "id", "e", 4).collect() == []
+    assert linkage.nearest(df, df.limit(0), "id", "e", 4, Scratch(spark)).collect() == []
 
 
 def test_greedy_clusters(spark):
