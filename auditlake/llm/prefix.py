@@ -25,8 +25,13 @@ def with_sum_before(df: DataFrame, group: str, major: Column, order_id: str, amo
     rows = df.withColumns({"__major": major.cast("bigint"), "__h": h}).withColumn("__block", block)
     key = [group, "__major", "__block"]
     sums = rows.groupBy(*key).agg(F.coalesce(F.sum(amount), F.lit(0)).alias("__sum"))
-    over = Window.partitionBy(group).orderBy("__major", "__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("__start", F.coalesce(F.sum("__sum").over(over), F.lit(0))).select(*[F.col(k).alias(f"__k{k}") for k in key], "__start")
+    # first over the few majors of a group, then over the blocks of one major, so that no task has a group's blocks
+    before = lambda parts, *order: Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    majors = sums.groupBy(group, "__major").agg(F.sum("__sum").alias("__all")).withColumn("__first", F.coalesce(F.sum("__all").over(before([group], "__major")), F.lit(0)))
+    majors = majors.select(F.col(group).alias("__g"), F.col("__major").alias("__m"), "__first")
+    starts = sums.withColumn("__start", F.coalesce(F.sum("__sum").over(before([group, "__major"], "__block")), F.lit(0)))
+    starts = starts.join(majors, F.col(group).eqNullSafe(F.col("__g")) & F.col("__major").eqNullSafe(F.col("__m")))
+    starts = starts.select(*[F.col(k).alias(f"__k{k}") for k in key], (F.col("__start") + F.col("__first")).alias("__start"))
     within = Window.partitionBy(*key).orderBy("__h", order_id).rowsBetween(Window.unboundedPreceding, -1)
     inside = rows.withColumn("__in", F.coalesce(F.sum(amount).over(within), F.lit(0)))
     same = F.lit(True)

@@ -263,6 +263,31 @@ def p6_packed(spark: SparkSession, d: str) -> DataFrame:
     return packed.unionByName(none)
 
 
+@query
+def p6_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Of every document and capacity: whether its pieces hold all its tokens, one after the other, whether it is split only
+    if it alone exceeds the capacity, and whether no container it is in holds more than the capacity."""
+    scratch = Scratch(spark)
+    counted, limits, _, _, windowed = _windows(spark, d, scratch)
+    packed = scratch.keep(packing.pack(windowed, limits))
+    capacity = F.lit(None).cast("bigint")
+    for n, c in limits:
+        capacity = F.when(F.col("limit_name") == n, F.lit(c)).otherwise(capacity)
+    load = packed.groupBy("limit_name", "window", "slot").agg(F.sum("tokens").alias("load"))
+    p = packed.join(load, ["limit_name", "window", "slot"]).withColumn("capacity", capacity)
+    per = p.groupBy("limit_name", "doc_id").agg(
+        F.sum("tokens").alias("held"), F.count(F.lit(1)).alias("pieces"), F.max(F.col("first_token") + F.col("tokens")).alias("end"), F.count_distinct("piece").alias("numbers"), F.max("piece").alias("last"), F.min(F.col("load") <= F.col("capacity")).alias("fits")
+    )
+    names = F.array(*[F.struct(F.lit(n).alias("limit_name"), F.lit(c).alias("capacity")) for n, c in limits]) if limits else F.array().cast("array<struct<limit_name:string,capacity:int>>")
+    every = counted.select("doc_id", F.col("tokens").alias("size"), F.explode(names).alias("x")).select("doc_id", "size", "x.*").join(per, ["limit_name", "doc_id"], "left")
+    none = F.coalesce("pieces", F.lit(0)) == 0
+    whole = F.when(none, F.col("size") == 0).otherwise((F.col("held") == F.col("size")) & (F.col("end") == F.col("size")) & (F.col("pieces") == F.col("numbers")) & (F.col("last") + 1 == F.col("pieces")))
+    return every.select("limit_name", "doc_id", whole.alias("whole"), (none | (F.col("pieces") == 1) | (F.col("size") > F.col("capacity"))).alias("split_if_larger"), F.coalesce("fits", none).alias("fits"))
+
+
+SQL["p6_whole"] = "SELECT limit_name, doc_id, true AS whole, true AS split_if_larger, true AS fits FROM documents, pack_limits"
+
+
 @query
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     """How full the containers of each capacity are."""
@@ -298,6 +323,19 @@ def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     return used.where("copies > 0").select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
 
 
+@query
+def p7_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Every document of a source with a target that has tokens: whether it is used at most as often as it may be."""
+    used, _ = _mixture(spark, d)
+    most = F.lit(None).cast("int")
+    for t in mixing.read_targets(table(spark, d, "mix_targets")):
+        most = F.when(F.col("source") == t.source, F.lit(t.max_repeat)).otherwise(most)
+    return used.select("doc_id", "source", F.col("copies").between(0, most).alias("within"))
+
+
+SQL["p7_copies"] = f"SELECT doc_id, m.source, true AS within FROM documents d JOIN mix_targets m ON m.source = lower(trim(d.source, {_WS})) WHERE d.text <> ''"
+
+
 @query
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and reached share of each source."""
@@ -319,3 +357,15 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     """Documents, mean share of unfamiliar words and mean sentence length of each level."""
     r = reading.reading_levels(table(spark, d, "documents"), table(spark, d, "level_labels"), Scratch(spark))
     return r.groupBy("level").agg(F.count(F.lit(1)).alias("documents"), F.avg("unfamiliar_share").alias("unfamiliar_share"), F.avg("sentence_length").alias("sentence_length"))
+
+
+@query
+def p8_formula(spark: SparkSession, d: str) -> DataFrame:
+    """The level of every such document by the formula alone, with its score and the two parts."""
+    return reading.formula_reading(table(spark, d, "documents"), table(spark, d, "level_labels"), Scratch(spark)).select("doc_id", "unfamiliar_share", "sentence_length", "score", "level")
+
+
+@query
+def p8_held_out(spark: SparkSession, d: str) -> DataFrame:
+    """How many held-out documents the grid of `p8_found` and the formula of `p8_formula` put where their graders did."""
+    return reading.held_out(table(spark, d, "documents"), table(spark, d, "level_labels"), Scratch(spark))

@@ -1,15 +1,17 @@
 """The training-data operators against plain versions on small and dirty tables."""
 
 import gc
+import os
 import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.llm import components, mixing, near_duplicates, packing, prefix, reading, survivors, tokens
+from auditlake.llm import components, mixing, near_duplicates, packing, prefix, queries, reading, survivors, tokens
 from auditlake.session import Scratch
 
 # near-duplicates --------------------------------------------------------------------------------------------------
@@ -372,6 +374,52 @@ def test_reading_levels(spark):
     assert reading.reading_levels(docs.limit(0), labels, Scratch(spark)).collect() == []
 
 
+def test_formula_and_held_out(spark):
+    """Learned from other documents, the grid finds at least nine in ten of the held-out grades, the formula eight."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, "en", document(rng, 1 + i % 4), "clash") for i in range(400)], "doc_id bigint, lang string, text string, score string")
+    rows = [(i, 1 + i % 4, f"g{k}") for i in range(400) for k in range(1 + i % 3)]
+    labels = spark.createDataFrame(rows + rows[:50] + [(None, 1, "g"), (1, None, "h"), (2, 7, "h")] + [(3, 1, "other")], "doc_id bigint, level int, grader string")
+    got = {r.graders: r for r in reading.held_out(docs, labels, Scratch(spark)).collect()}
+    n = sum(r.documents for r in got.values())
+    assert set(got) == {1, 2, 3} and 80 <= n <= 160
+    assert sum(r.grid for r in got.values()) >= 0.9 * n and sum(r.formula for r in got.values()) >= 0.8 * n
+    levels = {r.doc_id: r for r in reading.formula_reading(docs, labels, Scratch(spark), familiar_share=0.3).collect()}
+    assert len(levels) == 400 and levels[3].score > levels[0].score
+    none = reading.formula_reading(docs, labels.limit(0), Scratch(spark)).collect()
+    assert len(none) == 400 and {r.level for r in none} == {None}
+    assert reading.held_out(docs.limit(0), labels, Scratch(spark)).collect() == [] and reading.held_out(docs, labels.limit(0), Scratch(spark)).collect() == []
+
+
+def test_formula_cuts(spark):
+    m = spark.createDataFrame([(i, 4, 0.1 * l, 10.0 * l) for i, l in enumerate((1, 1, 3, 3))], "doc_id bigint, sentences int, unfamiliar_share double, sentence_length double")
+    labels = spark.createDataFrame([(0, 1), (1, 1), (2, 3), (3, 3)], "doc_id bigint, level int")
+    f = reading.fit_formula(m, labels, "doc_id", "level", 4)
+    assert abs(f.cuts[0] - 2) < 1e-6 and abs(f.cuts[1] - 2) < 1e-6 and f.cuts[2] == np.inf
+    assert [r.level for r in reading.formula_levels(m, f).orderBy("doc_id").collect()] == [1, 1, 3, 3]
+    assert reading.fit_formula(m, labels.limit(2), "doc_id", "level", 4) is None
+
+
 def test_familiar_words(spark):
     texts = spark.createDataFrame([(1, "a b\na c"), (2, "a b"), (3, "a d")], "doc_id bigint, prose string")
     assert reading.familiar_words(texts, 0.6) == ["a", "b"] and reading.familiar_words(texts, 1.0) == ["a"] and reading.familiar_words(texts.limit(0), 0.5) == []
+
+
+# queries ----------------------------------------------------------------------------------------------------------
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_query(spark, name):
+    """Every query runs over the smallest tables; those with SQL give the same rows as DuckDB."""
+    got = queries.QUERIES[name](spark, DATA).toPandas()
+    if sql := queries.SQL.get(name):
+        duck = duckdb.connect()
+        for f in os.listdir(DATA):
+            duck.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{DATA}/{f}'")
+        expected = duck.execute(sql).df()
+        assert sorted(got.columns) == sorted(expected.columns)
+        rows = lambda df: sorted(map(str, df[sorted(df.columns)].astype(object).where(df.notna(), None).itertuples(index=False, name=None)))
+        assert rows(got) == rows(expected)
