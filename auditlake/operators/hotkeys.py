@@ -51,8 +51,9 @@ def weighted_profile(compressed: DataFrame, keys: Sequence[str], value: str, scr
     modes combine before they move. Running weights go over range parts of a key's values, so that a key with most of
     the values is spread over as many tasks; of them only the rows that a share falls on go on.
     """
+    compressed = scratch.keep(compressed.select(*keys, value, "weight"))  # read three times
     known = compressed.where(F.col(value).isNotNull())
-    ranked = running(known.select(*keys, value, "weight"), list(keys), [value], scratch, {"__before": ("sum", F.col("weight"))}, {"__all": ("sum", F.col("weight"))})
+    ranked = running(known, list(keys), [value], scratch, {"__before": ("sum", F.col("weight"))}, {"__all": ("sum", F.col("weight"))})
     upto, shares = F.col("__before") + F.col("weight"), {f"p{round(p * 100)}": F.ceil(F.col("__all") * F.lit(p)) for p in percentiles}
     hits = {n: (F.col("__before") < at) & (upto >= at) for n, at in shares.items()}
     some = F.lit(False)
