@@ -35,14 +35,15 @@ def pick_by_preference(records: DataFrame, key: Column, record_id: str, picks: d
     return out.where(F.lit(True) if at_least < 2 else F.col("__lo") != F.col("__hi")).select("key", *[F.col(f"{n}.id").alias(n) for n in picks])
 
 
-#: Pseudo-counts: how often a source states a true value and leaves one out; leaves out and states a false one.
-SENSITIVITY, SPECIFICITY = (5.0, 5.0), (9.0, 1.0)
-
-
+#: What a source is taken for beforehand: how often it states a true value, and leaves out a false one.
+SENSITIVITY, SPECIFICITY = 0.7, 0.9
+#: How much that weighs: as so many facts, and as this share of the facts the source spoke about. Were it much less, the
+#: model could explain all disagreement by one source that is always right, and hardly settle at all.
+PRIOR_FACTS, PRIOR_SHARE = 10.0, 0.3
 #: The iterations end when no source's sensitivity or specificity moves by this much any more.
 SETTLED = 1e-5
 #: A guard against tables on which they never would: reaching it is reported, not hidden.
-MOST_ROUNDS = 500
+MOST_ROUNDS = 100
 
 
 @dataclass
@@ -74,16 +75,16 @@ def judge_values(claims: DataFrame, scratch: Scratch, prior: float = 0.5, settle
     patterns = scratch.keep(counted.withColumn("pattern", F.monotonically_increasing_id()))  # kept, so the numbers stand
     sides = patterns.select("pattern", "field", "n", F.explode("spoke").alias("source"), "said").select("pattern", "field", "n", "source", F.array_contains("said", F.col("source")).alias("states"))
     sides, left = scratch.keep_rows(sides)
-    sources = scratch.keep(sides.select("field", "source").distinct().select("*", F.lit(0.7).alias("sensitivity"), F.lit(0.9).alias("specificity")))
+    sources = scratch.keep(sides.select("field", "source").distinct().select("*", F.lit(SENSITIVITY).alias("sensitivity"), F.lit(SPECIFICITY).alias("specificity")))
     rounds, change = 0, float("inf") if left else 0.0
     while change >= settled and rounds < most_rounds:
         rounds += 1
         weighed = sides.join(_truth(sides, sources, prior), "pattern")
         t, f = F.col("n") * F.col("truth"), F.col("n") * (1 - F.col("truth"))
-        states = F.col("states").cast("double")
+        states, weight = F.col("states").cast("double"), PRIOR_FACTS + PRIOR_SHARE * F.sum("n")
         after = weighed.groupBy("field", "source").agg(
-            ((F.sum(t * states) + SENSITIVITY[0]) / (F.sum(t) + sum(SENSITIVITY))).alias("sensitivity"),
-            ((F.sum(f * (1 - states)) + SPECIFICITY[0]) / (F.sum(f) + sum(SPECIFICITY))).alias("specificity"),
+            ((F.sum(t * states) + SENSITIVITY * weight) / (F.sum(t) + weight)).alias("sensitivity"),
+            ((F.sum(f * (1 - states)) + SPECIFICITY * weight) / (F.sum(f) + weight)).alias("specificity"),
         )
         before = sources.select("field", "source", F.col("sensitivity").alias("se"), F.col("specificity").alias("sp"))
         moved = F.greatest(F.abs(F.col("sensitivity") - F.col("se")), F.abs(F.col("specificity") - F.col("sp")))
