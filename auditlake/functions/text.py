@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from auditlake.session import trimmed
 
@@ -197,3 +198,44 @@ def slug(c: Column | str, most: int = 60) -> Column:
     """A name of letters, digits and dashes, in lower case, at most `most` characters."""
     s = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))), "[^a-z0-9]+", "-"), F.lit("-"))
     return F.rtrim(F.substring(s, 1, most), F.lit("-"))
+
+
+def canonical(c: Column, kind: DataType, without: str | None = None, sort_by: str | None = None) -> Column:
+    """A nested value in one order: the fields of every struct by name, without those named `without` at any depth; lists of
+    structs with a field `sort_by` in order of it (null as ''), then of the rest. Maps stay as they are."""
+    if isinstance(kind, StructType):
+        fields = sorted((f for f in kind.fields if f.name != without), key=lambda f: f.name)
+        made = F.struct(*[canonical(c.getField(f.name), f.dataType, without, sort_by).alias(f.name) for f in fields])
+        return F.when(c.isNotNull(), made)
+    if isinstance(kind, ArrayType):
+        out = F.transform(c, lambda x: canonical(x, kind.elementType, without, sort_by))
+        if sort_by and isinstance(kind.elementType, StructType) and sort_by in kind.elementType.names:
+            keyed = F.transform(out, lambda x: F.struct(F.coalesce(x.getField(sort_by), F.lit("")).alias("k"), F.to_json(x, {"ignoreNullFields": "false"}).alias("j"), x.alias("x")))
+            out = F.transform(F.array_sort(keyed, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).when(a["j"] < b["j"], -1).when(a["j"] > b["j"], 1).otherwise(0)), lambda y: y["x"])
+        return out
+    return c
+
+
+def canonical_json(df: DataFrame, column: str, without: str | None = None, sort_by: str | None = None) -> Column:
+    """The text of a nested column in canonical order, null fields included: equal values have equal texts, so it breaks ties
+    and, as a digest, names what is cached."""
+    return F.to_json(canonical(F.col(column), df.schema[column].dataType, without, sort_by), {"ignoreNullFields": "false"})
+
+
+def content_key(df: DataFrame, column: str) -> Column:
+    """The digest under which a verdict on a record is cached: what its score was estimated at plays no part, nor does the
+    order of its peers."""
+    return F.md5(canonical_json(df, column, "cvss_vector", "vuln_id"))
+
+
+def clipped(texts: Column, most: int, each: int, joined: int, between: str = "\n") -> Column:
+    """The first `most` texts of a list, each cut at `each` characters, together cut at `joined`; nulls are left out."""
+    parts = F.slice(F.filter(F.coalesce(texts, F.array().cast("array<string>")), lambda x: x.isNotNull()), 1, most)
+    return F.substring(F.array_join(F.transform(parts, lambda x: F.substring(x, 1, each)), between), 1, joined)
+
+
+def shown_list(items: Column, most: int) -> Column:
+    """The first `most` of the different entries in order, and how many more there are."""
+    a = F.array_sort(F.array_distinct(F.filter(F.coalesce(items, F.array().cast("array<string>")), lambda x: x.isNotNull())))
+    more = F.when(F.size(a) > most, F.concat(F.lit(" (+"), F.size(a) - most, F.lit(" more)"))).otherwise("")
+    return F.concat(F.array_join(F.slice(a, 1, most), ", "), more)

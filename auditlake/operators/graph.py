@@ -183,14 +183,18 @@ def simple_paths(links: DataFrame, start: str, end: str, max_hops: int = 12, mos
     step = links.where("source <> target").select("source", "target").distinct()
     # hops to the end: a path of k links is only extended to nodes at most max_hops - k from it
     back = step.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    left = shortest_hops(back, spark.createDataFrame([(end,)], "id string"), Scratch(spark), max_hops).select(F.col("node").alias("target"), "hops")
+    scratch = Scratch(spark)
+    step = scratch.keep(step)
+    left = shortest_hops(back, spark.createDataFrame([(end,)], "id string"), scratch, max_hops).select(F.col("node").alias("target"), "hops")
     paths = spark.createDataFrame([(start, [start])], "at string, path array<string>")
     done = paths.where(F.col("at") == end) if start == end else None
     for k in range(1, max_hops + 1):
         grown = paths.where(F.col("at") != end).join(step.join(left.where(F.col("hops") <= max_hops - k), "target"), F.col("at") == F.col("source"))
-        paths = grown.where(~F.array_contains("path", F.col("target"))).select(F.col("target").alias("at"), F.concat("path", F.array("target")).alias("path"))
+        paths, rows = scratch.keep_rows(grown.where(~F.array_contains("path", F.col("target"))).select(F.col("target").alias("at"), F.concat("path", F.array("target")).alias("path")))
         hit = paths.where(F.col("at") == end)
         done = hit if done is None else done.unionByName(hit)
+        if not rows:
+            break
     return done.select((F.size("path") - 1).alias("hops"), "path").orderBy("hops", "path").limit(most)
 
 

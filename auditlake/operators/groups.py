@@ -64,3 +64,33 @@ def own_verdicts(results: DataFrame, members: DataFrame) -> tuple[DataFrame, Dat
     none or several name, which are to be checked alone."""
     once = results.groupBy("row_id").agg(F.count(F.lit(1)).alias("__n"), F.first("confirmed").alias("confirmed")).where("__n = 1").drop("__n")
     return members.join(once, "row_id"), members.join(once, "row_id", "left_anti")
+
+
+def display_names(nodes: DataFrame) -> DataFrame:
+    """(id, shown): members by their container's label where the id is the container's and the name, in one file; members of
+    none by their name; others by their label, and without one by their id."""
+    name = F.regexp_extract(F.coalesce("label", F.lit("")), r"(?s)^\.(.*)\(\)$", 1)
+    member = F.coalesce(F.col("label").startswith(".") & F.col("label").endswith("()") & (F.length("label") > 3), F.lit(False))
+    n = nodes.select("id", "label", "source_file", F.when(member, name).alias("__name"))
+    n = n.withColumn("__up", F.when(F.endswith("id", F.concat(F.lit("_"), F.lower("__name"))), F.col("id").substr(F.lit(1), F.length("id") - F.length("__name") - 1)))
+    up = nodes.select(F.col("id").alias("__up"), F.coalesce("label", F.lit("")).alias("__label"), F.col("source_file").alias("__file"), F.lit(True).alias("__there"))
+    n = n.join(up, "__up", "left")
+    own = F.col("__there") & F.col("source_file").eqNullSafe(F.col("__file"))
+    shown = F.when(own, F.concat("__label", F.lit("::"), "__name", F.lit("()"))).when(F.col("__up").isNotNull(), F.concat("__name", F.lit("()"))).when(F.col("__name").isNotNull(), F.col("__name"))
+    return n.select("id", F.coalesce(shown, F.when(F.col("label") != "", F.col("label")), F.col("id")).alias("shown"))
+
+
+def split_groups(members: DataFrame, group: str, row_id: str, by: str) -> DataFrame:
+    """(group, row_id, group_id): a group's members apart by the value of `by`, null being one; each part is named by its smallest id."""
+    part = members.groupBy(group, by).agg(F.min(row_id).alias("group_id"))
+    m, p = members.alias("m"), part.alias("p")
+    same = F.col(f"m.{group}").eqNullSafe(F.col(f"p.{group}")) & F.col(f"m.{by}").eqNullSafe(F.col(f"p.{by}"))
+    return m.join(p, same).select(F.col(f"m.{group}").alias(group), F.col(f"m.{row_id}").alias("row_id"), "p.group_id")
+
+
+def preferred(rows: DataFrame, key: str, better: Column, order: list[str]) -> DataFrame:
+    """One row per key, the first in order of those that are better, else of all; and every row whose key is null or empty."""
+    named = F.col(key) != ""
+    g = rows.where(named).groupBy(key).agg(F.min(F.struct((~F.coalesce(better, F.lit(False))).alias("o"), *order, F.struct(*[c for c in rows.columns if c not in order and c != key]).alias("r"))).alias("f"))
+    first = g.select(key, *[F.col(f"f.{o}").alias(o) for o in order], "f.r.*")
+    return first.select(*rows.columns).unionByName(rows.where(~F.coalesce(named, F.lit(False))))

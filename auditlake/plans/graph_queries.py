@@ -605,3 +605,45 @@ def shown_labels(spark, d):
     n = _nodes(spark, d).where("label <> '' AND community IS NOT NULL").select("id", "label", "community")
     r = ordering.with_row_numbers(n, ["community", "label"], ["id"], Scratch(spark), "nth", "all")
     return r.select("id", F.when(F.col("all") > 1, F.concat_ws(" #", "label", F.col("nth").cast("string"))).otherwise(F.col("label")).alias("shown"))
+
+
+@query(f"""
+WITH {_FILED.replace('FROM nodes n LEFT JOIN', ', n.id AS was FROM nodes n LEFT JOIN')}, m AS (SELECT id, label, source_file, CASE WHEN starts_with(label, '.') AND ends_with(label, '()') AND length(label) > 3 THEN label[2:-3] END AS name FROM filed),
+u AS (SELECT m.*, CASE WHEN ends_with(id, '_' || lower(name)) THEN substr(id, 1, length(id) - length(name) - 1) END AS up FROM m)
+SELECT u.id, coalesce(CASE WHEN c.id IS NOT NULL AND c.source_file IS NOT DISTINCT FROM u.source_file THEN coalesce(c.label, '') || '::' || name || '()' WHEN up IS NOT NULL THEN name || '()' ELSE name END, nullif(u.label, ''), u.id) AS shown FROM u LEFT JOIN filed c ON c.id = u.up
+""")
+def display_names(spark, d):
+    """How nodes are called in a text, members named after the first node of their file that is no member."""
+    n, member = _nodes(spark, d), F.regexp_extract(F.coalesce("label", F.lit("")), graph.MEMBER_LABEL, 1)
+    first = n.where(member == "").where("source_file IS NOT NULL").groupBy("source_file").agg(F.min("id").alias("first"))
+    n = n.join(first, "source_file", "left").withColumn("id", F.when((member != "") & F.col("first").isNotNull(), F.concat("first", F.lit("_"), F.lower(member))).otherwise(F.col("id")))
+    return groups.display_names(n.select("id", "label", "source_file"))
+
+
+@query(f"""
+WITH RECURSIVE {_L}, s AS (SELECT DISTINCT source, target FROM l WHERE relation = 'inherits' AND source <> target),
+r(start, node, hops) AS (SELECT DISTINCT source, source, 0 FROM s UNION SELECT start, s.target, hops + 1 FROM r JOIN s ON s.source = r.node WHERE hops < 12),
+far AS (SELECT start, node FROM (SELECT start, node, min(hops) AS hops FROM r GROUP BY ALL) ORDER BY hops DESC, start, node LIMIT 1),
+p(here, path) AS (SELECT start, [start] FROM far UNION ALL SELECT s.target, list_append(path, s.target) FROM p JOIN s ON s.source = p.here WHERE len(path) <= 12 AND here <> (SELECT node FROM far) AND NOT list_contains(path, s.target))
+SELECT len(path) - 1 AS hops, path FROM p WHERE here = (SELECT node FROM far) ORDER BY hops, path LIMIT 50
+""")
+def simple_paths(spark, d):
+    """The ways of inheritance between the two nodes that are farthest apart."""
+    links = Scratch(spark).keep(_links(spark, d).where("relation = 'inherits'").select("source", "target"))
+    hops = graph.shortest_hops(links, links.where("source <> target").select(F.col("source").alias("id")), Scratch(spark))
+    far = hops.orderBy(F.col("hops").desc(), "start", "node").first()
+    return graph.simple_paths(links, far.start, far.node) if far else graph.simple_paths(links, "", "")
+
+
+@query("""
+WITH d AS (SELECT doc_id, repo, node_id FROM documents WHERE contains(text, 'session')), x AS (SELECT doc_id, coalesce(n.id, 'Unknown (Not in Graph)') AS node FROM d LEFT JOIN nodes n ON n.id = d.node_id),
+f AS (SELECT coalesce(repo, '') AS repo, row_number() OVER (ORDER BY doc_id) AS rn FROM d), o AS (SELECT DISTINCT repo FROM f WHERE rn > 20)
+SELECT x.node, count(*) AS hits, (SELECT array_to_string(list_sort(list(repo))[:10], ', ') FROM o) AS omitted FROM x GROUP BY x.node
+""")
+def search_nodes(spark, d):
+    """The nodes that documents with a word belong to, and the first ten repositories, in order, that a report of 20 leaves out."""
+    hits = table(spark, d, "documents").where(F.contains("text", F.lit("session"))).select("doc_id", F.coalesce("repo", F.lit("")).alias("repo"), "node_id")
+    named = hits.join(_nodes(spark, d).select(F.col("id").alias("node_id"), F.col("id").alias("node")), "node_id", "left").withColumn("node", F.coalesce("node", F.lit("Unknown (Not in Graph)")))
+    rest = ordering.with_row_numbers(hits.select("doc_id", "repo"), [], ["doc_id"], Scratch(spark)).where("rn > 20").select("repo").distinct().orderBy("repo").limit(10)
+    omitted = rest.agg(F.array_join(F.array_sort(F.collect_list("repo")), ", ").alias("omitted"), F.lit(1).alias("one"))
+    return named.groupBy("node").agg(F.count(F.lit(1)).alias("hits")).withColumn("one", F.lit(1)).join(omitted, "one").select("node", "hits", "omitted")

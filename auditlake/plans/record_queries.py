@@ -700,3 +700,72 @@ def path_forms(spark, d):
     address = F.when(F.length("id") % 3 == 0, F.concat(F.lit("no address "), f)).when(F.length("id") % 3 == 1, F.concat(F.lit("HTTPS://h.example:8/"), f, F.lit("/?q=/x"))).otherwise(F.concat(F.lit("/"), f, F.lit("//")))
     patterns = ["core", " web/views/", "*.php", "app/*/r*.rb", ""]
     return table(spark, d, "nodes").select("id", paths.directory("source_file").alias("folder"), paths.is_excluded("source_file", patterns, defaults=False).alias("excluded"), F.when(f != "", paths.request_path(address)).alias("path"))
+
+
+@query(f"""
+WITH {_F}, {_U}, p AS (SELECT key, list({{'status': status, 'vuln_id': vuln_id}} ORDER BY vuln_id, CAST(to_json({{'status': status, 'vuln_id': vuln_id}}) AS VARCHAR)) AS peers FROM u GROUP BY key)
+SELECT finding_id, md5(CAST(to_json({{'peers': peers, 'report': {{'component': vulnerable_component, 'text': description}}}}) AS VARCHAR)) AS content_key FROM f LEFT JOIN p ON p.key = lower(trim(f.vuln_id, {_WS}))
+""")
+def content_keys(spark, d):
+    """The keys under which verdicts on findings are cached, whatever they were scored at and in which order their updates stand."""
+    peers = _updates(spark, d).select("key", F.struct("vuln_id", F.concat(F.lit("CVSS:"), F.col("update_id")).alias("cvss_vector"), "status").alias("p")).groupBy("key").agg(F.collect_list("p").alias("peers"))
+    f = _findings(spark, d).withColumn("key", F.lower(trimmed("vuln_id"))).join(peers, "key", "left")
+    f = f.withColumn("record", F.struct(F.struct(F.col("description").alias("text"), F.rand().cast("string").alias("cvss_vector"), F.col("vulnerable_component").alias("component")).alias("report"), "peers"))
+    return f.select("finding_id", text.content_key(f, "record").alias("content_key"))
+
+
+@query(f"""
+WITH {_F}, c AS (SELECT 'password' AS w UNION ALL SELECT 'token' UNION ALL SELECT 'session' UNION ALL SELECT 'scheduler' UNION ALL SELECT 'nosuchword' UNION ALL SELECT 'cwe-79'),
+there AS (SELECT w FROM c WHERE EXISTS (SELECT 1 FROM documents WHERE contains(lower(text), w)))
+SELECT finding_id FROM f WHERE CASE finding_id % 5 WHEN 0 THEN true WHEN 1 THEN 'token' IN (SELECT w FROM there) OR 'nosuchword' IN (SELECT w FROM there) WHEN 2 THEN 'nosuchword' IN (SELECT w FROM there) WHEN 3 THEN 'scheduler' IN (SELECT w FROM there) ELSE true END
+""")
+def keyword_filter(spark, d):
+    """Findings that ask for no keyword, or for one that stands in some document."""
+    i = F.col("finding_id") % 5
+    asked = F.when(i == 1, F.array(F.lit(" Token "), F.lit("nosuchword"))).when(i == 2, F.array(F.lit("nosuchword"))).when(i == 3, F.array(F.lit("SCHEDULER"), F.lit(None).cast("string"))).when(i == 4, F.array(F.lit(" "))).otherwise(F.lit(None).cast("array<string>"))
+    counts = search.keyword_counts(table(spark, d, "documents"), "text", KEYWORDS)
+    return search.with_found_keywords(_findings(spark, d).select("finding_id", asked.alias("asked")), "asked", counts, F.lit(True)).select("finding_id")
+
+
+@query(f"""
+WITH {_F}, m AS (SELECT DISTINCT proposal_id, lower(trim(m, {_WS})) AS v FROM (SELECT proposal_id, unnest(member_vuln_ids) AS m FROM clusters) WHERE length(trim(coalesce(m, ''), {_WS})) > 0)
+SELECT proposal_id, finding_id AS row_id, min(finding_id) OVER (PARTITION BY proposal_id, source_cve) AS group_id FROM m JOIN f ON lower(trim(vuln_id, {_WS})) = v
+""")
+def split_proposals(spark, d):
+    """The findings of each proposal, apart by the CVE they name."""
+    f = _findings(spark, d).select(F.lower(trimmed("vuln_id")).alias("member"), "finding_id", "source_cve")
+    m = _proposed(spark, d).join(f, "member").select("proposal_id", "finding_id", "source_cve")
+    return groups.split_groups(m, "proposal_id", "finding_id", "source_cve")
+
+
+@query(f"""
+WITH {_F}, k AS (SELECT finding_id, CASE WHEN finding_id % 7 > 0 THEN cwe_id END AS cwe, status FROM f)
+SELECT finding_id, cwe FROM k WHERE cwe <> '' QUALIFY row_number() OVER (PARTITION BY cwe ORDER BY coalesce(status = 'hypothesis', false) DESC, finding_id) = 1
+UNION ALL SELECT finding_id, cwe FROM k WHERE cwe IS NULL OR cwe = ''
+""")
+def preferred_findings(spark, d):
+    """The first finding of each class as it is written, hypotheses before others; those without a class all stay."""
+    k = _findings(spark, d).select("finding_id", F.when(F.col("finding_id") % 7 > 0, F.col("cwe_id")).alias("cwe"), "status")
+    return groups.preferred(k, "cwe", F.col("status") == "hypothesis", ["finding_id"]).select("finding_id", "cwe")
+
+
+@query(f"""
+WITH {_U}, t AS (SELECT key, update_id, [s, a] AS fp FROM (SELECT key, update_id, coalesce(status, '') AS s, coalesce(vulnerable_component, '') AS a, emitted_by FROM u) WHERE emitted_by IN ('explorer', 'reviewer')),
+l AS (SELECT key, list_sort(fp) AS fp, row_number() OVER (PARTITION BY key ORDER BY update_id DESC) AS n FROM t)
+SELECT a.key FROM l a JOIN l b ON a.key = b.key AND a.n = 1 AND b.n = 2 WHERE a.fp = b.fp
+""")
+def repeated_calls(spark, d):
+    """Where an agent's last two answers ask for the same, in whatever order."""
+    u = _updates(spark, d).withColumn("kind", F.when(F.col("emitted_by").isin("explorer", "reviewer"), "ai").otherwise("tool"))
+    call = lambda c: F.struct(F.coalesce(c, F.lit("")).alias("name"), F.lit("{}").alias("args"))
+    calls = F.when(F.col("update_id") % 2 == 0, F.array(call("status"), call("vulnerable_component"))).otherwise(F.array(call("vulnerable_component"), call("status")))
+    return histories.repeated_calls(u.withColumn("calls", calls), "key", "update_id", "kind", "calls")
+
+
+@query(f"""
+WITH {_F}, c AS (SELECT finding_id, list_sort(list_distinct(list_filter(coalesce(affected_nodes, []), lambda x: x IS NOT NULL))) AS n, list_filter([description, vulnerable_component, vuln_id], lambda x: x IS NOT NULL)[:2] AS t FROM f)
+SELECT finding_id, array_to_string(n[:1], ', ') || CASE WHEN len(n) > 1 THEN ' (+' || len(n) - 1 || ' more)' ELSE '' END AS nodes, left(array_to_string(list_transform(t, lambda x: left(x, 60)), chr(10)), 90) AS snippet FROM c
+""")
+def shown_findings(spark, d):
+    """Nodes and texts of findings as a prompt shows them, cut."""
+    return _findings(spark, d).select("finding_id", text.shown_list(F.col("affected_nodes"), 1).alias("nodes"), text.clipped(F.array("description", "vulnerable_component", "vuln_id"), 2, 60, 90).alias("snippet"))

@@ -141,3 +141,22 @@ def test_more_text(rows):
     assert [r[0] for r in rows("a array<string>", ([" x", "x", "", None, "y"],), (None,)).select(text.cwe_list("a")).collect()] == [["x", "y"], []]
     assert [r[0] for r in rows("a string", ("A  b--C!",), (None,), ("x" * 70,)).select(text.slug("a")).collect()] == ["a-b-c", "", "x" * 60]
     assert [r[0] for r in rows("a string", ("a\nb",), ("",), ("x" * 91,), ("\n".join("a" * 21),), ("```",), (None,)).select(text.fits_inline("a")).collect()] == [True, False, False, False, False, False]
+
+
+def test_names_and_parts(rows):
+    n = rows("id string, label string, source_file string, shown string", *[(*x, "clash") for x in [("k", "Klass", "f"), ("k_go", ".Go()", "f"), ("k_run", ".run()", "g"), ("z_go", ".go()", "f"), ("q9", ".at()", "f"), ("e", "", "f"), ("n", None, None), ("w", "()", "f"), ("d", ".()", "f")]])
+    assert {r.id: r.shown for r in groups.display_names(n).collect()} == {"k": "Klass", "k_go": "Klass::Go()", "k_run": "run()", "z_go": "go()", "q9": "at", "e": "e", "n": "n", "w": "()", "d": ".()"}
+    m = rows("root int, id int, cve string, group_id int", (1, 3, "a", 0), (1, 2, "a", 0), (1, 5, None, 0), (1, 4, None, 0), (2, 2, "b", 0), (None, 9, None, 0))
+    assert {tuple(r) for r in groups.split_groups(m, "root", "id", "cve").collect()} == {(1, 3, 2), (1, 2, 2), (1, 5, 4), (1, 4, 4), (2, 2, 2), (None, 9, 9)}
+    p = rows("k string, n int, kind string, o string", ("a", 1, "x", "p"), ("a", 2, "ti", "q"), ("a", 3, "ti", "r"), ("b", 4, None, "s"), ("b", 5, "x", "t"), (None, 6, "x", "u"), (None, 6, "x", "u"), ("", 7, "ti", "v"))
+    assert sorted(r.n for r in groups.preferred(p, "k", F.col("kind") == "ti", ["n"]).collect()) == [2, 4, 6, 6, 7]
+    assert groups.preferred(p.limit(0), "k", F.lit(True), ["n"]).collect() == []
+
+
+def test_keyword_filter(rows):
+    from auditlake.operators import search
+
+    r = rows("id int, ks array<string>, documents int", (1, None, 0), (2, [], 0), (3, [" "], 0), (4, [" Yes ", "no"], 0), (5, ["no"], 0), (5, ["no"], 0), (6, [None, "YES"], 0))
+    counts = rows("keyword string, documents bigint", ("yes", 2), ("no", 0))
+    keep = lambda scanned: sorted(x.id for x in search.with_found_keywords(r, "ks", counts, F.lit(scanned)).collect())
+    assert keep(True) == [1, 2, 3, 4, 6] and keep(False) == [1, 2, 3, 4, 5, 5, 6]

@@ -100,3 +100,18 @@ def test_record_ids(rows):
     got = df.withColumn("g", text.record_id(*[F.col(c) for c in ("cwe", "kind", "nodes", "comp", "dem", "cve", "descr")])).collect()
     for r in got:
         assert r.g == r.e
+
+
+def test_canonical(rows):
+    peer = "struct<vuln_id:string,cvss_vector:string,rank:int>"
+    df = rows(f"id int, r struct<report:struct<z:string,a:string,cvss_vector:string>,peers:array<{peer}>>, peers string", (1, (("x", "y", "v1"), [("b", "v", 1), (None, "w", 2), ("a", None, 3)]), "clash"), (2, (("x", "y", None), [("a", "q", 3), ("b", None, 1), (None, None, 2)]), ""), (3, (("x", "y", None), None), ""), (4, None, ""), (5, (None, [None]), ""))
+    got = {r.id: (r.j, r.k) for r in df.select("id", text.canonical_json(df, "r", "cvss_vector", "vuln_id").alias("j"), text.content_key(df, "r").alias("k")).collect()}
+    assert got[1] == got[2] and got[1][0] == '{"peers":[{"rank":2,"vuln_id":null},{"rank":3,"vuln_id":"a"},{"rank":1,"vuln_id":"b"}],"report":{"a":"y","z":"x"}}'
+    assert got[3][0] == '{"peers":null,"report":{"a":"y","z":"x"}}' and got[4] == (None, None) and got[5][0] == '{"peers":[null],"report":null}' and got[3][1] != got[1][1]
+
+
+def test_cut_lists(rows):
+    df = rows("a array<string>, n string", (["bb", None, "a", "bb", "c"], "bb\na"), ([], ""), (None, ""), ([None], ""))
+    assert [r[0] for r in df.select(text.shown_list(F.col("a"), 2)).collect()] == ["a, bb (+1 more)", "", "", ""]
+    assert [r[0] for r in df.select(text.clipped(F.col("a"), 2, 2, 9)).collect()] == [r.n for r in df.collect()]
+    assert df.select(text.clipped(F.col("a"), 3, 1, 4)).first()[0] == "b\na\n"
