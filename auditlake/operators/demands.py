@@ -118,7 +118,7 @@ class Resolver:
         q = q.withColumns({"sym": F.lower(rest), "name": member_name(rest), "__c": F.lower(cls), "own": member_name("s0"), "pronoun": pronoun, "__m": F.when(pronoun | F.col("m0").startswith("$"), F.lit("")).otherwise(F.col("m0"))})
         base = F.substring_index(F.translate("__m", ".\\", "//"), "/", -1)
         q = q.withColumns({"of_file": base != "", "file_hint": F.when(base != "", base).otherwise(F.col("__c")), "hint": F.when(F.col("__c") != "", F.col("__c")).otherwise(base)})
-        q = self.scratch.keep(q.drop("__b", "__c", "__m"))
+        q = kept = self.scratch.keep(q.drop("__b", "__c", "__m"))
 
         home = q.where("home IS NOT NULL")
         mine = home.select("home", F.col("home").alias("container"), F.lit(0).alias("by")).distinct()
@@ -127,10 +127,9 @@ class Resolver:
         scope = self.in_scope(pro.where("NOT up").drop("up"), "home", mine, 8).withColumn("up", F.lit(False))
         scope = scope.unionByName(self.in_scope(pro.where("up").drop("up"), "home", above, 0).withColumn("up", F.lit(True)))
         q = q.withColumn("up", F.col("m0") == "parent").join(scope.select("home", F.col("name").alias("own"), "up", F.col("found").alias("in_scope")), ["home", "own", "up"], "left")
-        q = self.scratch.keep(q.withColumn("in_scope", F.when(F.col("pronoun") & (F.col("s0") != ""), F.col("in_scope"))).drop("up"))
+        hinted = kept.where("s0 <> '' AND file_hint <> ''")
+        q = q.withColumn("in_scope", F.when(F.col("pronoun"), F.col("in_scope"))).drop("up")
 
-        open_ = q.where("in_scope IS NULL AND s0 <> ''")
-        hinted = open_.where("file_hint <> ''")
         strict, loose = self.by_file(hinted.select(F.col("file_hint").alias("hint"), "of_file", F.col("sym").alias("symbol")).distinct())
         named = hinted.select("hint", "name").where("name <> ''").distinct()
         starts = self.keys.join(named.select("hint").distinct(), "hint", "left_semi")
