@@ -145,3 +145,25 @@ def script_only(text: Column, path: Column) -> Column:
     rest = F.substring(text, F.length(masked) + 1, F.length(text))
     component = F.lower(F.coalesce(path, F.lit(""))).endswith(".vue") & text.rlike(_SCRIPT)
     return F.when(component, F.concat(masked, blank(rest))).otherwise(text)
+
+
+# Names of variables in a signature and of properties in a class, and how far they are looked for.
+SIGNATURE_LINES, PROPERTY_LINES = 12, 400
+VARIABLE = r"\$([A-Za-z_]\w*)"
+PROPERTY = r"\b(?:public|protected|private|var)\b[^;{(=]*\$([A-Za-z_]\w*)"
+# End of the fixed values.
+
+
+def signature_names(code: Column) -> Column:
+    """The different variables that a function's signature names, in lower case: those before the first brace or semicolon
+    of its first lines. Null code has null names: it was not read."""
+    head = F.array_join(F.slice(F.split(code, "\n"), 1, SIGNATURE_LINES), "\n")
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.regexp_extract(head, r"^[^{;]*", 0), F.lit(VARIABLE), 1), F.lower))
+
+
+def property_names(code: Column) -> Column:
+    """The different properties that a class declares before its first function, in lower case; null for null code."""
+    lines = F.slice(F.split(code, "\n"), 1, PROPERTY_LINES)
+    first = F.array_position(F.transform(lines, lambda x: x.rlike(r"\bfunction\s")), True)
+    before = F.slice(lines, F.lit(1), F.when(first > 0, first.cast("int") - 1).otherwise(F.size(lines)))
+    return F.array_distinct(F.flatten(F.transform(before, lambda x: F.transform(F.regexp_extract_all(x, F.lit(PROPERTY), 1), F.lower))))

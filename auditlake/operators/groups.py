@@ -94,3 +94,9 @@ def preferred(rows: DataFrame, key: str, better: Column, order: list[str]) -> Da
     g = rows.where(named).groupBy(key).agg(F.min(F.struct((~F.coalesce(better, F.lit(False))).alias("o"), *order, F.struct(*[c for c in rows.columns if c not in order and c != key]).alias("r"))).alias("f"))
     first = g.select(key, *[F.col(f"f.{o}").alias(o) for o in order], "f.r.*")
     return first.select(*rows.columns).unionByName(rows.where(~F.coalesce(named, F.lit(False))))
+
+
+def with_last_report(records: DataFrame, reports: DataFrame, row_id: str, order: list[str], fields: list[str]) -> DataFrame:
+    """Records that a report names, with the fields of the last one in order; records without one and reports on nothing go."""
+    last = reports.where(F.col(row_id).isNotNull()).groupBy(row_id).agg(F.max_by(F.struct(*fields), F.struct(*order)).alias("__r"))
+    return records.join(last, row_id).select(*[c for c in records.columns if c not in fields], *[F.col(f"__r.{f}").alias(f) for f in fields])

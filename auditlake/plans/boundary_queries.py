@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions import text
-from auditlake.operators import boundaries, demands, graph, search
+from auditlake.operators import boundaries, code, demands, graph, search
 from auditlake.plans import graph_queries as g
 from auditlake.plans.graph_queries import _L, _NAME, _links, _members_sql, _nodes
 from auditlake.session import Scratch
@@ -39,8 +39,8 @@ def _functions(spark: SparkSession, d: str) -> DataFrame:
 
 def _declared(spark: SparkSession, d: str, kinds: list[str]) -> DataFrame:
     n = _functions(spark, d)
-    code = F.concat(F.lit("@app.task(name='"), "label", F.lit("')\n@app.get('/"), "stem", F.lit("/{id}/"), "label", F.lit("')\n@app.get('/')\ndef "), "label", F.lit("(x):\n    pass\n"))
-    found = search.declared_functions(n.select(F.col("source_file").alias("file"), code.alias("body")), ["file"], "body", kinds)
+    declared = F.concat(F.lit("@app.task(name='"), "label", F.lit("')\n@app.get('/"), "stem", F.lit("/{id}/"), "label", F.lit("')\n@app.get('/')\ndef "), "label", F.lit("(x):\n    pass\n"))
+    found = search.declared_functions(n.select(F.col("source_file").alias("file"), declared.alias("body")), ["file"], "body", kinds)
     return boundaries.anchored(found, n)
 
 
@@ -179,3 +179,17 @@ def failed_demands(spark, d):
     e = asked.select("target_node", "demand_id", F.when(place % 3 == 0, "FAILED").otherwise("MET").alias("status"), F.concat(F.lit("seen "), place).alias("evidence"))
     e = e.unionByName(asked.select("target_node", F.lit("D9999").alias("demand_id"), F.lit("FAILED").alias("status"), F.lit(None).cast("string").alias("evidence")).distinct())
     return demands.failed_demands(e, asked.withColumn("parameter_name", F.lit(None).cast("string")))
+
+
+@query(f"""
+WITH n AS (SELECT id, {_NAME} AS name, lower(regexp_extract(source_file, '([^/]+?)(?:\\.[^./]*)?/*$', 1)) AS stem, length(id) % 3 AS k FROM nodes WHERE source_file <> '' AND regexp_matches({_NAME}, '^[a-z_]\\w*$'))
+SELECT id, CASE WHEN k < 2 THEN list_sort(list_distinct([name, stem])) END AS parameters, CASE WHEN k = 0 THEN list_sort(list_distinct([name, stem, 'third'])) WHEN k = 1 THEN [] END AS properties FROM n
+""")
+def code_names(spark, d):
+    """Parameters and properties that made-up code of every function's name declares; of a third of the nodes there is none."""
+    n = _functions(spark, d).withColumn("k", F.length("id") % 3)
+    function = F.concat(F.lit("public function f(int $"), "label", F.lit(",\n  $"), F.upper("stem"), F.lit(" = 1,\n  $"), "label", F.lit(") {\n  return $none; }"))
+    body = F.concat(F.lit("class K {\n  public static $"), "label", F.lit(" = $x;\n  protected int $"), F.upper("stem"), F.lit(";\n  private $Third; var $"), "label", F.lit(";\n  function f() { private $late; }\n"))
+    none = F.lit(None).cast("string")
+    n = n.select("id", F.when(F.col("k") < 2, function).otherwise(none).alias("f"), F.when(F.col("k") == 0, body).when(F.col("k") == 1, "class K { function g(public $z) {} }").otherwise(none).alias("c"))
+    return n.select("id", F.array_sort(code.signature_names(F.col("f"))).alias("parameters"), F.array_sort(code.property_names(F.col("c"))).alias("properties"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import cvss, paths, text
 from auditlake.operators import code, groups, histories, linkage, merge, ordering, search, stats
 from auditlake.session import Scratch, filled, table, trimmed
+from auditlake.sources.graphs import advisory_records, fresh
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -218,10 +219,9 @@ SELECT key, max(updated_at) AS last_at, count(*) AS updates FROM u WHERE updated
 """)
 def fresh_updates(spark, d):
     """Updates at most a week older than the latest of all."""
-    u = _updates(spark, d)
-    now = u.agg(F.max("updated_at").alias("now")).first().now
-    fresh = u.where((F.col("updated_at") > F.lit(now) - F.expr("INTERVAL 168 HOURS")) & (F.col("updated_at") <= F.lit(now)))
-    return fresh.groupBy("key").agg(F.max("updated_at").alias("last_at"), F.count(F.lit(1)).alias("updates"))
+    u = _updates(spark, d).withColumn("one", F.lit(1))
+    now = u.groupBy("one").agg(F.max("updated_at").alias("now"))  # one row
+    return fresh(u.join(now, "one"), "updated_at", F.col("now"), 168).groupBy("key").agg(F.max("updated_at").alias("last_at"), F.count(F.lit(1)).alias("updates"))
 
 
 @query(f"""
@@ -659,8 +659,6 @@ SELECT *, CASE WHEN severity_label IS NOT NULL THEN severity_label = 'HIGH' ELSE
 """)
 def advisories(spark, d):
     """One record per CVE of advisories made up of the findings that name one, and whether it is a severe one."""
-    from auditlake.sources.graphs import advisory_records
-
     i = F.col("finding_id")
     f = _findings(spark, d).where("source_cve LIKE 'CVE-20%'")
     fixed = F.struct(F.array(F.struct(F.array(F.struct(F.lit(None).cast("string").alias("fixed")), F.struct(F.when(i % 3 == 0, F.concat(i.cast("string"), F.lit(".0"))).alias("fixed"))).alias("events"))).alias("ranges"), F.struct(F.col("vulnerable_component").alias("name")).alias("package"))
@@ -769,3 +767,34 @@ SELECT finding_id, array_to_string(n[:1], ', ') || CASE WHEN len(n) > 1 THEN ' (
 def shown_findings(spark, d):
     """Nodes and texts of findings as a prompt shows them, cut."""
     return _findings(spark, d).select("finding_id", text.shown_list(F.col("affected_nodes"), 1).alias("nodes"), text.clipped(F.array("description", "vulnerable_component", "vuln_id"), 2, 60, 90).alias("snippet"))
+
+
+@query(f"""
+WITH {_F}, {_U}, r AS (SELECT key, arg_max({{'s': status, 'b': emitted_by}}, (coalesce(updated_at, TIMESTAMP '1900-01-01'), update_id)) AS r FROM u GROUP BY key)
+SELECT finding_id, r.s AS status, r.b AS emitted_by FROM f JOIN r ON r.key = lower(trim(vuln_id, {_WS}))
+""")
+def last_reports(spark, d):
+    """What the last update says of each finding that has one."""
+    f = _findings(spark, d).select("finding_id", F.lower(trimmed("vuln_id")).alias("key"))
+    return groups.with_last_report(f, _updates(spark, d), "key", ["updated_at", "update_id"], ["status", "emitted_by"]).select("finding_id", "status", "emitted_by")
+
+
+_GATE = f"""t AS (SELECT finding_id, list_sort(list_distinct(list_filter(coalesce(affected_nodes, []), lambda x: x IS NOT NULL AND x <> ''))) AS nodes, {_TOKENS} AS tokens, regexp_replace(lower(trim(coalesce(vulnerable_component, ''), {_WS})), '\\s+', ' ', 'g') AS raw FROM f),
+g AS (SELECT finding_id, nodes, tokens, raw = '' OR (NOT regexp_matches(raw, '[^\\w$\\s]') AND len(tokens) < 3) AS weak FROM t)"""
+
+
+@query(f"""
+WITH {_F}, {_GATE}, q AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id, list_cosine_similarity(a.e, b.e) AS c FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.e, b.e), 12) DESC, b.vec_id) <= 5),
+p AS (SELECT query_id, neighbour_id, 0.7 + 0.3 * round(c, 6) AS sim, a.nodes = b.nodes AS same, a.weak OR b.weak AS weak, CASE WHEN len(a.tokens) = 0 OR len(b.tokens) = 0 THEN 0.0 ELSE len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(list_concat(a.tokens, b.tokens))) END AS jaccard
+  FROM s JOIN g a ON a.finding_id = query_id JOIN g b ON b.finding_id = neighbour_id)
+SELECT query_id, neighbour_id, CASE WHEN same THEN sim >= 0.8 ELSE (sim >= 0.93 AND (weak OR sim >= 0.95 OR jaccard >= 0.4)) OR (sim < 0.93 AND sim >= 0.85 AND NOT weak AND jaccard >= 0.6) END AS mergeable FROM p
+""")
+def mergeable_pairs(spark, d):
+    """Whether the findings that nearest vectors belong to by their number may be merged, were they so alike and a bit more."""
+    near = nearest_vectors(spark, d).select("query_id", "neighbour_id", (0.7 + 0.3 * F.col("cosine")).alias("sim"))
+    f = _findings(spark, d).select("finding_id", linkage.sorted_nodes("affected_nodes").alias("nodes"), text.component_tokens("vulnerable_component").alias("tokens"), text.degenerate_anchor("vulnerable_component").alias("weak"))
+    side = lambda i, x: f.select(F.col("finding_id").alias(i), *[F.col(c).alias(f"{c}_{x}") for c in ("nodes", "tokens", "weak")])
+    p = near.join(side("query_id", "a"), "query_id").join(side("neighbour_id", "b"), "neighbour_id")
+    gate = linkage.mergeable(F.col("nodes_a") == F.col("nodes_b"), F.col("sim"), text.token_jaccard(F.col("tokens_a"), F.col("tokens_b")), F.col("weak_a") | F.col("weak_b"))
+    return p.select("query_id", "neighbour_id", gate.alias("mergeable"))

@@ -160,3 +160,16 @@ def test_keyword_filter(rows):
     counts = rows("keyword string, documents bigint", ("yes", 2), ("no", 0))
     keep = lambda scanned: sorted(x.id for x in search.with_found_keywords(r, "ks", counts, F.lit(scanned)).collect())
     assert keep(True) == [1, 2, 3, 4, 6] and keep(False) == [1, 2, 3, 4, 5, 5, 6]
+
+
+def test_names_in_code(rows):
+    cases = [("function f($A, int $b = 1,\n $a) {\n $no }", ["a", "b"]), ("abstract function g($x);\nfunction h($y)", ["x"]), ("\n" * 12 + "$late", []), ("", []), (None, None)]
+    assert [r.g for r in rows("t string, e array<string>", *cases).select(code.signature_names(F.col("t")).alias("g")).collect()] == [e for _, e in cases]
+    cases = [("class K {\n public $A = $z; private $c;\n protected static int $B;\n function f() {\n private $late;", ["a", "c", "b"]), ("class K { public $x; function f() {}", []), ("var $q", ["q"]), ("\n" * 400 + "var $late", []), ("", []), (None, None)]
+    assert [r.g for r in rows("t string, e array<string>", *cases).select(code.property_names(F.col("t")).alias("g")).collect()] == [e for _, e in cases]
+
+
+def test_last_reports(rows):
+    f = rows("id string, n int, said string", ("a", 1, "old"), ("a", 2, ""), ("b", 3, ""), (None, 4, ""))
+    r = rows("id string, at int, seq int, said string, n int", ("a", 5, 1, "p", 0), ("a", None, 9, "q", 0), ("a", 5, 2, None, 0), ("z", 1, 1, "r", 0), (None, 1, 1, "s", 0))
+    assert sorted((x.n, x.said) for x in groups.with_last_report(f, r, "id", ["at", "seq"], ["said"]).collect()) == [(1, None), (2, None)]
