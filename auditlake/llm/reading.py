@@ -31,7 +31,9 @@ _ITEM = re.compile(r"(?:[-*+•]|\d{1,3}[.)])\s+")
 #: Marks of lines that are code, log, data or an address rather than prose.
 _CODE = re.compile(r"[={}\[\]|<>]|\)\s*:?$|;$|^(?:def|return|import|class|if|for|while)\b.*[:\]]$|://")
 _END = re.compile(r"(?<=[.!?])[\"')]*\s+")
-_WORD = re.compile(r"[a-z]+(?:['’-][a-z]+)*")
+_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+#: Marks of a footnote or a source, which are part of no word.
+_CITATION = re.compile(r"\[\d{1,3}(?:[,;–-] ?\d{1,3})*\]")
 _EDGES = ".,;:!?\"'()*_“”‘’﻿"
 _SPACES = " \t\xa0﻿​"
 MIN_WORDS, MIN_SENTENCES = 3, 4
@@ -82,6 +84,8 @@ def prose_sentences(text: str | None) -> list[list[str]]:
         if m := _ITEM.match(line):
             close()
             line = line[m.end() :]
+        if "[" in line:
+            line = _CITATION.sub("", line)
         if _CODE.search(line.replace("()", "")):
             close()
         else:

@@ -318,11 +318,14 @@ def test_packing(spark, monkeypatch):
         packing.pack(windowed, [("bad", 0)])
 
 
-def test_token_counts(spark):
+def test_token_counts(spark, monkeypatch):
     texts = ["Hello world, it's 42!", "", None, "   ", "<|endoftext|>", "x" * 20_000, "naïve 日本語\n\n"]
     df = spark.createDataFrame([(i, "s", t, 0) for i, t in enumerate(texts)], "doc_id bigint, source string, body string, tokens int")
     got = {r.doc_id: r.tokens for r in tokens.with_token_counts(df, ["doc_id", "source"], "body").collect()}
     e = tokens.encoding(tokens.VOCABULARY)
+    monkeypatch.setattr(tokens, "MOST_BYTES", 10)
+    with pytest.raises(ValueError):
+        tokens.encoding(tokens.VOCABULARY)
     assert got == {i: len(e.encode_ordinary(t or "")) for i, t in enumerate(texts)} and got[4] > 1 and got[1] == got[2] == 0
 
 
@@ -346,6 +349,8 @@ Is this the last one?"""
     assert reading.prose_sentences(None) == reading.prose_sentences(" \n") == reading.prose_sentences("no end here") == []
     assert [len(s) for s in reading.prose_sentences("<p>One two three.</p><p>Four &amp; five six seven.</p>")] == [3, 4]
     assert len(reading.prose_sentences("We saw it all. " * 20_000)) == 20_000
+    assert reading.prose_sentences("Naïve readers agree [12] here. It was shown[3, 4] twice before.") == [["naïve", "readers", "agree", "here"], ["it", "was", "shown", "twice", "before"]]
+    assert reading.prose_sentences("see [a] for it here. x[i] is the one.") == []
 
 
 EASY, HARD = ["dog", "cat", "sun", "tree", "ball", "runs", "sits"], [f"polysyllabic{chr(97 + i)}{chr(97 + j)}" for i in range(26) for j in range(26)]
