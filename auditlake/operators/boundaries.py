@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from auditlake.functions.paths import base_name, glob_regex
 from auditlake.operators.search import match_requests
 
-# How proxies name a place and where it leads.
+# How proxies name a place and where it leads, which files are theirs and builds', and names of kinds of edges.
 LOCATION = r"(?s)location\s+([^\s{]+)\s*\{(.*?)\}"
 SECTION = r"(?s)<Location\s*\"?([^\">]+)\"?>(.*?)</Location>"
 PASS = r"proxy_pass\s+https?://[^/]+([^;\s]*);"

@@ -119,8 +119,8 @@ def mergeable(same_nodes: Column, sim: Column, jaccard: Column, degenerate: Colu
     return F.when(same_nodes, sim >= SAME_NODES).otherwise(high | middle)
 
 
-#: Queries that are compared with a part's rows at once.
-QUERY_BLOCK = 4096
+#: Queries that are compared with a batch of rows at once: with batches of 10,000 rows a product takes 80 MB.
+QUERY_BLOCK = 1024
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, row_id: str, vector: str, k: int, scratch: Scratch) -> DataFrame:
@@ -141,33 +141,39 @@ def nearest(vectors: DataFrame, queries: DataFrame, row_id: str, vector: str, k:
         import pyarrow.dataset as ds
         from pyarrow import fs
 
-        got = [b for b in batches if b.num_rows]
+        got = [b for b in batches if b.num_rows]  # a part as it was read, in the width that it was read in
         if not got:
             return
-        ids = np.concatenate([np.asarray(b.column(0)) for b in got])
-        m = _unit(np.concatenate([_matrix(b.column(1)) for b in got]))
         system, where = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
         for q in ds.dataset(where, filesystem=system, format="parquet").to_batches(batch_size=QUERY_BLOCK):
             if not q.num_rows:
                 continue
-            q_ids = np.asarray(q.column(0))
-            sim = np.round(_unit(_matrix(q.column(1))) @ m.T, 12)
-            sim[q_ids[:, None] == ids[None, :]] = -np.inf
-            # candidates: all that reach the k-th best cosine, as ties go by id
-            least = np.partition(sim, max(0, sim.shape[1] - k), axis=1)[:, max(0, sim.shape[1] - k)]
-            at, col = np.nonzero((sim >= least[:, None]) & (sim > -np.inf))
-            order = np.lexsort((ids[col], -sim[at, col], at))
-            at, col = at[order], col[order]
-            first = np.r_[0, np.flatnonzero(np.diff(at)) + 1] if len(at) else np.zeros(0, int)
-            place = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
-            at, col = at[place < k], col[place < k]
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(ids[col]), pa.array(sim[at, col])], ["query_id", "neighbour_id", "cosine"])
+            q_ids, m = np.asarray(q.column(0)), _unit(_matrix(q.column(1)))
+            best = []
+            for b in got:
+                ids = np.asarray(b.column(0))
+                sim = np.round(m @ _unit(_matrix(b.column(1))).T, 12)
+                sim[q_ids[:, None] == ids[None, :]] = -np.inf
+                kth = max(0, sim.shape[1] - k)  # all that reach the k-th best cosine, as ties go by id
+                at, col = np.nonzero((sim >= np.partition(sim, kth, axis=1)[:, [kth]]) & (sim > -np.inf))
+                best.append(_first(at, ids[col], sim[at, col], k))
+            at, near, sims = _first(*(np.concatenate(x) for x in zip(*best)), k)
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(near), pa.array(sims)], ["query_id", "neighbour_id", "cosine"])
 
     found = vectors.where(F.col(vector).isNotNull()).select(row_id, vector).mapInArrow(run, schema)
     order = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "neighbour_id")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def _first(at: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows of each query the k of the greatest cosine, ties by id."""
+    order = np.lexsort((ids, -sims, at))
+    at, ids, sims = at[order], ids[order], sims[order]
+    starts = np.r_[0, np.flatnonzero(np.diff(at)) + 1] if len(at) else np.zeros(0, int)
+    keep = np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)])) < k
+    return at[keep], ids[keep], sims[keep]
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 

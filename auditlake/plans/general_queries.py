@@ -22,15 +22,23 @@ def note_entries(spark: SparkSession, d: str, branches: dict[str, list[str]] = B
     return own.unionByName(shredding.entries(table(spark, d, "note_batches"), "payload", branches, parse))
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Each object with content, by note, branch and place. Rows sent again add nothing: the place is the identity."""
-    e = note_entries(spark, d)
+def _with_content(e: DataFrame) -> DataFrame:
     some = F.lit(False)
     for c in ("target", "cwe", "component", "description", "pattern_label"):
         some = some | filled(c)
     return e.where(some & F.col("key").isNotNull()).select(F.col("key").alias("note_id"), "branch", "pos").distinct()
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each object with content, by note, branch and place. Rows sent again add nothing: the place is the identity."""
+    return _with_content(note_entries(spark, d))
+
+
+def p3_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The same of the stored notes alone."""
+    return _with_content(shredding.entries(table(spark, d, "notes"), "note_id", BRANCHES))
+
+
 def p3_vulns(spark: SparkSession, d: str) -> DataFrame:
     """The table of the repeated ancestor `vulns` of the stored notes, with the note and the place."""
     e = shredding.entries(table(spark, d, "notes"), "note_id", {"vulns": BRANCHES["vulns"]})
@@ -88,7 +96,7 @@ def p4_profile(spark: SparkSession, d: str) -> DataFrame:
     return hotkeys.weighted_profile(c, ["target", "relation"], "source_file", Scratch(spark), (0.5, 0.9))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_vulns, p3_upstream_entries, p3_downstream_entries, p3_vulns_entries, p3_levels, p4_found, p4_profile)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_stored, p3_vulns, p3_upstream_entries, p3_downstream_entries, p3_vulns_entries, p3_levels, p4_found, p4_profile)}
 
 _WS = r"' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 _PAIRS = f"""
@@ -97,7 +105,11 @@ links_ok AS (
   FROM links WHERE length(trim(coalesce(target, ''), {_WS})) > 0 AND relation IS NOT NULL)
 """
 
+_FILLED = lambda *cs: " OR ".join(f"length(trim(coalesce(e.{c}, ''), {_WS})) > 0" for c in cs)
 SQL = {
+    "p3_stored": " UNION ".join(
+        f"SELECT note_id, '{b}' AS branch, CAST(p - 1 AS INTEGER) AS pos FROM (SELECT note_id, unnest({b}) AS e, generate_subscripts({b}, 1) AS p FROM notes) WHERE note_id IS NOT NULL AND ({_FILLED(*cs)})" for b, cs in BRANCHES.items()
+    ),
     "p3_vulns": """
 SELECT DISTINCT note_id, CAST(p - 1 AS INTEGER) AS pos, e.cwe AS cwe, e.component AS component, e.description AS description, e.pattern_label AS pattern_label
 FROM (SELECT note_id, unnest(vulns) AS e, generate_subscripts(vulns, 1) AS p FROM notes) WHERE note_id IS NOT NULL
